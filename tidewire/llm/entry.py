@@ -1,10 +1,10 @@
 """Queries and SQL of the training-data operators, for the repository's entry module."""
 
-from . import sharding
+from . import bpe, sharding
 
 
 def queries():
-    return {"op6_sharding": sharding.op6_sharding}
+    return {"op5_bpe": bpe.op5_bpe, "op6_sharding": sharding.op6_sharding}
 
 
 def oracle_sql():
