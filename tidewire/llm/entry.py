@@ -1,11 +1,11 @@
 """Queries and SQL of the training-data operators, for the repository's entry module."""
 
-from . import bpe, sharding
+from . import bpe, decontamination, sharding
 
 
 def queries():
-    return {"op5_bpe": bpe.op5_bpe, "op6_sharding": sharding.op6_sharding}
+    return {"op2_decontamination": decontamination.op2_decontamination, "op5_bpe": bpe.op5_bpe, "op6_sharding": sharding.op6_sharding}
 
 
 def oracle_sql():
-    return {"op6_sharding": sharding.ORACLE}
+    return {"op2_decontamination": decontamination.ORACLE, "op6_sharding": sharding.ORACLE}
