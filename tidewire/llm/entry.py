@@ -1,10 +1,10 @@
 """Queries and SQL of the training-data operators, for the repository's entry module."""
 
-from . import bpe, decontamination, secrets, sharding
+from . import bpe, decontamination, language_id, secrets, sharding, url_filter
 
 
 def queries():
-    return {"op2_decontamination": decontamination.op2_decontamination, "op5_bpe": bpe.op5_bpe, "op6_sharding": sharding.op6_sharding, "op10_secrets": secrets.op10_secrets}
+    return {"op2_decontamination": decontamination.op2_decontamination, "op5_bpe": bpe.op5_bpe, "op6_sharding": sharding.op6_sharding, "op7_urls": url_filter.op7_urls, "op9_language": language_id.op9_language, "op10_secrets": secrets.op10_secrets}
 
 
 def oracle_sql():
