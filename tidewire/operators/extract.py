@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewire.functions import dom
 from tidewire.functions.text import clean_noise_lines, decode_entities, fallback_text, strip
@@ -17,7 +18,7 @@ MIN_ARTICLE, MAX_ARTICLE = 200, 20_000
 SHORT_SUMMARY = 300
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of the main content without boilerplate elements; null if none is found or the page can't be parsed."""
 
@@ -35,7 +36,7 @@ def main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one).astype(object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(texts: pd.Series) -> pd.Series:
     """All named and numeric entities decoded."""
     return texts.map(lambda t: None if t is None else html_lib.unescape(t)).astype(object)
