@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Scratch, table
+from .common import Scratch, release, table
 
 ORDER = 4
 CHAR_BITS = 12
@@ -155,9 +155,11 @@ class Model:
         return out
 
 
-def log_sums(docs: DataFrame, tables: DataFrame) -> DataFrame:
+def log_sums(docs: DataFrame, tables: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, lang, print, trusted, fold, n_chars, log_sum (null in a language without a model). docs: these and text, never empty."""
     size = docs.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    size, _ = scratch.save(size)
+    size = F.broadcast(size) if size.count() <= 10_000 else size  # a row for each language
     model = tables.join(size, "lang").select(
         F.col("lang").alias("of"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), "kind", F.col("g").alias("gram"), F.col("value").alias("weight")
     )
@@ -181,7 +183,10 @@ def log_sums(docs: DataFrame, tables: DataFrame) -> DataFrame:
                 k += 1
             grams, size = text_grams(some)
             sums.append(np.add.reduceat(model.log_probabilities(grams), np.cumsum(size) - size))
-        return out.assign(log_sum=np.concatenate(sums))
+        out = out.assign(log_sum=np.concatenate(sums))
+        del model, texts, grams, sums
+        release()
+        return out
 
     grouped = dealt.groupBy("lang", "block").cogroup(model.groupBy("of", "at"))
     return grouped.applyInPandas(run, "doc_id long, lang string, print long, trusted boolean, fold int, n_chars long, log_sum double")
@@ -203,7 +208,7 @@ def judge(
     full = rows.where("text is not null and text != ''").join(good, F.col("doc_id") == F.col("good_id"), "left").drop("good_id")
     full = full.withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "fold": F.pmod("print", F.lit(2)).cast("int")})
     tables = model_tables(full.where("trusted and fold = 0"), scratch)
-    scored, _ = scratch.save(log_sums(full, tables))
+    scored, _ = scratch.save(log_sums(full, tables, scratch))
     unseen = scored.where("trusted and fold = 1 and log_sum is not null")
     means = unseen.groupBy("lang").agg((F.sum("log_sum") / F.sum("n_chars")).alias("mean"))
     perplexity = F.exp(-(F.col("log_sum") + PRIOR * F.col("mean")) / (F.col("n_chars") + PRIOR))
