@@ -24,24 +24,38 @@ def longest_body(summary: Column, full_body: Column, original: Column) -> Column
     return F.when(F.length(c) > F.length(ab), c).otherwise(ab)
 
 
-def segments(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
-    """Adds seg_title, seg_lead, seg_body, seg_tail and all_text. Items: title, summary, optionally full_body, original_summary."""
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: plain substitution would multiply it wherever a filter is pushed down."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def segment_struct(items: DataFrame, rules: Rules = SAMPLE) -> Column:
+    """title, lead, body, tail and all_text of an item."""
     optional = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
     lead, bound = rules.lead_chars, rules.tail_from_chars
-    out = items.withColumn("_body", longest_body(F.col("summary"), optional("full_body"), optional("original_summary")))
-    body, size = F.col("_body"), F.length("_body")
-    blank = F.regexp_replace(body, r"(?U)^\s+|\s+$", "") == ""
-    middle = F.greatest(size - 2 * lead, F.lit(0))
-    out = out.withColumns(
-        {
-            "seg_title": F.coalesce("title", F.lit("")),
-            "seg_lead": F.when(blank, "").otherwise(F.left(body, F.lit(lead))),
-            "seg_body": F.when(blank, "").when(size > bound, F.substring(body, F.lit(lead + 1), middle)).otherwise(F.substring(body, F.lit(lead + 1), size)),
-            "seg_tail": F.when(~blank & (size > bound), F.right(body, F.lit(lead))).otherwise(""),
-        }
-    )
-    parts = F.filter(F.array(*(F.col(f"seg_{s}") for s in SEGMENTS)), lambda s: s != "")
-    return out.withColumn("all_text", F.array_join(parts, " ")).drop("_body")
+
+    def cut(body: Column) -> Column:
+        size = F.length(body)
+        blank = F.regexp_replace(body, r"(?U)^\s+|\s+$", "") == ""
+        middle = F.greatest(size - 2 * lead, F.lit(0))
+        return F.struct(
+            F.coalesce("title", F.lit("")).alias("title"),
+            F.when(blank, "").otherwise(F.left(body, F.lit(lead))).alias("lead"),
+            F.when(blank, "").when(size > bound, F.substring(body, F.lit(lead + 1), middle)).otherwise(F.substring(body, F.lit(lead + 1), size)).alias("body"),
+            F.when(~blank & (size > bound), F.right(body, F.lit(lead))).otherwise("").alias("tail"),
+        )
+
+    def joined(s: Column) -> Column:
+        parts = F.filter(F.array(*(s[n] for n in SEGMENTS)), lambda x: x != "")
+        return F.struct(*(s[n].alias(n) for n in SEGMENTS), F.array_join(parts, " ").alias("all_text"))
+
+    return let(let(longest_body(F.col("summary"), optional("full_body"), optional("original_summary")), cut), joined)
+
+
+def segments(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
+    """Adds seg_title, seg_lead, seg_body, seg_tail and all_text. Items: title, summary, optionally full_body, original_summary."""
+    out = items.withColumn("_segments", segment_struct(items, rules))
+    return out.select(*items.columns, *(F.col(f"_segments.{s}").alias(f"seg_{s}") for s in SEGMENTS), "_segments.all_text")
 
 
 def unambiguous(text_lower: Column, rule: Ambiguity | None) -> Column:
@@ -53,28 +67,44 @@ def unambiguous(text_lower: Column, rule: Ambiguity | None) -> Column:
     return out
 
 
-def matches(segmented: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
-    """Adds matched: array of (tier, seg, ord, text, mult, scoring, core, categories, content_types)."""
-    low, found = F.col("_low"), []
+def match_array(segment, all_text: Column, rules: Rules = SAMPLE) -> Column:
+    """Array of (tier, seg, ord, text, mult, scoring, core, categories, content_types). segment: the column of a segment's name."""
     by_rule = {k.lower(): r for k, r in rules.ambiguity.items()}
     strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    for ord_, kw in enumerate(rules.keywords):
-        hits = {s: has_keyword(F.col(f"seg_{s}"), kw.text) for s in SEGMENTS}
-        rule = by_rule.get(kw.text.lower())
-        first = F.coalesce(*(F.when(hits[s], F.lit(k)) for k, s in enumerate(SEGMENTS)))
-        best = F.greatest(*(F.when(hits[s], F.lit(float(rules.multipliers.get(s, 1.0)))) for s in SEGMENTS))
-        found.append(
-            F.when(
-                first.isNotNull() & unambiguous(low, rule),
-                F.struct(
-                    F.lit(TIERS.index(kw.tier)).alias("tier"), first.alias("seg"), F.lit(ord_).alias("ord"), F.lit(kw.text).alias("text"), best.alias("mult"),
-                    F.lit(not rule or rule.standalone).alias("scoring"), F.lit(kw.type == "core").alias("core"),
-                    strings(kw.categories).alias("categories"), strings(kw.content_types).alias("content_types"),
-                ),
-            )
-        )
-    out = segmented.withColumn("_low", F.lower("all_text"))
-    return out.withColumn("matched", F.array_sort(F.array_compact(F.array(*found)))).drop("_low")
+
+    def found(low: Column) -> Column:
+        out = []
+        for ord_, kw in enumerate(rules.keywords):
+            rule = by_rule.get(kw.text.lower())
+            where = F.array(*(has_keyword(segment(s), kw.text) for s in SEGMENTS))
+            weights = F.array(*(F.lit(float(rules.multipliers.get(s, 1.0))) for s in SEGMENTS))
+            clear = unambiguous(low, rule)
+
+            def entry(hits: Column, kw=kw, ord_=ord_, rule=rule, weights=weights, clear=clear) -> Column:
+                best = F.array_max(F.zip_with(hits, weights, lambda h, w: F.when(h, w)))
+                return F.when(
+                    F.array_contains(hits, True) & clear,
+                    F.struct(
+                        F.lit(TIERS.index(kw.tier)).alias("tier"), (F.array_position(hits, True) - 1).cast("int").alias("seg"), F.lit(ord_).alias("ord"), F.lit(kw.text).alias("text"),
+                        best.alias("mult"), F.lit(not rule or rule.standalone).alias("scoring"), F.lit(kw.type == "core").alias("core"),
+                        strings(kw.categories).alias("categories"), strings(kw.content_types).alias("content_types"),
+                    ),
+                )
+
+            out.append(let(where, entry_of(entry)))
+        return F.array_sort(F.array_compact(F.array(*out)))
+
+    return let(F.lower(all_text), found)
+
+
+def entry_of(entry):
+    """A function of one argument: more would be taken for an index."""
+    return lambda hits: entry(hits)
+
+
+def matches(segmented: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
+    """Adds matched to items with segments."""
+    return segmented.withColumn("matched", match_array(lambda s: F.col(f"seg_{s}"), F.col("all_text"), rules))
 
 
 def total(values: Column) -> Column:
@@ -89,8 +119,7 @@ def tier_scores(matched: Column, rules: Rules = SAMPLE) -> Column:
     def points(mine: Column, t: int) -> Column:
         return total(F.transform(F.filter(mine, lambda m: m["tier"] == t), lambda m: m["mult"] * w[TIERS[t]]))
 
-    def of(category: Column) -> Column:
-        mine = F.filter(matched, lambda m: m["scoring"] & F.array_contains(m["categories"], category))
+    def scored(category: Column, mine: Column) -> Column:
         count = lambda test: F.size(F.filter(mine, test))
         tier = (
             F.when(count(lambda m: m["tier"] == 0) > 0, "A")
@@ -98,9 +127,12 @@ def tier_scores(matched: Column, rules: Rules = SAMPLE) -> Column:
             .when(count(lambda m: (m["tier"] == 1) & ~m["core"]) >= 2, "C")
             .otherwise("D")
         )
-        ratio = lambda k: F.element_at(F.create_map(*(x for t, r in rules.ratios.items() for x in (F.lit(t), F.lit(float(r[k]))))), tier)
-        sums = [points(mine, t) for t in range(3)]
-        return F.struct(category.alias("category"), tier.alias("tier"), (sums[0] + sums[1] * ratio(0) + sums[2] * ratio(1)).alias("score"))
+        ratio = lambda t, k: F.element_at(F.create_map(*(x for name, r in rules.ratios.items() for x in (F.lit(name), F.lit(float(r[k]))))), t)
+        score = lambda t: points(mine, 0) + points(mine, 1) * ratio(t, 0) + points(mine, 2) * ratio(t, 1)
+        return let(tier, lambda t: F.struct(category.alias("category"), t.alias("tier"), score(t).alias("score")))
+
+    def of(category: Column) -> Column:
+        return let(F.filter(matched, lambda m: m["scoring"] & F.array_contains(m["categories"], category)), lambda mine: scored(category, mine))
 
     return F.transform(names, of)
 
@@ -144,10 +176,13 @@ def content_type_vote(matched: Column, all_text: Column) -> Column:
         for p in patterns:
             n = n + (has_keyword(all_text, p) if p.isascii() else F.contains(low, F.lit(p))).cast("double")
         broad.append(F.struct(F.lit(name).alias("name"), n.alias("n")))
-    hit = F.filter(F.array(*broad), lambda b: b["n"] > 0)
-    names = F.array_distinct(F.concat(F.flatten(F.transform(matched, lambda m: m["content_types"])), F.transform(hit, lambda b: b["name"])))
-    votes = lambda n: F.size(F.filter(matched, lambda m: F.array_contains(m["content_types"], n))) + total(F.transform(F.filter(hit, lambda b: b["name"] == n), lambda b: b["n"]))
-    return argmax_first(names, votes, GENERAL)
+
+    def voted(hit: Column) -> Column:
+        names = F.array_distinct(F.concat(F.flatten(F.transform(matched, lambda m: m["content_types"])), F.transform(hit, lambda b: b["name"])))
+        votes = lambda n: F.size(F.filter(matched, lambda m: F.array_contains(m["content_types"], n))) + total(F.transform(F.filter(hit, lambda b: b["name"] == n), lambda b: b["n"]))
+        return argmax_first(names, votes, GENERAL)
+
+    return let(F.filter(F.array(*broad), lambda b: b["n"] > 0), voted)
 
 
 def negative_hit(text: Column, rules: Rules = SAMPLE) -> Column:
@@ -187,21 +222,22 @@ def score(items: DataFrame, rules: Rules = SAMPLE, pairing: bool = True, site: s
 
     ``site``: a column whose demoted sites lose ``site_penalty`` points; off unless named.
     """
-    out = matches(segments(items, rules), rules).withColumn("tiers", tier_scores(F.col("matched"), rules))
-    raw = paired_score(F.col("matched"), F.col("tiers"), rules) if pairing else flat_score(F.col("matched"), rules)
-    if site:
-        raw = raw + F.when(has_any(F.lower(F.coalesce(site, F.lit(""))), rules.demoted_sites), float(rules.site_penalty)).otherwise(0.0)
-    out = out.withColumns({"raw_score": raw, "negative": negative_hit(F.col("all_text"), rules)})
-    out = out.withColumn("confidence_score", final_score(F.col("raw_score"), F.col("matched"), F.col("negative")))
-    return out.withColumns(
-        {
-            "filter_decision": decision(F.col("confidence_score"), rules),
-            "category": category_vote(F.col("matched")),
-            "content_type": content_type_vote(F.col("matched"), F.col("all_text")),
-            "scoring_matched": F.struct(*(matched_texts(F.col("matched"), t).alias(n) for t, n in enumerate(TIERS))),
-            "scoring_reason": reason(F.col("matched"), F.col("tiers"), F.col("negative"), F.col("confidence_score")),
-        }
-    )
+    penalty = F.when(has_any(F.lower(F.coalesce(site, F.lit(""))), rules.demoted_sites), float(rules.site_penalty)).otherwise(0.0) if site else F.lit(0.0)
+
+    def result(s: Column, m: Column, t: Column, r: Column, c: Column) -> Column:
+        return F.struct(
+            *(s[n].alias(f"seg_{n}") for n in SEGMENTS), s["all_text"].alias("all_text"), m.alias("matched"), t.alias("tiers"), r["raw"].alias("raw_score"), r["negative"].alias("negative"),
+            c.alias("confidence_score"), decision(c, rules).alias("filter_decision"), category_vote(m).alias("category"), content_type_vote(m, s["all_text"]).alias("content_type"),
+            F.struct(*(matched_texts(m, k).alias(n) for k, n in enumerate(TIERS))).alias("scoring_matched"), reason(m, t, r["negative"], c).alias("scoring_reason"),
+        )
+
+    def of_tiers(s: Column, m: Column, t: Column) -> Column:
+        raw = (paired_score(m, t, rules) if pairing else flat_score(m, rules)) + penalty
+        both = F.struct(raw.alias("raw"), negative_hit(s["all_text"], rules).alias("negative"))
+        return let(both, lambda r: let(final_score(r["raw"], m, r["negative"]), lambda c: result(s, m, t, r, c)))
+
+    whole = let(segment_struct(items, rules), lambda s: let(match_array(lambda n: s[n], s["all_text"], rules), lambda m: let(tier_scores(m, rules), lambda t: of_tiers(s, m, t))))
+    return items.withColumn("_s", whole).select(*items.columns, "_s.*")
 
 
 def quick_score(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
