@@ -200,3 +200,20 @@ def test_report_prefers_long_translations_and_details_are_the_last(spark):
 def test_histogram_has_all_buckets(spark):
     df = spark.createDataFrame([(0, 100, "accepted"), (1, 5, "filtered"), (2, 47, "review")], "ord long, confidence_score int, filter_decision string")
     assert {r.bucket: r.n for r in dashboard.score_histogram(df).collect()} == {**dict.fromkeys(range(11), 0), 0: 1, 10: 1}
+
+
+def test_rules_from_a_configuration():
+    from tidewire.sources.settings import rules_from, strong_texts
+
+    config = {
+        "strong": {"weight": 30, "keywords": [{"text": "A", "categories": ["x"]}, {"text": "a", "categories": ["y"]}]},
+        "medium": {"weight": 15, "keywords": [{"text": "b", "type": "core"}]},
+        "weak": {"weight": 5, "keywords": []},
+        "position_multipliers": {"title": 2},
+        "thresholds": {"direct_accept": 60},
+        "ambiguity_rules": {"B": {"standalone_score": False}},
+    }
+    rules = rules_from(config)
+    assert [(k.text, k.categories) for k in rules.keywords] == [("A", ("y",)), ("a", ("y",)), ("b", ())]
+    assert (rules.accept, rules.review, rules.ambiguity["b"].standalone, rules.ratios["B"]) == (60, 45, False, (0.6, 0.3))
+    assert strong_texts(config) == ["A", "a"]

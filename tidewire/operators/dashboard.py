@@ -62,3 +62,9 @@ def drift(stats: DataFrame, share_points: float = 5.0, bucket_rows: int = 5) ->
     return out.where("prev_day is not null").select(
         "day", "prev_day", F.round("share", 6).alias("share"), F.round(change, 6).alias("share_change"), (F.abs(change) >= share_points).alias("share_flag"), F.array_join(moved.cast("array<string>"), ",").alias("moved_buckets")
     )
+
+
+def fetch_counts(statuses: DataFrame) -> DataFrame:
+    """Sources fetched, failed and skipped as disabled, of the last status of each."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return statuses.agg(of("success").alias("n_success"), of("error").alias("n_error"), of("auto_disabled").alias("n_disabled"))

@@ -359,6 +359,14 @@ def last_status(spark, sf_dir):
     return health.last_status(statuses(spark, sf_dir))
 
 
+@query(
+    f"""WITH {FETCHES_SQL}, ls AS (SELECT failed FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) = 1)
+SELECT count(*) FILTER (NOT failed) AS n_success, count(*) FILTER (failed) AS n_error, CAST(0 AS BIGINT) AS n_disabled FROM ls"""
+)
+def fetch_counts(spark, sf_dir):
+    return dashboard.fetch_counts(health.last_status(statuses(spark, sf_dir)))
+
+
 @query(
     f"""{HEALTH_SQL}, {SOURCES_SQL},
 ls AS (SELECT name, CASE WHEN failed THEN 'error' ELSE 'success' END AS status, CASE WHEN failed THEN 'e' || seq END AS error FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) = 1),
