@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, table
+from .common import id_and_text, small_batches, table
 
 MAX_RANKS = 1 << 20
 #: Rows longer than this merge all occurrences of their minimum pair in a round.
@@ -269,6 +269,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int): the token ids of every whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,8 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of ``BATCH_BYTES`` for this session, unless it asks for smaller ones: long texts fill them before rows do."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name).rstrip("b"))
+    said = spark.conf.get(name)
+    now = 0 if said.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said)
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
 

@@ -6,8 +6,8 @@
    bucket with probability 3e-8; no bucket is capped.
 3. In each bucket members are paired with its smallest member only. Pairs whose collision-corrected estimate is 6
    standard deviations too low are dropped; each document's best pair is confirmed on the full sets of both
-   texts, and confirmed links are joined to components.
-4. Buckets that still hold several components are settled exactly: their members are compared by signature in
+   texts, then all others that join two components; confirmed links are joined to components.
+4. Buckets of three and more that still hold several components are settled exactly: their members are compared by signature in
    blocks, those with a promising partner in another component get their texts, and full sets are
    compared in the same blocks; a block emits a spanning forest of its links, never all pairs.
 5. Components of all links, by contraction.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import minhash as mh
 from .bpe import slices
-from .common import Scratch, id_and_text, table
+from .common import Scratch, id_and_text, release, table
 from .components import components
 
 LANES = -(-mh.ROWS * mh.BANDS // 8) * 8
@@ -45,7 +45,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for whole in batches:
-            for b in slices(whole, 1, 2 << 20):
+            for b in slices(whole, 1, 1 << 20):
                 sets = [mh.shingles(mh.word_hashes(t, known), words) for t in b.column(1).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, sigs = [None] * len(sets), [None] * len(sets)
@@ -56,6 +56,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                     [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
                     names=["doc_id", "n_shingles", "set_key", "sig"],
                 )
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
@@ -93,6 +94,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                         last = (ta, mh.shingles(mh.word_hashes(ta, known), words))
                     ok.append(mh.linked(last[1], mh.shingles(mh.word_hashes(tb, known), words), percent))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
@@ -184,12 +186,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars = buckets.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     of = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     stars = promising(stars.join(of("b"), "b").join(of("a"), "a"), similarity)
-    best, best_path = scratch.save(stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")))
+    stars, stars_path = scratch.save(stars)
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     links, _ = scratch.save(confirmed(best, texts, words, percent))
-    scratch.drop(best_path)
+    labels = components(links, scratch)
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = stars.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    apart = apart.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    links, _ = scratch.save(links.unionByName(confirmed(apart, texts, words, percent)))
+    scratch.drop(stars_path)
     labels = components(links, scratch)
 
-    inside = buckets.join(labels, "node", "left").select("key", "band", "n", "node", F.coalesce("component", "node").alias("component"))
+    inside = buckets.where("n > 2").join(labels, "node", "left").select("key", "band", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_ = inside.join(mixed, "key", "left_semi").join(sigs, "node")
     members, _ = scratch.save(involved(open_, similarity))
