@@ -173,9 +173,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     spark, similarity = docs.sparkSession, percent / 100
     scratch = Scratch(spark, "neardup")
     texts = id_and_text(docs, id_col, text_col)
-    rows, rows_path = scratch.save(signed(texts, words))
-    sets = rows.where("set_key is not null and doc_id is not null").groupBy("set_key")
+    wide, wide_path = scratch.save(signed(texts, words))
+    sets = wide.where("set_key is not null and doc_id is not null").groupBy("set_key")
     sets, _ = scratch.save(sets.agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("set_key", F.col("m.doc_id").alias("node"), "m.sig"))
+    rows, _ = scratch.save(wide.drop("sig"))
+    scratch.drop(wide_path)
     sigs = sets.select("node", "sig")
 
     band = F.expr(f"posexplode(transform(sequence(0, {mh.BANDS - 1}), i -> xxhash64(i, substring(sig, i * {mh.ROWS} + 1, {mh.ROWS}))))")
@@ -187,6 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     of = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     stars = promising(stars.join(of("b"), "b").join(of("a"), "a"), similarity)
     stars, stars_path = scratch.save(stars)
+    # all texts are shuffled once, for those that any later step may compare
+    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).unionByName(buckets.where("n > 2").select("node")).distinct()
+    texts, _ = scratch.save(texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     links, _ = scratch.save(confirmed(best, texts, words, percent))
     labels = components(links, scratch)
@@ -206,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     final = components(more, scratch)
 
     nodes = sets.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    placed = rows.drop("sig").join(nodes, "set_key", "left")
+    placed = rows.join(nodes, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
