@@ -150,6 +150,32 @@ def test_lines_equal_brute_force(spark):
     assert got == want and any(got[k] != t for k, t in enumerate(texts))
 
 
+def every_alignment(texts):
+    """The texts without the lines aligned with any earlier text, by brute force."""
+    rows, out = [[(p, x.strip()) for p, x in enumerate(t.split("\n")) if x.strip()] for t in texts], []
+    for k, t in enumerate(texts):
+        gone = []
+        for before in rows[:k]:
+            both = {x for _, x in before} & {x for _, x in rows[k]}
+            mine, theirs = [(p, x) for p, x in rows[k] if x in both], [x for _, x in before if x in both]
+            gone += [(mine[j][0], len(mine[j][1].split())) for _, j in line_dedup.patience(theirs, [x for _, x in mine])]
+        cut = set(line_dedup.blocks_to_delete(gone, 5))
+        out.append("\n".join(x for p, x in enumerate(t.split("\n")) if p not in cut))
+    return out
+
+
+def test_lines_equal_alignment_with_every_earlier_document(spark):
+    a, b = "first line of five words", "second line of five words"
+    texts = [f"{b}\n{a}", "nothing in common here at all", f"{a}\n{b}", f"{a}\n{b}\nan own line of many words"]
+    got = {r.row.doc_id: r.row.text for r in line_dedup.dedup_lines(docs(spark, texts), whole=True).collect()}
+    assert got[3] == "an own line of many words" and list(got[k] for k in range(4)) == every_alignment(texts)
+    rng = random.Random(8)
+    pool = [f"line {i} with some words of its own" for i in range(6)] + ["short", "two words"]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.8 else f"only {k} {j} is here once" for j in range(rng.randint(1, 8))) for k in range(60)]
+    got = {r.row.doc_id: r.row.text for r in line_dedup.dedup_lines(docs(spark, texts), whole=True).collect()}
+    assert [got[k] for k in range(60)] == every_alignment(texts)
+
+
 def test_bpe_equals_the_library(spark):
     import tiktoken
 

@@ -1,12 +1,16 @@
 """Operator 4: line dedup by pairwise alignment.
 
-Lines are hashed (trimmed, blank ones left out). A hash in several documents pairs each later document
-with the first that holds it, so the pairs follow the number of repeated lines however common a line is. A
-pair is aligned by patience diff on the lines for which it was paired: equal heads and tails, then lines unique on both
-sides in longest increasing order, then the gaps between them. Aligned lines of all a document's
-pairs are put together, and those that form blocks of consecutive lines with at least ``MIN_WORDS`` words are deleted
-from it, the later document. A frequent line needs no cap: it has one earlier partner, and
-hashes are aggregated before they are shuffled.
+Lines are hashed (trimmed, blank ones left out). A document is aligned with the earlier ones by patience diff on the
+lines that both hold: equal heads and tails, then lines unique on both sides in longest increasing order, then the gaps
+between them. Lines aligned with any earlier document are put together, and those that form blocks of
+consecutive lines with at least ``MIN_WORDS`` words are deleted from it, the later document.
+
+With ``whole`` the result is that of the alignment with every earlier document; pairs that can't add to it are left out:
+lines of one document play no part; of documents with equal sequences of shared lines only the first is aligned
+with later ones, and its later copies lose all these lines; a document meets the first holders of its lines, and then
+only documents that hold a line of it that is still open, those that hold it most often first, in growing
+rounds until no line is open or no holder is left. Without ``whole`` a line pairs its document with the line's first holder only, on the
+lines for which they were paired.
 
 Defined cases: null text stays null and empty text empty; "later" is the larger doc_id, so rows of one doc_id don't
 shorten each other, and rows without a doc_id neither lose nor give lines; equal rows lose the same lines; a document whose last
@@ -21,12 +25,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import slices
 from .common import Scratch, table
 
 MIN_WORDS = 5
+#: Partners that one row carries to an alignment.
+PARTNERS = 64
 
 DELETED = "deleted array<int>, flags array<boolean>, partners array<long>"
 
@@ -122,15 +129,118 @@ def aligned(documents: DataFrame, min_words: int) -> DataFrame:
     return documents.select("doc_id", "print", "shared").mapInArrow(run, f"doc_id long, print long, {DELETED}")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, print (hash of the text), deleted, partners of the documents with lines to delete."""
-    scratch = Scratch(docs.sparkSession, "lines")
+def met(documents: DataFrame) -> DataFrame:
+    """doc_id, print, places, partners: aligned places and the first partner of each. documents: core, open (places), theirs: array of (e, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 4):
+                places, partners = [], []
+                for core, wanted, theirs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    own, left, of = {c["hash"] for c in core}, set(wanted), {}
+                    for e in sorted(theirs, key=lambda e: e["e"]["doc_id"]):
+                        there = [h for h in e["hashes"] if h in own]
+                        both = set(there)
+                        here = [(c["place"], c["hash"]) for c in core if c["hash"] in both]
+                        for _, y in patience(there, [h for _, h in here]):
+                            of.setdefault(here[y][0], e["e"]["doc_id"])
+                            left.discard(here[y][0])
+                        if not left:
+                            break
+                    places.append(list(of))
+                    partners.append(list(of.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(partners, pa.list_(pa.int64()))], names=["doc_id", "print", "places", "partners"]
+                )
+
+    return documents.select("doc_id", "print", "core", "open", "theirs").mapInArrow(run, "doc_id long, print long, places array<int>, partners array<long>")
+
+
+def meet(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """``met`` for documents and arrays of their partners. pairs: doc_id, print, open, es; told: as in ``repeated_passages``."""
+    pairs = pairs.select("doc_id", "print", "open", F.posexplode("es").alias("n", "e")).withColumn("part", F.floor(F.col("n") / PARTNERS))
+    reps = told.where("rep.doc_id = doc_id and rep.print = print").select(F.col("rep").alias("e"), F.col("core.hash").alias("hashes"))
+    theirs = pairs.join(reps, "e").groupBy("doc_id", "print", "part").agg(F.first("open").alias("open"), F.collect_list(F.struct("e", "hashes")).alias("theirs"))
+    return met(theirs.join(told.select("doc_id", "print", "core"), ["doc_id", "print"]))
+
+
+def chosen(documents: DataFrame, min_words: int) -> DataFrame:
+    """As ``aligned``. documents: core, found: array of (places, partners), rep (null in found: all lines are aligned with it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            deleted, flags, partners = [], [], []
+            for core, found, rep in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                of: dict[int, int] = {}
+                for f in found if found is not None else [{"places": [c["place"] for c in core], "partners": [rep] * len(core)}]:
+                    for p, e in zip(f["places"], f["partners"], strict=True):
+                        of[p] = min(of.get(p, e), e)
+                places = blocks_to_delete([(c["place"], c["words"]) for c in core if c["place"] in of], min_words)
+                gone = set(places)
+                deleted.append(places)
+                flags.append([p in gone for p in range(max(places, default=-1) + 1)])
+                partners.append(sorted({of[p] for p in places}))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(deleted, pa.list_(pa.int32())), pa.array(flags, pa.list_(pa.bool_())), pa.array(partners, pa.list_(pa.int64()))],
+                names=["doc_id", "print", "deleted", "flags", "partners"],
+            )
+
+    return documents.select("doc_id", "print", "core", "found", F.col("rep.doc_id").alias("rep")).mapInArrow(run, f"doc_id long, print long, {DELETED}")
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, print, place, hash, words of every line that isn't blank."""
     text = docs[text_col].cast("string")
     whole = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
     line = F.regexp_replace("line", r"^\s+|\s+$", "")
     lines = whole.where("doc_id is not null").select("doc_id", "print", "place", line.alias("line")).where("line != ''")
-    lines = lines.select("doc_id", "print", "place", F.xxhash64("line").alias("hash"), F.size(F.split("line", r"\s+")).alias("words"))
-    lines, _ = scratch.save(lines)
+    return lines.select("doc_id", "print", "place", F.xxhash64("line").alias("hash"), F.size(F.split("line", r"\s+")).alias("words"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """As ``repeated_lines``, from the alignment with every earlier document."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    lines, raw = scratch.save(line_table(docs, id_col, text_col))
+    owner = F.struct("doc_id", "print")
+    firsts = lines.groupBy("hash").agg(F.min(owner).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    shared = lines.join(firsts.select("hash", "first"), "hash")
+    core = shared.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set(F.struct("place", "hash", "words", "first"))).alias("core"))
+    core, cut = scratch.save(core.withColumns({"k1": F.xxhash64("core.hash"), "k2": F.xxhash64(F.lit(1), "core.hash")}))
+    scratch.drop(raw)
+    told, _ = scratch.save(core.join(core.groupBy("k1", "k2").agg(F.min(owner).alias("rep")), ["k1", "k2"]).drop("k1", "k2"))
+    scratch.drop(cut)
+    earlier = F.filter("core", lambda c: c["first"]["doc_id"] < F.col("doc_id"))
+    own = told.where("rep.doc_id = doc_id").select("doc_id", "print", "core", earlier.alias("earlier")).where("size(earlier) > 0")
+    pairs = own.select("doc_id", "print", F.col("earlier.place").alias("open"), F.array_distinct("earlier.first").alias("es"))
+    found, _ = scratch.save(meet(pairs, told))
+    known = found.groupBy("doc_id", "print").agg(F.flatten(F.collect_list("places")).alias("places"))
+    left = own.join(known, ["doc_id", "print"], "left").withColumn("open", F.array_except("earlier.place", F.coalesce("places", F.array().cast("array<int>"))))
+    left = left.where("size(open) > 0").select("doc_id", "print", F.explode(F.filter("earlier", lambda c: F.array_contains("open", c["place"]))).alias("c"))
+    left, _ = scratch.save(left.select("doc_id", "print", "c.place", "c.hash"))
+    all_found = found
+    if not left.isEmpty():
+        holders = told.where("rep.doc_id = doc_id and rep.print = print").select(F.col("rep").alias("e"), F.explode("core.hash").alias("hash"))
+        holders = holders.join(left.select("hash").distinct(), "hash", "left_semi").groupBy("hash", "e").agg(F.count("*").alias("n"))
+        holders, _ = scratch.save(holders.withColumn("rank", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("n"), "e"))))
+        last, low = holders.agg(F.max("rank")).first()[0], 1
+        while low <= last:
+            some = holders.where((F.col("rank") >= low) & (F.col("rank") < 8 * low))
+            tried = left.join(some, "hash").where("e.doc_id < doc_id").groupBy("doc_id", "print").agg(F.collect_set("place").alias("open"), F.collect_set("e").alias("es"))
+            found, _ = scratch.save(meet(tried, told))
+            all_found = all_found.unionByName(found)
+            left, _ = scratch.save(left.join(found.select("doc_id", "print", F.explode("places").alias("place")), ["doc_id", "print", "place"], "left_anti"))
+            low *= 8
+            if left.isEmpty():
+                break
+    grouped = all_found.where("size(places) > 0").groupBy("doc_id", "print").agg(F.collect_list(F.struct("places", "partners")).alias("found"))
+    both = told.join(grouped, ["doc_id", "print"], "left").where("rep.doc_id < doc_id or found is not null")
+    return chosen(both, min_words).where("size(deleted) > 0")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, print (hash of the text), deleted, partners of the documents with lines to delete."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines, _ = scratch.save(line_table(docs, id_col, text_col))
     owner = F.struct("doc_id", "print")
     firsts = lines.groupBy("hash").agg(F.min(owner).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     shared, _ = scratch.save(lines.join(firsts.select("hash", "first"), "hash"))
@@ -143,9 +253,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return aligned(grouped, min_words).where("size(deleted) > 0")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """``row`` (a struct of the document's columns, its text shortened), n_lines, deleted and partners."""
-    found, _ = Scratch(docs.sparkSession, "deleted").save(repeated_lines(docs, id_col, text_col, min_words))
+    found, _ = Scratch(docs.sparkSession, "deleted").save((repeated_passages if whole else repeated_lines)(docs, id_col, text_col, min_words))
     found = found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "deleted", "flags", "partners")
     rows = docs.select(
         F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("_of"), docs[text_col].cast("string").alias("_text"), F.xxhash64(docs[text_col].cast("string")).alias("_own")
@@ -168,7 +278,7 @@ def drop_emptied(deduped: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return found.select(
         "row.doc_id",
         "n_lines",
