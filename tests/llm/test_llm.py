@@ -128,6 +128,21 @@ def test_patience_alignment():
     assert line_dedup.patience(list("abcx"), list("zabc")) == [(0, 1), (1, 2), (2, 3)]
 
 
+def test_gaps_without_unique_lines_are_aligned_whole():
+    assert len(line_dedup.patience(list("xyxy"), list("yxyx"))) == 3
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") * 2 for _ in range(rng.randint(0, 14))] for _ in range(2))
+        a, b = a + a[::-1], b[::-1] + b  # each line more than once
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (x == y))
+        for got in (line_dedup.longest(a, b), line_dedup.patience(a, b)):
+            assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(4)
     pool = [f"line {i} with some words of its own" for i in range(8)] + ["short", "", "  "]

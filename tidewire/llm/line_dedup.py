@@ -2,7 +2,7 @@
 
 Lines are hashed (trimmed, blank ones left out). A document is aligned with the earlier ones by patience diff on the
 lines that both hold: equal heads and tails, then lines unique on both sides in longest increasing order, then the gaps
-between them. Lines aligned with any earlier document are put together, and those that form blocks of
+between them; a gap without such lines is aligned by a longest common subsequence. Lines aligned with any earlier document are put together, and those that form blocks of
 consecutive lines with at least ``MIN_WORDS`` words are deleted from it, the later document.
 
 With ``whole`` the result is that of the alignment with every earlier document; pairs that can't add to it are left out:
@@ -24,6 +24,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,6 +59,38 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of a with each head of b."""
+    row = np.zeros(len(b) + 1, np.int32)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
+def longest(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in memory that grows with the two lengths only (Hirschberg)."""
+    codes = {x: k for k, x in enumerate(set(a) & set(b))}
+    at, bt = [i for i, x in enumerate(a) if x in codes], [j for j, x in enumerate(b) if x in codes]
+    u, v = np.array([codes[a[i]] for i in at], np.int64), np.array([codes[b[j]] for j in bt], np.int64)
+    out, todo = [], [(0, len(u), 0, len(v))]
+    while todo:
+        i, m, j, n = todo.pop()
+        while i < m and j < n and u[i] == v[j]:
+            out.append((at[i], bt[j]))
+            i, j = i + 1, j + 1
+        if i == m or j == n:
+            continue
+        if m - i == 1:
+            hit = np.flatnonzero(v[j:n] == u[i])
+            if len(hit):
+                out.append((at[i], bt[j + int(hit[0])]))
+            continue
+        half = (i + m) // 2
+        cut = j + int(np.argmax(lengths(u[i:half], v[j:n]) + lengths(u[half:m][::-1], v[j:n][::-1])[::-1]))
+        todo += [(i, half, j, cut), (half, m, cut, n)]
+    return sorted(out)
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned places (in a, in b) of two sequences."""
     out: list[tuple[int, int]] = []
@@ -82,6 +115,8 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
                 if y < n:
                     out.append((x, y))
                 i0, j0 = x + 1, y + 1
+        else:
+            out += [(i + x, j + y) for x, y in longest(a[i:m], b[j:n])]
     return sorted(out)
 
 
