@@ -169,12 +169,12 @@ def every_alignment(texts):
     """The texts without the lines aligned with any earlier text, by brute force."""
     rows, out = [[(p, x.strip()) for p, x in enumerate(t.split("\n")) if x.strip()] for t in texts], []
     for k, t in enumerate(texts):
-        gone = []
+        gone, rank = [], {p: r for r, (p, _) in enumerate(rows[k])}
         for before in rows[:k]:
             both = {x for _, x in before} & {x for _, x in rows[k]}
             mine, theirs = [(p, x) for p, x in rows[k] if x in both], [x for _, x in before if x in both]
-            gone += [(mine[j][0], len(mine[j][1].split())) for _, j in line_dedup.patience(theirs, [x for _, x in mine])]
-        cut = set(line_dedup.blocks_to_delete(gone, 5))
+            gone += [(rank[mine[j][0]], len(mine[j][1].split())) for _, j in line_dedup.patience(theirs, [x for _, x in mine])]
+        cut = {rows[k][r][0] for r in line_dedup.blocks_to_delete(gone, 5)}
         out.append("\n".join(x for p, x in enumerate(t.split("\n")) if p not in cut))
     return out
 
@@ -191,6 +191,14 @@ def test_lines_equal_alignment_with_every_earlier_document(spark):
     assert [got[k] for k in range(60)] == every_alignment(texts)
 
 
+def test_blank_lines_do_not_end_a_block(spark):
+    verse = [f"verse {w}\n" for w in "one two three four five six".split()]
+    texts = ["\n".join(verse), "own line here\n" + "\n \n".join(verse) + "\n\nother own line"]
+    got = {r.row.doc_id: r.row.text for r in line_dedup.dedup_lines(docs(spark, texts), whole=True).collect()}
+    assert got[0] == texts[0] and got[1].split() == "own line here other own line".split()
+    assert [got[0], got[1]] == every_alignment(texts)
+
+
 def test_bpe_equals_the_library(spark):
     import tiktoken
 

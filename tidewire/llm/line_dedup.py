@@ -9,7 +9,7 @@ With ``whole`` the result is that of the alignment with every earlier document;
 lines of one document play no part; of documents with equal sequences of shared lines only the first is aligned
 with later ones, and its later copies lose all these lines; a document meets the first holders of its lines, and then
 only documents that hold a line of it that is still open, those that hold it most often first, in growing
-rounds until no line is open or no holder is left. Without ``whole`` a line pairs its document with the line's first holder only, on the
+rounds until no line is open or no holder is left; blank lines don't end a block. Without ``whole`` they do, and a line pairs its document with the line's first holder only, on the
 lines for which they were paired.
 
 Defined cases: null text stays null and empty text empty; "later" is the larger doc_id, so rows of one doc_id don't
@@ -210,7 +210,8 @@ def chosen(documents: DataFrame, min_words: int) -> DataFrame:
                 for f in found if found is not None else [{"places": [c["place"] for c in core], "partners": [rep] * len(core)}]:
                     for p, e in zip(f["places"], f["partners"], strict=True):
                         of[p] = min(of.get(p, e), e)
-                places = blocks_to_delete([(c["place"], c["words"]) for c in core if c["place"] in of], min_words)
+                at = {c["rank"]: c["place"] for c in core if c["place"] in of}
+                places = [at[r] for r in blocks_to_delete([(c["rank"], c["words"]) for c in core if c["place"] in of], min_words)]
                 gone = set(places)
                 deleted.append(places)
                 flags.append([p in gone for p in range(max(places, default=-1) + 1)])
@@ -224,12 +225,11 @@ def chosen(documents: DataFrame, min_words: int) -> DataFrame:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, print, place, hash, words of every line that isn't blank."""
+    """doc_id, print, place, rank (place among those lines), hash, words of every line that isn't blank."""
     text = docs[text_col].cast("string")
-    whole = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    line = F.regexp_replace("line", r"^\s+|\s+$", "")
-    lines = whole.where("doc_id is not null").select("doc_id", "print", "place", line.alias("line")).where("line != ''")
-    return lines.select("doc_id", "print", "place", F.xxhash64("line").alias("hash"), F.size(F.split("line", r"\s+")).alias("words"))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
+    whole = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.posexplode(F.filter(lines, lambda x: x["line"] != "")).alias("rank", "at"))
+    return whole.where("doc_id is not null").select("doc_id", "print", "at.place", "rank", F.xxhash64("at.line").alias("hash"), F.size(F.split("at.line", r"\s+")).alias("words"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -239,7 +239,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     owner = F.struct("doc_id", "print")
     firsts = lines.groupBy("hash").agg(F.min(owner).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     shared = lines.join(firsts.select("hash", "first"), "hash")
-    core = shared.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set(F.struct("place", "hash", "words", "first"))).alias("core"))
+    core = shared.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set(F.struct("place", "rank", "hash", "words", "first"))).alias("core"))
     core, cut = scratch.save(core.withColumns({"k1": F.xxhash64("core.hash"), "k2": F.xxhash64(F.lit(1), "core.hash")}))
     scratch.drop(raw)
     told, _ = scratch.save(core.join(core.groupBy("k1", "k2").agg(F.min(owner).alias("rep")), ["k1", "k2"]).drop("k1", "k2"))
