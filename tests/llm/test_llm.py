@@ -242,6 +242,17 @@ def test_quality_keeps_good_documents(spark):
     assert good.rejected.mean() < 0.03 and got[got.quality == 0].rejected.mean() > 0.7
 
 
+def test_quality_rejects_toxic_documents_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)))
+    got = quality.judge(rows, spark.read.parquet(f"{sf}/labels.parquet")).toPandas()
+    got = got.merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id").merge(rows.select("doc_id", "fold").toPandas(), on="doc_id")
+    unseen = got[got.fold == 1]
+    toxic, good = unseen[(unseen.quality == 1) & (unseen.toxic == 1)], unseen[(unseen.quality == 1) & (unseen.toxic == 0)]
+    print(toxic.groupby("lang").rejected.agg(["mean", "size"]), good.rejected.mean(), got[got.quality == 0].rejected.mean())
+    assert toxic.rejected.mean() > 0.7 and good.rejected.mean() < 0.03
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     rng = random.Random(6)
     text = ["".join(rng.choice("abcd ") for _ in range(300)) for _ in range(6)]

@@ -8,6 +8,10 @@ the tables of their language meet in blocks of about ``BLOCK_BYTES`` of text, wh
 probability: the text's perplexity. A text is rejected if its perplexity is above the ``QUANTILE``
 of its language's trusted texts of the other fold, which the model hasn't seen.
 
+Toxic texts are ordinary prose with marked words, which perplexity doesn't see. A second model weighs words and
+their heads by the log ratio of their shares of the labelled toxic and of the trusted texts of the first fold; a text's ``toxicity`` is its
+largest weight, and it is rejected, too, if that is above the same quantile of the trusted texts of the other fold.
+
 So that a handful of characters don't decide, a text counts as continued by ``PRIOR`` characters of its
 language's mean log probability (over the trusted texts of the other fold).
 
@@ -19,6 +23,7 @@ other columns are carried or not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,9 @@ BLOCK_BYTES = 24 << 20
 #: Trusted ids up to this number are sent to every executor (8 bytes each); more are joined by a shuffle.
 SMALL = 4_000_000
 LIMIT = 3072
+#: The kind of the weights of words in the tables, the lengths of the heads of words, and the toxic texts that a word must be in.
+MARKS, HEADS, SEEN = 99, (4, 5, 6, 7), 3
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def char_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +102,36 @@ def top_counts(trusted: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
+def marks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct words and heads of words, and their number in each text."""
+    found = []
+    for t in texts:
+        words = set(WORD.findall(t.lower()))
+        found.append(words | {w[:k] + "*" for w in words for k in HEADS if len(w) > k})
+    flat = np.array([w for f in found for w in f], object)
+    return pd.util.hash_array(flat).view(np.int64) if len(flat) else np.zeros(0, np.int64), np.array([len(f) for f in found], np.int64)
+
+
+def mark_weights(labelled: DataFrame, scratch: Scratch) -> DataFrame:
+    """lang, kind, g, value: weights above 0 of words and heads. labelled: lang, toxic, text, never null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 2):
+                keys, texts = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), b.column(2).to_pylist()
+                for lang, toxic in sorted(set(keys)):
+                    g, c = np.unique(marks([t for x, t in zip(keys, texts, strict=True) if x == (lang, toxic)])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array([toxic] * len(g), pa.bool_()), pa.array(g), pa.array(c)], names=["lang", "toxic", "g", "c"])
+
+    count = lambda of, n: F.coalesce(F.sum(F.when(of, n)), F.lit(0)).cast("double")
+    toxic, fine = F.col("toxic"), ~F.col("toxic")
+    n = labelled.groupBy("lang").agg(count(toxic, F.lit(1)).alias("n_toxic"), count(fine, F.lit(1)).alias("n_fine"))
+    seen = labelled.select("lang", "toxic", "text").mapInArrow(run, "lang string, toxic boolean, g long, c long")
+    seen = seen.groupBy("lang", "g").agg(count(toxic, F.col("c")).alias("t"), count(fine, F.col("c")).alias("f")).where(F.col("t") >= SEEN)
+    value = F.log((F.col("t") + 0.5) / (F.col("n_toxic") + 1)) - F.log((F.col("f") + 0.5) / (F.col("n_fine") + 1))
+    return scratch.save(seen.join(n, "lang").select("lang", F.lit(MARKS).alias("kind"), "g", value.alias("value")).where("value > 0"))[0]
+
+
 def model_tables(trusted: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, kind, g, value: of kind k the log probability of a gram of order k, of kind -k the log of the back-off
     weight of a context of a gram of order k; of kind 0 that of any character."""
@@ -156,7 +194,7 @@ class Model:
 
 
 def log_sums(docs: DataFrame, tables: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, lang, print, trusted, fold, n_chars, log_sum (null in a language without a model). docs: these and text, never empty."""
+    """doc_id, lang, print, trusted, fold, n_chars, log_sum, toxicity (null in a language without a model). docs: these and text, never empty."""
     size = docs.groupBy("lang").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     size, _ = scratch.save(size)
     size = F.broadcast(size) if size.count() <= 10_000 else size  # a row for each language
@@ -169,12 +207,13 @@ def log_sums(docs: DataFrame, tables: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(d: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(d):
-            return pd.DataFrame(columns=[*carried, "n_chars", "log_sum"])
+            return pd.DataFrame(columns=[*carried, "n_chars", "log_sum", "toxicity"])
         texts = d["text"].tolist()
-        out = d[carried].assign(n_chars=[len(t) for t in texts], log_sum=float("nan"))
-        if not len(m):
+        out = d[carried].assign(n_chars=[len(t) for t in texts], log_sum=float("nan"), toxicity=float("nan"))
+        if not (m["kind"] != MARKS).any():
             return out
         model, sums, k = Model(m.rename(columns={"gram": "g", "weight": "value"})), [], 0
+        most = []
         while k < len(texts):
             some, held = [], 0
             while k < len(texts) and (not some or held + len(texts[k]) <= 1 << 20):
@@ -183,13 +222,19 @@ def log_sums(docs: DataFrame, tables: DataFrame, scratch: Scratch) -> DataFrame:
                 k += 1
             grams, size = text_grams(some)
             sums.append(np.add.reduceat(model.log_probabilities(grams), np.cumsum(size) - size))
-        out = out.assign(log_sum=np.concatenate(sums))
+            top = np.zeros(len(some))
+            if MARKS in model.of:
+                keys, size = marks(some)
+                hit, weight = model.find(MARKS, keys)
+                np.maximum.at(top, np.repeat(np.arange(len(some)), size)[hit], weight[hit])
+            most.append(top)
+        out = out.assign(log_sum=np.concatenate(sums), toxicity=np.concatenate(most))
         del model, texts, grams, sums
         release()
         return out
 
     grouped = dealt.groupBy("lang", "block").cogroup(model.groupBy("of", "at"))
-    return grouped.applyInPandas(run, "doc_id long, lang string, print long, trusted boolean, fold int, n_chars long, log_sum double")
+    return grouped.applyInPandas(run, "doc_id long, lang string, print long, trusted boolean, fold int, n_chars long, log_sum double, toxicity double")
 
 
 def judge(
@@ -202,19 +247,22 @@ def judge(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("lang"), F.xxhash64(text).alias("print"), text.alias("text")
     )
     fine = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(F.min(F.coalesce(fine, F.lit(False))).alias("trusted"))
-    good, _ = scratch.save(good.where("trusted"))
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(
+        F.min(F.coalesce(fine, F.lit(False))).alias("trusted"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic")
+    )
+    good, _ = scratch.save(good.where("trusted or toxic"))
     good = F.broadcast(good) if good.count() <= SMALL else good
     full = rows.where("text is not null and text != ''").join(good, F.col("doc_id") == F.col("good_id"), "left").drop("good_id")
-    full = full.withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "fold": F.pmod("print", F.lit(2)).cast("int")})
+    full = full.withColumns({"trusted": F.coalesce("trusted", F.lit(False)), "toxic": F.coalesce("toxic", F.lit(False)), "fold": F.pmod("print", F.lit(2)).cast("int")})
     tables = model_tables(full.where("trusted and fold = 0"), scratch)
+    tables = tables.unionByName(mark_weights(full.where("(trusted or toxic) and fold = 0").select("lang", "toxic", "text"), scratch))
     scored, _ = scratch.save(log_sums(full, tables, scratch))
     unseen = scored.where("trusted and fold = 1 and log_sum is not null")
     means = unseen.groupBy("lang").agg((F.sum("log_sum") / F.sum("n_chars")).alias("mean"))
     perplexity = F.exp(-(F.col("log_sum") + PRIOR * F.col("mean")) / (F.col("n_chars") + PRIOR))
-    limits = unseen.join(means, "lang").groupBy("lang").agg(F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)).alias("threshold"), F.first("mean").alias("mean"))
+    limits = unseen.join(means, "lang").groupBy("lang").agg(F.percentile_approx(perplexity, F.lit(quantile), F.lit(10_000)).alias("threshold"), F.first("mean").alias("mean"), F.percentile_approx("toxicity", F.lit(quantile), F.lit(10_000)).alias("most"))
     told = scored.join(limits, "lang", "left").select(
-        "doc_id", "lang", "print", "n_chars", perplexity.alias("perplexity"), "threshold", F.coalesce(perplexity > F.col("threshold"), F.lit(False)).alias("rejected")
+        "doc_id", "lang", "print", "n_chars", perplexity.alias("perplexity"), "threshold", F.coalesce((perplexity > F.col("threshold")) | (F.col("toxicity") > F.col("most")), F.lit(False)).alias("rejected")
     )
     empty = rows.where("text is null or text = ''").selectExpr(
         "doc_id", "lang", "print", "0L as n_chars", "cast(null as double) as perplexity", "cast(null as double) as threshold", "false as rejected"
