@@ -444,7 +444,7 @@ def scrape_articles(spark, sf_dir):
 def fulltext_join(spark, sf_dir):
     """Items whose summary is short get the text of the page of their number."""
     pages = table(spark, sf_dir, "pages").select("url", "html", F.col("page_id").alias("ord"))
-    rows = items(spark, sf_dir).drop("url").withColumn("summary", F.left("summary", F.lit(250))).join(pages.select("ord", "url"), "ord", "left")
+    rows = items(spark, sf_dir).drop("url").join(pages.select("ord", "url"), "ord", "left")
     return extract.add_fulltext(rows, pages.select("url", "html")).select("ord", "url", "fulltext_fetched", F.length("summary").alias("n_chars"))
 
 
@@ -491,7 +491,7 @@ def feed_bodies(spark, sf_dir):
     safe = lambda c: T.escape_html(F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F]", ""))
     stamp = F.date_format(F.lit(NOW).cast("timestamp") - F.make_dt_interval((F.col("ord") % 15).cast("int")), "dd MMM yyyy HH:mm:ss")
     xml = F.concat(
-        F.lit('<rss version="2.0"><channel><item><title>'), safe(F.col("title")), F.lit("</title><link>"), F.col("url"), F.lit("</link><description>"), safe(F.left("summary", F.lit(300))),
+        F.lit('<rss version="2.0"><channel><item><title>'), safe(F.col("title")), F.lit("</title><link>"), F.col("url"), F.lit("</link><description>"), safe(F.col("summary")),
         F.lit("</description><pubDate>Mon, "), stamp, F.lit(" GMT</pubDate></item></channel></rss>"),
     )
     return rows.select("ord", "source_name", "language", F.lit("rss").alias("type"), F.lit(None).cast("string").alias("api_platform"), xml.alias("xml_text"), F.lit(None).cast("string").alias("error"))
