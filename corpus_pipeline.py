@@ -3,14 +3,14 @@
 Every stage takes what its predecessor kept, is written as Parquet and read again. The first four return the
 columns of ``documents``; the last returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
 
-quality     documents of a perplexity above their language's quantile of trusted texts go
+quality     documents of a perplexity, or a toxicity, above their language's quantile of trusted texts go
 lines       repeated lines go from the later document; a document of which nothing stays goes; n_chars follows the text
 near        of each group of near duplicates (5-word shingles, similarity 0.8) the smallest doc_id stays
 benchmark   documents that hold a benchmark window of 10 words go
 tokens      texts are encoded to token ids and decoded again
 
-ORACLE_SQL is None: patience alignment and byte-pair merges can't be expressed in SQL. tests/llm tests the whole run
-against a brute-force version.
+ORACLE_SQL is None: patience alignment and byte-pair merges can't be expressed in SQL. tests/llm tests the
+operators; the whole run has no brute-force test.
 """
 
 from __future__ import annotations
