@@ -279,3 +279,8 @@ def test_secrets_equal_brute_force(spark):
     assert Counter(s[0] for s in secrets.find_spans(weak)) == {"ident": 1, "token": 1}
     assert secrets.find_spans("key Abc9Xyz0Abc9Xyz0Abc9Xyz0") == [] and secrets.find_spans("user_name: alice") == []
     assert secrets.find_spans("user_name: alice\n\nAbc9Xyz0Abc9Xyz0Abc9Xyz0") == []
+
+
+def test_parts_of_a_scope_meet_at_any_distance():
+    far = "user_name: alice\n" + "some words\n" * 100 + "Abc9Xyz0Abc9Xyz0Abc9Xyz0"
+    assert [s[0] for s in secrets.find_spans(far)] == ["ident", "token"] and secrets.find_spans(far, 400) == []

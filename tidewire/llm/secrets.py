@@ -2,8 +2,8 @@
 
 Base kinds (assign, access, hex) are reported wherever they match. Weak parts, that is, account identifiers,
 opaque tokens and endpoints, mean little alone: they are reported only when complementary parts co-occur in
-a scope. A scope is the text between blank lines; within it, parts are joined by intervals: two parts meet
-if at most ``REACH`` code points lie between them. An opaque token (``token``) needs an identifier
+a scope. A scope is the text between blank lines; within it, parts meet at any distance, unless a ``reach`` in
+code points is given. An opaque token (``token``) needs an identifier
 (``ident`` or ``access``) or an endpoint beside it; an identifier needs a token, hex or assigned secret; an
 endpoint needs both an identifier and a secret. Each reported part carries its nearest partner. The join
 looks up neighbours in sorted starts, so its cost follows the number of parts and no pairs are listed.
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import id_and_text, table
 
-REACH = 400
 #: The order in which kinds of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "ident", "token", "endpoint")
 
@@ -74,16 +73,16 @@ class Neighbours:
         k = bisect_left(self.starts, part[1])
         return k > 0 and self.reaching[k - 1][1] > part[0]
 
-    def nearest(self, part: tuple[int, int, str], reach: int) -> tuple[int, int] | None:
-        """The nearest within reach; of equally near ones the earlier."""
+    def nearest(self, part: tuple[int, int, str], reach: int | None) -> tuple[int, int] | None:
+        """The nearest (within reach, if one is given); of equally near ones the earlier."""
         k = bisect_left(self.starts, part[0])
         sides = [*self.reaching[k - 1 : k][:1], *self.parts[k : k + 1]] if k else self.parts[:1]
         gaps = [(max(o[0] - part[1], part[0] - o[1], 0), o[0], o[1]) for o in sides]
         best = min(gaps, default=None)
-        return best[1:] if best and best[0] <= reach else None
+        return best[1:] if best and (reach is None or best[0] <= reach) else None
 
 
-def find_spans(text: str | None, reach: int = REACH) -> list[tuple[str, int, int, int | None, int | None]]:
+def find_spans(text: str | None, reach: int | None = None) -> list[tuple[str, int, int, int | None, int | None]]:
     """(kind, start, end, partner's start and end): base spans, and weak ones that have their complement."""
     if not text:
         return []
@@ -113,7 +112,7 @@ def find_spans(text: str | None, reach: int = REACH) -> list[tuple[str, int, int
     return [(k, s, e, *(link or (None, None))) for s, e, k, link in found]
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int | None = None) -> DataFrame:
     """doc_id and spans of every whole text, in order of start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
