@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.scratch import SMALL, Scratch, sized  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,30 +22,16 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewire-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-#: Bytes of an Arrow batch, which a task holds once in the JVM and about twice in its Python worker.
-BATCH_BYTES = 8 << 20
+def joined_where_needed(rows: DataFrame, key: str, found: DataFrame, same: Column, scratch: Scratch) -> DataFrame:
+    """rows left join found on ``same``; ``found`` has ``found_id`` (long), which equals the rows' column ``key`` where they join.
 
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_BYTES`` for this session, unless it asks for smaller ones: long texts fill them before rows do."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    said = spark.conf.get(name)
-    now = 0 if said.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said)
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
+    If found's ids are ``SMALL`` in number, only the rows that have one are exchanged, and all others stay where they lie.
+    """
+    ids, _ = scratch.save(found.select(F.col("found_id").alias("_touched")).distinct())
+    if ids.count() > SMALL:
+        return rows.join(found, same, "left")
+    on, ids = rows[key] == F.col("_touched"), F.broadcast(ids)
+    return rows.join(ids, on, "left_semi").join(found, same, "left").unionByName(rows.join(ids, on, "left_anti"), allowMissingColumns=True)
 
 
 def release() -> None:
@@ -57,33 +43,6 @@ def release() -> None:
         pass
 
 
-class Scratch:
-    """Parquet tables in the shared scratch folder, which cut a plan's lineage.
-
-    Tables that survive a lost executor, unlike cached blocks. ``drop`` removes one
-    as soon as nothing reads it any more; what a returned DataFrame still reads stays.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        small_batches(spark)
-        self.base = f"{scratch_dir(spark).rstrip('/')}/tidewire-{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-
-    def save(self, df: DataFrame) -> tuple[DataFrame, str]:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def drop(self, *paths: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

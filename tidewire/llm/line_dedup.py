@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Scratch, table
+from .common import Scratch, joined_where_needed, sized, table
 
 MIN_WORDS = 5
 #: Partners that one row carries to an alignment.
@@ -290,12 +290,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """``row`` (a struct of the document's columns, its text shortened), n_lines, deleted and partners."""
-    found, _ = Scratch(docs.sparkSession, "deleted").save((repeated_passages if whole else repeated_lines)(docs, id_col, text_col, min_words))
-    found = found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "deleted", "flags", "partners")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("_of"), docs[text_col].cast("string").alias("_text"), F.xxhash64(docs[text_col].cast("string")).alias("_own")
-    )
-    rows = rows.join(found, (F.col("_of") == F.col("_id")) & (F.col("_own") == F.col("_print")), "left")
+    scratch = Scratch(docs.sparkSession, "deleted")
+    found, _ = scratch.save((repeated_passages if whole else repeated_lines)(docs, id_col, text_col, min_words))
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("print").alias("_print"), "deleted", "flags", "partners")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[id_col].cast("long").alias("_of"), F.xxhash64(docs[text_col].cast("string")).alias("_own"))
+    rows = joined_where_needed(rows, "_of", found, (F.col("_of") == F.col("found_id")) & (F.col("_own") == F.col("_print")), scratch)
+    rows = rows.withColumn("_text", F.col("row")[text_col].cast("string"))
     lines, last = F.split("_text", "\n"), F.size("flags")
     left = F.array_join(F.filter(lines, lambda _, i: (i >= last) | ~F.get("flags", i)), "\n")
     text = F.when(F.col("flags").isNull(), F.col("_text")).otherwise(left)

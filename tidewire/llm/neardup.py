@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from . import minhash as mh
 from .bpe import slices
-from .common import Scratch, id_and_text, release, table
+from .common import SMALL, Scratch, id_and_text, release, sized, table
 from .components import components
 
 LANES = -(-mh.ROWS * mh.BANDS // 8) * 8
-#: Members of a bucket in a block.
-BLOCK = 1000
+#: Members of a bucket in a block, and the shingles that they hold together.
+BLOCK, BLOCK_SHINGLES = 1000, 500_000
+#: Nodes that one copy of a hub's text is compared with.
+STREAM = 1000
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
@@ -80,30 +82,44 @@ def promising(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, estimate double")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. texts: doc_id, text."""
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. texts: doc_id, text.
+
+    Every text is sent to the nodes a that it is compared with, and meets them in a stream ordered by a; a node a
+    that many others meet is dealt out, with ``STREAM`` of them at a time.
+    """
+    pairs, _ = scratch.save(pairs.select("a", "b"))
+    parts = pairs.groupBy("a").agg(F.floor(F.count("*") / STREAM).cast("int").alias("last"))
+    hubs = parts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), "last")).alias("part"), F.lit(True).alias("hub"))
+    others = pairs.join(parts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("part"), F.lit(False).alias("hub"))
+    routes, _ = scratch.save(hubs.unionByName(others))
+    routes = sized(routes, SMALL // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        last: tuple = (None, None)
+        last, own = None, []
         for whole in batches:
-            for b in slices(whole, 2):
-                ok = []
-                for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    if last[0] != ta:
-                        last = (ta, mh.shingles(mh.word_hashes(ta, known), words))
-                    ok.append(mh.linked(last[1], mh.shingles(mh.word_hashes(tb, known), words), percent))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for b in slices(whole, 4):
+                found: list[tuple[int, int]] = []
+                for a, part, hub, node, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (a, part) != last:
+                        last, own = (a, part), []
+                    mine = mh.shingles(mh.word_hashes(text, known), words)
+                    if hub:
+                        own.append(mine)
+                    elif any(mh.linked(x, mine, percent) for x in own):
+                        found.append((a, node))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
         release()
 
-    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long")
+    met = texts.join(routes, texts["doc_id"] == routes["node"]).select("a", "part", "hub", "node", "text")
+    met = met.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("hub"))
+    return met.mapInArrow(run, "a long, b long")
 
 
 def blocks(members: DataFrame, *carried: str) -> DataFrame:
-    """The members of each bucket (key, band, n, node, component, ...) once for every two blocks that they meet in: i <= j."""
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    """The members of each bucket (key, band, n, n_shingles, node, component, ...) once for every two blocks that they meet in: i <= j."""
+    count = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), count).cast("int")
     met = members.select("key", "band", "node", "component", *carried, own.alias("own"), F.explode(F.sequence(F.lit(0), count - 1)).alias("other"))
     return met.select("key", "band", "node", "component", *carried, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -175,7 +191,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     texts = id_and_text(docs, id_col, text_col)
     wide, wide_path = scratch.save(signed(texts, words))
     sets = wide.where("set_key is not null and doc_id is not null").groupBy("set_key")
-    sets, _ = scratch.save(sets.agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("set_key", F.col("m.doc_id").alias("node"), "m.sig"))
+    sets = sets.agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("m"))
+    sets, _ = scratch.save(sets.select("set_key", F.col("m.doc_id").alias("node"), "m.sig", "m.n_shingles"))
     rows, _ = scratch.save(wide.drop("sig"))
     scratch.drop(wide_path)
     sigs = sets.select("node", "sig")
@@ -191,20 +208,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     stars, stars_path = scratch.save(stars)
     # all texts are shuffled once, for those that any later step may compare
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).unionByName(buckets.where("n > 2").select("node")).distinct()
-    texts, _ = scratch.save(texts.join(wanted, texts["doc_id"] == wanted["node"], "left_semi"))
+    wanted, _ = scratch.save(wanted)
+    texts, _ = scratch.save(texts.join(sized(wanted), texts["doc_id"] == wanted["node"], "left_semi"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    links, _ = scratch.save(confirmed(best, texts, words, percent))
+    links, _ = scratch.save(confirmed(best, texts, words, percent, scratch))
     labels = components(links, scratch)
     named = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     apart = stars.join(named("a"), "a", "left").join(named("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     apart = apart.select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
-    links, _ = scratch.save(links.unionByName(confirmed(apart, texts, words, percent)))
+    links, _ = scratch.save(links.unionByName(confirmed(apart, texts, words, percent, scratch)))
     scratch.drop(stars_path)
     labels = components(links, scratch)
 
     inside = buckets.where("n > 2").join(labels, "node", "left").select("key", "band", "n", "node", F.coalesce("component", "node").alias("component"))
     mixed = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = inside.join(mixed, "key", "left_semi").join(sigs, "node")
+    open_, _ = scratch.save(inside.join(mixed, "key", "left_semi").join(sets.select("node", "n_shingles"), "node"))
+    open_ = open_.join(open_.groupBy("key").agg(F.sum("n_shingles").alias("shingles")), "key").join(sigs, "node")
     members, _ = scratch.save(involved(open_, similarity))
     more = settled(members.join(texts.withColumnRenamed("doc_id", "node"), "node"), similarity, words, percent)
     more, _ = scratch.save(more.unionByName(links))
@@ -219,8 +238,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without those whose group has one of smaller id; each row of a kept id stays."""
     found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    gone, _ = Scratch(docs.sparkSession, "copies").save(found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(sized(gone), docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
