@@ -33,8 +33,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENT = re.compile(r"""(?:client_?id|access_?key(?:_?id)?|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A)
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]{20,}", re.A)
-ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]*://[^\s"'<>]+""", re.I | re.A)
+#: A whole run of token characters; it counts if it holds a digit and a capital.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", re.A)
+DIGIT, CAPITAL = re.compile(r"[0-9]"), re.compile(r"[A-Z]")
+#: The scheme of an endpoint backwards from its ``://``, which is looked for first; what follows it.
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
+TARGET = re.compile(r"""[^\s"'<>]+""", re.A)
 SCOPE = re.compile(r"\n[^\S\n]*\n")
 
 PARTS = "spans array<struct<kind:string,start:int,end:int,partner_start:int,partner_end:int>>"
@@ -53,14 +57,36 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def weak_parts(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Identifiers, endpoints and tokens that no base span and no earlier kind overlaps."""
     out: list[tuple[int, int, str]] = []
-    for kind, pattern, sign in (("ident", IDENT, None), ("endpoint", ENDPOINT, "://"), ("token", TOKEN, None)):
-        if (sign and sign not in text) or (kind == "ident" and ":" not in text and "=" not in text):
-            continue
+    for kind, found in (("ident", identifiers), ("endpoint", endpoints), ("token", tokens)):
         taken = Neighbours([*base, *out])
-        out += [part for m in pattern.finditer(text) if not taken.overlap(part := (*m.span(), kind))]
+        out += [part for span in found(text) if not taken.overlap(part := (*span, kind))]
     return out
 
 
+def identifiers(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in IDENT.finditer(text)) if ":" in text or "=" in text else iter(())
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in TOKEN.finditer(text) if DIGIT.search(m[0]) and CAPITAL.search(m[0]))
+
+
+def endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """scheme://target, leftmost and not overlapping; each character is read a few times at most."""
+    end, at = 0, text.find("://")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in SCHEME:
+            start -= 1
+        while start < at and not text[start].isalpha():
+            start += 1
+        target = TARGET.match(text, at + 3) if start < at else None
+        if target:
+            end = target.end()
+            yield start, end
+        at = text.find("://", max(at + 1, end))
+
+
 class Neighbours:
     """Parts by start, and for each the one that reaches furthest so far: both sides of a part in one lookup."""
 
