@@ -36,8 +36,9 @@ MOST = 8_000_000
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 TO_WORDS = bytes(b if b in _WORD else 32 for b in LOWER)
 
-FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, longest int"
+FOUND = "n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: int, end: int>>, longest: int"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", SPANS), ("longest", pa.int32())])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -112,6 +113,51 @@ def search(tests: Tests, tokens: np.ndarray, order: np.ndarray) -> tuple[np.ndar
     return lo, hi
 
 
+def runs(tests: Tests, win: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Item, first word and number of words of the longest verbatim matches; win, at: the windows that occur, and where.
+
+    An occurrence continues another of the item if both lie one word further. Items are taken in parts of ``MOST`` occurrences at
+    most; an item that has more by itself is followed place by place.
+    """
+    each = np.bincount(tests.owner_item, np.bincount(win, minlength=len(tests.lens))[np.repeat(np.arange(len(tests.lens)), tests.owners)], len(tests.items))
+    part = np.where(each > MOST, -1 - np.arange(len(each)), np.cumsum(np.where(each > MOST, 0, each)) // MOST).astype(np.int64)
+    of_window = np.repeat(np.arange(len(tests.lens)), tests.owners)
+    for some in np.unique(part[each > 0]):
+        mine = np.flatnonzero(part[tests.owner_item] == some)
+        if some < 0:
+            yield followed(tests, int(-1 - some), mine, of_window[mine], win, at)
+            continue
+        owners = np.bincount(of_window[mine], minlength=len(tests.lens))
+        first_owner = np.cumsum(owners) - owners
+        k = owners[win]
+        own = mine[spread(first_owner[win], k)]
+        item, i, p, size = tests.owner_item[own], tests.owner_at[own], np.repeat(at, k), np.repeat(tests.lens[win], k)
+        turn = np.lexsort((i, p - i, item))
+        item, i, p, size = item[turn], i[turn], p[turn], size[turn]
+        new = np.ones(len(p), bool)
+        new[1:] = (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (i[1:] != i[:-1] + 1)
+        first = np.flatnonzero(new)
+        yield item[first], p[first], np.diff(first, append=len(p)) + size[first] - 1
+
+
+def followed(tests: Tests, item: int, mine: np.ndarray, of_window: np.ndarray, win: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``runs`` for one item, by the lengths of the matches that end at each of its words, place after place."""
+    places = {w: tests.owner_at[mine[of_window == w]] for w in np.unique(of_window).tolist()}
+    span = int(tests.owner_at[mine].max()) + 2
+    before, last, found = np.zeros(span, np.int64), -2, []
+    turn = np.argsort(at, kind="stable")
+    for w, p in zip(win[turn].tolist(), at[turn].tolist(), strict=True):
+        if w not in places:
+            continue
+        now = np.zeros(span, np.int64)
+        now[places[w] + 1] = 1 + (before[places[w]] if p == last + 1 else 0)
+        before, last = now, p
+        n = int(now.max())
+        found.append((p - n + 1, n + int(tests.lens[w]) - 1))
+    p, n = np.array(found, np.int64).reshape(-1, 2).T
+    return np.full(len(p), item), p, n
+
+
 def scan(tests: Tests, docs: list[list[bytes]]) -> list[tuple[int, list[str], list[tuple[int, int]], int]]:
     """For each document its hit words, items, hit spans (words, end exclusive) and longest match."""
     none = [(0, [], [], 0)] * len(docs)
@@ -136,7 +182,7 @@ def scan(tests: Tests, docs: list[list[bytes]]) -> list[tuple[int, list[str], li
     order = suffix_array(part, tests.longest)
     order = order[left[order] >= tests.shortest]
     lo, hi = search(tests, part, order)
-    if len(docs) > 1 and int(((hi - lo) * tests.owners).sum()) > MOST:
+    if len(docs) > 1 and int(((hi - lo) * tests.owners).sum()) > MOST:  # fewer documents at a time
         return scan(tests, docs[: len(docs) // 2]) + scan(tests, docs[len(docs) // 2 :])
     win = np.repeat(np.arange(len(lo)), hi - lo)
     at = where[order[spread(lo, hi - lo)]]
@@ -146,30 +192,19 @@ def scan(tests: Tests, docs: list[list[bytes]]) -> list[tuple[int, list[str], li
     np.add.at(marks, at, 1)
     np.add.at(marks, at + tests.lens[win], -1)
     edge = np.flatnonzero(np.diff((np.cumsum(marks)[:-1] > 0).astype(np.int8), prepend=0, append=0))
-    # to items: an occurrence continues another of the item if both lie one word further
-    k = tests.owners[win]
-    own = spread(tests.first_owner[win], k)
-    item, i, p = tests.owner_item[own], tests.owner_at[own], np.repeat(at, k)
-    size = np.repeat(tests.lens[win], k)
-    turn = np.lexsort((i, p - i, item))
-    item, i, p, size = item[turn], i[turn], p[turn], size[turn]
-    new = np.ones(len(p), bool)
-    new[1:] = (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (i[1:] != i[:-1] + 1)
-    first = np.flatnonzero(new)
-    length = np.diff(first, append=len(p)) + size[first] - 1
-    doc = np.searchsorted(begins, p[first], "right") - 1
-    longest = np.zeros(len(docs), np.int64)
-    np.maximum.at(longest, doc, length)
-    of: dict[int, set] = {}
-    for key in np.unique(doc * len(tests.items) + item[first]).tolist():
-        of.setdefault(key // len(tests.items), set()).add(tests.items[key % len(tests.items)])
+    longest, of = np.zeros(len(docs), np.int64), [set() for _ in docs]
+    for item, p, length in runs(tests, win, at):
+        doc = np.searchsorted(begins, p, "right") - 1
+        np.maximum.at(longest, doc, length)
+        for key in np.unique(doc * len(tests.items) + item).tolist():
+            of[key // len(tests.items)].add(tests.items[key % len(tests.items)])
     spans: dict[int, list] = {}
     for s, e, d in zip(edge[::2].tolist(), edge[1::2].tolist(), (np.searchsorted(begins, edge[::2], "right") - 1).tolist(), strict=True):
         spans.setdefault(d, []).append((s - int(begins[d]), e - int(begins[d])))
     out = []
     for d in range(len(docs)):
         mine = spans.get(d, [])
-        out.append((sum(e - s for s, e in mine), sorted({str(x) for x in of.get(d, ()) if x is not None}), mine, int(longest[d])))
+        out.append((sum(e - s for s, e in mine), sorted({str(x) for x in of[d] if x is not None}), mine, int(longest[d])))
     return out
 
 
@@ -184,6 +219,35 @@ def joined(a: list, b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def judged(tests: Tests, shard: pa.RecordBatch) -> pa.StructArray:
+    """What is found in a shard's texts, added to what earlier blocks have found (null at first)."""
+    texts = [words(t) for t in shard.column(0).to_pylist()]
+    found = []
+    for (hit, items, spans, longest), n, old in zip(scan(tests, texts), map(len, texts), shard.column(1).to_pylist(), strict=True):
+        if old and old["spans"]:
+            spans = joined(old["spans"], spans)
+            hit = sum(e - s for s, e in spans)
+        if old and old["items"]:
+            items = sorted({*items, *old["items"]})
+        spans = [{"start": s, "end": e} for s, e in spans]
+        found.append({"n_words": n, "n_hit": hit, "items": items, "spans": spans, "longest": max(longest, (old or {}).get("longest") or 0)})
+    return pa.array(found, FOUND_ARROW)
+
+
+def scanning(shared, window: int):
+    """A function of a text and what earlier blocks have found: with what the shared block of items has."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        tests = tests_of(shared, window)
+        for texts, before in batches:
+            whole = pa.RecordBatch.from_arrays([texts, before], names=["text", "before"])
+            parts = [judged(tests, b) for b in slices(whole, 0, SHARD_BYTES)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], FOUND_ARROW)
+
+    # said to be non-deterministic, so that no filter on its result makes Spark compute it twice
+    return F.arrow_udf(run, f"struct<{FOUND}>").asNondeterministic()
+
+
 def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
     """The benchmark, read block by block: the driver holds one block at a time."""
     block, held = [], 0
@@ -217,45 +281,17 @@ def contamination(
 ) -> DataFrame:
     """``row`` (a struct of the document's columns) and n_words, n_hit, items, spans, longest."""
     spark = docs.sparkSession
-    frame = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].cast("string").alias("text"))
-    frame = frame.selectExpr("row", "text", *(f"cast(null as {c.split(' ', 1)[1]}) as {c.split(' ', 1)[0]}" for c in FOUND.split(", ")))
-    schema = frame.schema
-    scratch = Scratch(spark, "decontamination")
+    kind = F.lit(None).cast(f"struct<{FOUND}>")
+    frame = docs.select(F.struct(*docs.columns).alias("row"), kind.alias("found"))
+    text = F.col("row")[text_col].cast("string")
+    scratch, old = Scratch(spark, "decontamination"), None
     for k, block in enumerate(item_blocks(benchmark.select(item_col, item_text), block_bytes)):
-        if k:
-            frame = scratch.save(frame)[0]  # one block's Python workers at a time
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tests = tests_of(shared, window)
-            for whole in batches:
-                for b in slices(whole, 1, SHARD_BYTES):
-                    texts = [words(t) for t in b.column(1).to_pylist()]
-                    before = b.select(["items", "spans", "longest"]).to_pylist()
-                    found = []
-                    for (hit, items, spans, longest), old in zip(scan(tests, texts), before, strict=True):
-                        if old["spans"]:
-                            spans = joined(old["spans"], spans)
-                            hit = sum(e - s for s, e in spans)
-                        if old["items"]:
-                            items = sorted({*items, *old["items"]})
-                        found.append((hit, items, [{"start": s, "end": e} for s, e in spans], max(longest, old["longest"] or 0)))
-                    hit, items, spans, longest = zip(*found, strict=True) if found else ((), (), (), ())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            b.column(0),
-                            b.column(1),
-                            pa.array([len(t) for t in texts], pa.int64()),
-                            pa.array(hit, pa.int64()),
-                            pa.array(items, pa.list_(pa.string())),
-                            pa.array(spans, SPANS),
-                            pa.array(longest, pa.int32()),
-                        ],
-                        names=["row", "text", "n_words", "n_hit", "items", "spans", "longest"],
-                    )
-
-        frame = frame.mapInArrow(run, schema)
-    return frame.drop("text")
+        if k:  # one block's Python workers at a time
+            last, (frame, old) = old, scratch.save(frame)
+            if last:
+                scratch.drop(last)
+        frame = frame.select("row", scanning(spark.sparkContext.broadcast(block), window)(text, "found").alias("found"))
+    return frame.select("row", "found.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

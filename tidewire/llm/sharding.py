@@ -1,18 +1,19 @@
 """Operator 6: byte-balanced sharding by histogram sort (DataFrame functions only).
 
 Every document gets a 60-bit sort key (20 bits of its text's digest, then 40 bits of its
-id's digest): equal texts lie together, and a text held by a third of all rows still spreads
-over 2**40 keys. Splitters are found by histogram refinement: each round counts the exact
+id's digest): equal texts lie together but for those that a splitter divides, and a text held by a third of all rows still spreads
+over 2**40 keys. Rows equal in doc_id and text share a key; ``tie``, a number by the row's place, tells them apart.
+Splitters are found by histogram refinement: each round counts the exact
 bytes in ``2**BITS`` probe intervals of the key range that still holds each splitter, keeps the
 interval in which the byte target falls and divides it again, until the interval's bytes are
-within ``tolerance`` or it holds a single key. Only counts reach the driver: at most ``shards - 1``
-ranges of ``2**BITS`` intervals. After that every row knows its shard, and one
-exchange brings the rows to (shard, piece), where slots are numbered; a piece holds about
-``piece_bytes``, so no task gets a whole shard.
+within ``tolerance`` or it holds a single key; if many rows have that key, ties are divided in the same way. Only counts reach the
+driver: at most ``shards - 1`` ranges of ``2**BITS`` intervals. After that every row knows its shard, and one
+exchange brings the rows to (shard, piece), where they are numbered; a piece holds about
+``piece_bytes``, so no task gets a whole shard. The numbered rows are written, counted by piece, and get their slots.
 
 Defined cases: null text has size 1 and the key of the empty text; a null doc_id has the key of
-the empty id; rows equal in doc_id and text share a key, hence a shard, and get different slots;
-an empty table gives an empty result; extra columns are carried, and an input column named like an
+the empty id; rows equal in doc_id and text get different slots, and different shards where they are many;
+an empty table gives an empty result; extra columns are carried whatever their names, and an input column named like an
 output is replaced.
 """
 
@@ -28,6 +29,7 @@ SHARDS = 16
 BITS = 12
 KEY_BITS = 60
 LOW = (1 << 40) - 1
+TIE_BITS = 20
 OUTPUTS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -44,12 +46,17 @@ def sort_key(doc_id: Column, text: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def find_splitters(keyed: DataFrame, shards: int, tolerance: int = 0) -> list[int]:
-    """The first keys of shards 1..shards-1. ``keyed``: key, size.
+def tie() -> Column:
+    """A number by the row's place in the input."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << TIE_BITS)).cast("int")
+
+
+def find_splitters(keyed: DataFrame, shards: int, tolerance: int = 0) -> list[tuple[int, int]]:
+    """The last keys and ties of shards 0..shards-2. ``keyed``: key, tie, size.
 
     Splitter i is the smallest key such that the rows of smaller keys and its own hold at least i/shards
     of all bytes, or with a tolerance a key that misses this target by so many bytes at most;
-    shard i begins after it.
+    shard i begins after it. Of a key that several rows have, only those of the smallest ties that reach the target count.
     """
     total = keyed.agg(F.sum("size")).first()[0]
     if not total:
@@ -57,7 +64,8 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: int = 0) -> list[in
     targets = {i: -(-i * total // shards) for i in range(1, shards)}
     # range of a target: (lowest key, bits of its width, bytes below it)
     ranges = {i: (0, KEY_BITS, 0) for i in targets}
-    found: dict[int, int] = {}
+    found: dict[int, tuple[int, int]] = {}
+    shared: dict[int, tuple[int, int]] = {}  # of a key with several rows: the key, bytes below it
     while ranges:
         bits = max(b for _, b, _ in ranges.values())
         step = max(0, bits - BITS)
@@ -68,7 +76,7 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: int = 0) -> list[in
         counts = (
             keyed.where(inside)
             .groupBy(F.shiftright("key", step).alias("cell"))
-            .agg(F.sum("size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"))
+            .agg(F.sum("size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n"))
             .collect()
         )
         cells: dict[int, list] = {low: [] for low in lows}
@@ -80,11 +88,23 @@ def find_splitters(keyed: DataFrame, shards: int, tolerance: int = 0) -> list[in
                     break
                 below += c["bytes"]
             over = below + c["bytes"] - targets[i]
-            if c["first"] == c["last"] or over <= tolerance:
-                found[i] = c["last"]
-                del ranges[i]
+            if over <= tolerance or (c["first"] == c["last"] and c["n"] == 1):
+                found[i] = c["last"], 1 << TIE_BITS
+            elif c["first"] == c["last"]:
+                shared[i] = c["last"], below
             else:
                 ranges[i] = (c["cell"] << step, step, below)
+                continue
+            del ranges[i]
+    step = TIE_BITS - BITS
+    same = F.col("key").isin([key for key, _ in shared.values()])
+    counts = sorted(keyed.where(same).groupBy("key", F.shiftright("tie", step).alias("cell")).agg(F.sum("size").alias("bytes")).collect()) if shared else []
+    for i, (key, below) in shared.items():
+        for c in (c for c in counts if c["key"] == key):
+            below += c["bytes"]
+            if below >= targets[i]:
+                break
+        found[i] = key, (c["cell"] + 1 << step) - 1
     return [found[i] for i in sorted(found)]
 
 
@@ -97,43 +117,41 @@ def shard_documents(
     piece_bytes: int = 64 << 20,
 ) -> DataFrame:
     """The documents with size, text_crc32, law, shard, slot and grown_shard; see the module's text."""
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession, "shards")
     doc_id, text = docs[id_col], docs[text_col].cast("string")
-    narrow = docs.select(sort_key(doc_id, text).alias("key"), row_size(text).alias("size"))
-    keyed, _ = Scratch(spark, "shards").save(narrow)  # 16 bytes a row: the rounds don't read texts again
+    narrow = docs.select(sort_key(doc_id, text).alias("key"), tie().alias("tie"), row_size(text).alias("size"))
+    keyed, keyed_path = scratch.save(narrow)  # 20 bytes a row: the rounds don't read texts again
     splitters = find_splitters(keyed, shards, tolerance)
-    largest = keyed.agg(F.sum("size")).first()[0] or 0
-    pieces = max(1, -(-largest // (shards * piece_bytes)))
 
-    def shard(key: Column) -> Column:
+    def shard(key: Column, tie: Column) -> Column:
         out = F.lit(0)
-        for s in splitters:
-            out = out + (key > s).cast("int")
+        for k, t in splitters:
+            out = out + ((key > k) | ((key == k) & (tie > t))).cast("int")
         return out.cast("int")
 
     # A shard's pieces are equal ranges of the id's 40 bits, which a text that many rows share doesn't skew.
     low = lambda key: key.bitwiseAND(F.lit(LOW))
-    span = max(1, (LOW + 1) // pieces)
+    largest = keyed.agg(F.sum("size")).first()[0] or 0
+    span = max(1, (LOW + 1) // max(1, -(-largest // (shards * piece_bytes))))
     piece = lambda key: F.floor(low(key) / span).cast("int")
-    sizes = keyed.groupBy(shard(F.col("key")).alias("_shard"), piece(F.col("key")).alias("_piece")).agg(F.count("*").alias("_n"))
-    starts = sizes.select(
-        "_shard", "_piece", (F.sum("_n").over(W.partitionBy("_shard").orderBy("_piece")) - F.col("_n")).alias("_start")
-    )  # a row for each piece
-    kept = [docs[c] for c in docs.columns if c not in OUTPUTS]
+    in_pieces = keyed.groupBy(shard(F.col("key"), F.col("tie")), piece(F.col("key"))).agg(F.sum("size").alias("bytes"))
+    # ties divide pieces that equal rows have made much too large
+    parts = max(1, (in_pieces.agg(F.max("bytes")).first()[0] or 0) // (4 * piece_bytes))
+    carried = [docs[c] for c in docs.columns if c not in OUTPUTS]
     rows = docs.select(
-        *kept,
+        *([F.struct(*carried).alias("row")] if carried else []),
         row_size(text).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        sort_key(doc_id, text).alias("_key"),
-    ).withColumns({"_shard": shard(F.col("_key")), "_piece": piece(F.col("_key"))})
-    place = F.row_number().over(W.partitionBy("_shard", "_piece").orderBy(low(F.col("_key")), "_key", "size", "text_crc32")) - 1
-    return (
-        rows.withColumn("_place", place.cast("long"))
-        .join(starts, ["_shard", "_piece"])
-        .withColumns({"shard": F.col("_shard"), "slot": F.col("_place") + F.col("_start"), "grown_shard": F.lit(None).cast("int")})
-        .drop("_key", "_shard", "_piece", "_place", "_start")
-    )
+        sort_key(doc_id, text).alias("key"),
+        tie().alias("tie"),
+    ).withColumns({"shard": shard(F.col("key"), F.col("tie")), "piece": piece(F.col("key")), "part": F.floor(F.col("tie") * F.lit(parts) / (1 << TIE_BITS)).cast("int")})
+    place = F.row_number().over(W.partitionBy("shard", "piece", "part").orderBy(low(F.col("key")), "key", "size", "text_crc32", "tie")) - 1
+    rows, _ = scratch.save(rows.withColumn("place", place.cast("long")).drop("key", "tie"))
+    scratch.drop(keyed_path)
+    starts, _ = scratch.save(rows.groupBy("shard", "piece", "part").agg(F.count("*").alias("n")))  # a row for each piece
+    starts = starts.select("shard", "piece", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("piece", "part")) - F.col("n")).alias("start"))
+    out = rows.join(starts, ["shard", "piece", "part"]).withColumn("slot", F.col("place") + F.col("start"))
+    return out.select(*(["row.*"] if carried else []), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
