@@ -55,9 +55,9 @@ def test_topk_ties_bad_vectors_and_early_stop(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
     rng = np.random.default_rng(0)
     x = np.floor(rng.pareto(1.0, (2000, 4)) * 50)
-    stops = {d for *_, d in topk.search(np.arange(2000), x, np.array([-1]), np.array([[3.0, 1.0, 2.0, 1.0]]), 5)}
+    stops = {d for *_, d in topk.search(np.arange(2000), topk.Lists(x), np.array([-1]), np.array([[3.0, 1.0, 2.0, 1.0]]), 5)}
     best = [(-s, i) for s, i in sorted(zip(-(x @ [3, 1, 2, 1]), range(2000)))[:5]]
-    assert [(s, i) for _, i, s, _ in topk.search(np.arange(2000), x, np.array([-1]), np.array([[3.0, 1.0, 2.0, 1.0]]), 5)] == best
+    assert [(s, i) for _, i, s, _ in topk.search(np.arange(2000), topk.Lists(x), np.array([-1]), np.array([[3.0, 1.0, 2.0, 1.0]]), 5)] == best
     assert max(stops) < 2000
 
 

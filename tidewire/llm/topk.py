@@ -1,13 +1,14 @@
 """Operator 1: exact top-k by inner product, with sorted lists and no random access (NRA).
 
-Candidates are dealt into shards of about ``SHARD`` vectors and queries into blocks of ``QUERIES``; each block meets
-each shard in a group of bounded size. A shard has two sorted lists for each dimension, one by
+Candidates are dealt into shards of about ``SHARD`` vectors; every shard is sorted once, and all queries stream past
+it in blocks of ``QUERIES``. A shard has two sorted lists for each dimension, one by
 falling and one by rising component; a query reads the list whose contributions fall, by the sign of its own component.
 Lists are read sequentially and all to the same depth. At a depth, a candidate's score is bounded by what has
 been read: components not yet seen lie between the list's last value read and its end. A query stops when
-its k-th lower bound exceeds the upper bounds of all others, seen or not; its winners' scores are then resolved
-from what the lists still hold of them. Otherwise the depth doubles. Bounds of all queries of a block are
-computed together as products of matrices. Each group returns its k best, and the best of all shards are picked
+its k-th lower bound exceeds the upper bounds of all others, seen or not; its winners' scores are then resolved:
+their lists are read on until the winners' entries have come. Otherwise reading goes on to the double depth, or to the lists' end if
+most candidates are still open; then all scores are known. Bounds of all queries of a block are
+computed together as products of matrices. Each shard returns its k best, and the best of all shards are picked
 by a window over ``shards * k`` rows a query.
 
 Defined cases: a vector that is null, or has a null or non-finite component, takes no part, nor does one without a vec_id;
@@ -21,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from .common import table
 K = 5
 SHARD = 4096
 QUERIES = 512
-#: Part of a list that is read first.
+#: Part of the lists that is read first.
 FIRST = 1 / 8
 
 
@@ -55,6 +56,9 @@ class Lists:
     def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds of all scores after ``depth`` entries of each query's lists."""
         n = len(self.x)
+        if depth >= n:
+            exact = queries @ self.x.T
+            return exact, exact.copy()
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
         seen = self.rank < depth
         high, low = self.sorted[depth - 1], self.sorted[-1]
@@ -66,6 +70,12 @@ class Lists:
         lower += down @ np.where(seen, self.x, low).T
         return lower, upper
 
+    def read_on(self, query: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, int]:
+        """The components of few candidates as the query's lists hold them, and the depth at which the last of these lies."""
+        ranks = self.rank[few]
+        places = np.where(query >= 0, ranks, len(self.x) - 1 - ranks)[:, query != 0]
+        return np.take_along_axis(self.sorted, ranks, axis=0), int(places.max(initial=-1)) + 1
+
 
 def resolve(query: np.ndarray, vectors: np.ndarray) -> list[int]:
     """Exact scores, in integers of any size."""
@@ -75,9 +85,9 @@ def resolve(query: np.ndarray, vectors: np.ndarray) -> list[int]:
     return [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in vectors]
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
-    """(query's position, vec_id, score, entries read) of each query's k best in the shard."""
-    lists, n = Lists(vectors), len(ids)
+def search(ids: np.ndarray, lists: Lists, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, int, int]]:
+    """(query's position, vec_id, score, entries of each list read) of each query's k best in the shard."""
+    n = len(ids)
     active = np.arange(len(queries))
     depth = min(n, max(k + 1, int(n * FIRST)))
     while len(active):
@@ -85,43 +95,75 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
         own = query_ids[active][:, None] == ids[None, :]
         lower[own], upper[own] = -np.inf, -np.inf
         # doubles round: bounds are only trusted up to a relative error
-        slack = 1e-12 * (np.abs(queries[active]) @ np.abs(vectors).max(axis=0))
+        slack = 1e-12 * (np.abs(queries[active]) @ np.abs(lists.x).max(axis=0))
         m = min(k, n)
         kth = -np.partition(-lower, m - 1, axis=1)[:, m - 1]
-        stay = []
+        stay, wide = [], 0
         for r, q in enumerate(active):
             inside = np.flatnonzero((upper[r] >= kth[r] - slack[r]) & ~own[r])
             if len(inside) > k and depth < n:
                 stay.append(q)
+                wide += len(inside)
                 continue
-            best = sorted(zip((-s for s in resolve(queries[q], vectors[inside])), ids[inside].tolist(), strict=True))[:k]
+            found, last = lists.read_on(queries[q], inside)
+            best = sorted(zip((-s for s in resolve(queries[q], found)), ids[inside].tolist(), strict=True))[:k]
             for s, i in best:
-                yield int(q), i, -s, depth
-        active, depth = np.array(stay, np.int64), min(n, 2 * depth)
+                yield int(q), i, -s, max(depth, last)
+        active, depth = np.array(stay, np.int64), n if wide > n * len(stay) // 2 else min(n, 2 * depth)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score, list_depth. Both inputs: vec_id, embedding."""
     ready = lambda df: df.select("vec_id", whole_components(F.col("embedding"), scale).alias("v")).where("v is not null and vec_id is not null")
     candidates, asked = ready(vectors), ready(queries).distinct()
-    shards, blocks = max(1, -(-candidates.count() // SHARD)), max(1, -(-asked.count() // QUERIES))
-    home = F.col("vec_id"), F.col("v")
-    left = candidates.select(F.pmod(F.xxhash64(*home), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "vec_id", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64(*home), F.lit(blocks)).alias("block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found: list = []
-        if len(c) and len(q):
-            width = max(map(len, [*c["v"], *q["q"]]))
-            dense = lambda vs: np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in vs]).reshape(len(vs), width)
-            ids = q["query_id"].to_numpy()
-            for place, i, s, depth in search(c["vec_id"].to_numpy(), dense(c["v"]), ids, dense(q["q"]), k):
-                found.append((ids[place], place, i, min(max(s, -(2**63)), 2**63 - 1), depth))
-        out = pd.DataFrame(found, columns=["query_id", "place", "vec_id", "score", "list_depth"])
-        return out.astype({"query_id": "int64", "place": "int64", "vec_id": "int64", "score": "int64", "list_depth": "int32"})
-
-    schema = "query_id long, place long, vec_id long, score long, list_depth int"
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, schema)
+    shards = max(1, -(-candidates.count() // SHARD))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    left = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    right = asked.select(every.alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A stream of shards, each with its candidates before its queries."""
+        held: list[tuple[int, list]] = []
+        of, asking, lists, ids, place = None, False, None, None, 0
+
+        def dense(vectors: list, width: int) -> np.ndarray:
+            return np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in vectors]).reshape(len(vectors), width)
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            nonlocal lists, ids, place
+            if not held:
+                return
+            names, vectors = np.array([i for i, _ in held], np.int64), [v for _, v in held]
+            held.clear()
+            if not asking:
+                lists, ids = vectors, names
+                return
+            if lists is None:
+                return
+            width = max(map(len, vectors))
+            if isinstance(lists, list):
+                lists = Lists(dense(lists, max(width, *map(len, lists))) if len(lists) > 1 else dense(lists, max(width, len(lists[0]))))
+            elif lists.x.shape[1] < width:
+                lists = Lists(np.pad(lists.x, ((0, 0), (0, width - lists.x.shape[1]))))
+            found = list(search(ids, lists, names, dense(vectors, lists.x.shape[1]), k))
+            at, who, score, depth = zip(*found, strict=True) if found else ((), (), (), ())
+            at = np.array(at, np.int64)
+            columns = [names[at], at + place, np.array(who, np.int64), [min(max(s, -(2**63)), 2**63 - 1) for s in score]]
+            place += len(names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(depth, pa.int32())], names=["query_id", "place", "vec_id", "score", "list_depth"])
+
+        for b in batches:
+            for shard, asks, vec, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (shard, asks) != (of, asking) or (asks and len(held) >= QUERIES):
+                    yield from finish()
+                    if shard != of:
+                        lists, ids, place = None, None, 0
+                    of, asking = shard, asks
+                held.append((vec, v))
+        yield from finish()
+
+    both = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "asks", "vec_id")
+    found = both.mapInArrow(run, "query_id long, place long, vec_id long, score long, list_depth int")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "list_depth")
 

@@ -2,7 +2,7 @@
 
 A rule (host, path) fits its host and all subdomains where the url's path starts with the rule's; the longest
 fitting rule decides. Rules are looked up by the suffixes of a url's host, so their number doesn't matter for a
-url's cost. Urls without a rule are judged by a logistic regression on the presence of hashed 3- to 5-grams of
+url's cost. Urls without a rule are judged by a logistic regression on the presence of hashed 2- to 4-grams of
 host and path, fitted on the driver to a small labelled table (``LABELLED``; at most ``MAX_LABELLED`` rows are
 accepted); its ``DIMS`` weights and the rules are broadcast. Rules beyond ``MAX_RULES`` are refused.
 
@@ -14,35 +14,46 @@ aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import mix64, table
 
 DIMS = 1 << 15
+GRAMS = (2, 3, 4)
 MAX_LABELLED = 10_000
 MAX_RULES = 100_000
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "org", "/es/"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"))
 
-#: Labelled hosts and paths: 1 is to be blocked.
-LABELLED = (
-    (1, "casino-win.example.com/en/12"), (1, "www.casino-royal.example.org/fr/slots"), (1, "m.free-bets.example.com/de/216.html"),
-    (1, "free-bets.example.net/es/77"), (1, "www.cheap-pills.example.com/en/680"), (1, "cheap-meds.example.org/buy"),
-    (1, "ads-track.example.com/en/4"), (1, "ads.track-click.example.net/pixel"), (1, "spam-farm.example.com/fr/1.html"),
-    (1, "link-farm.spam.example.org/en/33"), (1, "adult-x.example.net/en/5"), (1, "www.adult-cams.example.com/de/9"),
-    (1, "xxx-adult.example.org/es/2"), (1, "win-casino.example.net/bonus"), (1, "best-bets-free.example.org/en"),
-    (1, "pills-online.example.com/cheap"), (1, "track-ads.example.org/fr/81"), (1, "poker-casino.example.net/de/3"),
-    (0, "blog.tionsh.example.com/en/78"), (0, "www.therwh.example.org/en/297"), (0, "therin.example.net/en/48"),
-    (0, "www.ththhe.example.com/en/930.html"), (0, "blog.example.net/en/174"), (0, "example.org/fr/21"), (0, "example.com/de/606"),
-    (0, "news.example.com/world/2021"), (0, "docs.example.org/guide/intro"), (0, "www.example.net/es/14/"), (0, "ththed.example.org/en/977"),
-    (0, "library.example.org/en/catalog"), (0, "shop.example.com/fr/12.html"), (0, "m.example.com/en/27"), (0, "wiki.example.net/de/833"),
-    (0, "university.example.org/research"), (0, "www.city-council.example.com/en/5"), (0, "my-garden.example.net/es/8"),
-    (0, "theron.example.net/de/20"), (0, "weather.example.com/fr/today"), (0, "blog.ththon.example.net/en/912/"), (0, ""),
-)
+#: Labelled urls without their schemes, invented for this table on reserved names: those to be blocked, and those to be kept.
+BLOCKED = """
+www.casino-palace.test/play lucky-casino.test/bonus royalcasino.invalid/slots/12 m.casino-winbig.test/en/jackpot online-casino-club.invalid/register
+www.bestbets.test/odds free-bets-now.invalid/tips blog.sport-bets.test/live betting-king.invalid/signup bets.highroller.test/de/4
+m.poker-room.test/tables freepoker.invalid/bonus www.slots-mania.test/spin jackpot-slots.invalid/es/9 roulette-win.test/fr/2
+www.cheap-pills.test/order pills4less.invalid/shop blog.buy-pills-fast.test/en/3 pharma-cheap.invalid/discount www.cheap-meds.test/cart
+discount-viagra.invalid/buy m.onlinepharmacy-pills.test/de/77 weightloss-pills.invalid/offer miracle-diet.test/order
+www.adult-cams.test/live xxx-videos.invalid/watch blog.adult-chat.test/rooms www.hot-singles.invalid/join adultdating.test/fr/8 free-xxx.invalid/es/5
+ads.clicktrack.test/pixel www.track-ads.invalid/beacon adserver.bannerfarm.test/serve m.popup-ads.invalid/go ads-exchange.test/bid.html
+tracker.clicks.invalid/t/1 www.click-rewards.test/claim free-prizes.invalid/winner blog.spam-links.test/page/3 www.linkfarm.invalid/index/44
+www.spam-links-farm.test/fr/10 seo-spam.invalid/en/66 www.payday-loans.test/apply quick-cash-loans.invalid/now easy-money.test/earn
+www.warez-downloads.invalid/crack serial-keygen.test/get torrent-warez.invalid/top www.fake-watches.test/replica replica-bags.invalid/sale
+""".split()
+KEPT = """
+dailynews.test/world/2021 www.morning-herald.invalid/politics/5 news.citypost.test/en/18 weather-report.invalid/today blog.travelnotes.test/fr/2
+www.university.invalid/research/papers library.museum.test/catalog docs.compiler.invalid/guide/intro wiki.history.test/de/40 school.district.invalid/calendar
+blog.gardening.test/roses www.cooking-at-home.invalid/recipes/soup mathforum.test/algebra physics.lectures.invalid/en/7 archive.letters.test/1890
+shop.books.invalid/fiction/31 furniture-makers.test/oak www.bicycle-repair.invalid/brakes trains.timetable.test/es/14 parliament.invalid/debates
+hospital.care.test/visitors www.townhall.invalid/services/3 farmers-market.test/apples music.orchestra.invalid/concerts theatre.stage.test/season
+www.open-data.invalid/sets/12 maps.rivers.test/delta astronomy.invalid/fr/9 chess-club.test/openings poetry.invalid/en/101
+m.localpaper.test/sport/2 forum.woodwork.invalid/thread/88 www.linguistics.test/de/5 translation.guild.invalid/terms birdwatching.test/es/61
+engineering.bridges.invalid/design www.painters.test/gallery/7 health.advice.invalid/children kitchen.tools.test/knives film.critics.invalid/reviews
+api.reference.test/v2/methods kernel.notes.invalid/build.html statistics.office.test/tables/9 www.law-journal.invalid/issue/4 climate.institute.test/report
+village.church.invalid/bells www.sailing.test/knots geology.invalid/en/730 handbook.teachers.test/reading the-lighthouse.invalid/story
+""".split()
+LABELLED = tuple((1, u) for u in BLOCKED) + tuple((0, u) for u in KEPT)
 
 
 def host_of(url: Column) -> Column:
@@ -54,31 +65,49 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def features(host: str, path: str) -> np.ndarray:
-    """The distinct buckets of the n-grams; host and path have buckets of their own."""
-    out = set()
-    for mark, part in (("h", f"^{host}$" if host else ""), ("p", f"^{path}$" if path else "")):
-        for n in (3, 4, 5):
-            out.update(crc32((mark + part[i : i + n]).encode("utf-8", "surrogatepass")) % DIMS for i in range(len(part) - n + 1))
-    return np.array(sorted(out), np.int64)
-
-
-def fit(labelled=LABELLED, rounds: int = 400, rate: float = 2.0, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each url's number and the buckets of its n-grams, each once, in order; host and path have buckets of their own."""
+    rows, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for mark, parts in enumerate((hosts, paths), 1):
+        whole = [f"^{p}$" if p else "" for p in parts]
+        size = np.array([len(p) for p in whole], np.int64)
+        codes = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner, left = np.repeat(np.arange(len(whole)), size), np.repeat(np.cumsum(size), size) - np.arange(len(codes))
+        h = np.full(len(codes), mark, np.uint64)
+        for n in range(1, max(GRAMS) + 1):
+            ahead = np.zeros(len(codes), np.uint64)
+            ahead[: max(0, len(codes) - n + 1)] = codes[n - 1 :]
+            with np.errstate(over="ignore"):
+                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + ahead)
+            if n in GRAMS:
+                rows.append(owner[left >= n])
+                buckets.append((h[left >= n] % np.uint64(DIMS)).astype(np.int64))
+    return np.divmod(np.unique(np.concatenate(rows) * DIMS + np.concatenate(buckets)), DIMS)
+
+
+def scores(hosts: list[str], paths: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The regression's probabilities; features are scaled to unit length."""
+    row, bucket = features(hosts, paths)
+    n = np.bincount(row, minlength=len(hosts))
+    return 1 / (1 + np.exp(-(np.bincount(row, weights[bucket], len(hosts)) / np.sqrt(np.maximum(n, 1)) + bias)))
+
+
+def fit(labelled=LABELLED, rounds: int = 1000, rate: float = 2.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias, by gradient descent over all rows; features are scaled to unit length."""
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"the labelled table has over {MAX_LABELLED} rows")
-    x = np.zeros((len(labelled), DIMS), np.float32)
-    for i, (_, url) in enumerate(labelled):
-        host, slash, path = url.partition("/")
-        f = features(host, slash + path)
-        x[i, f] = 1 / np.sqrt(max(1, len(f)))
-    used = np.flatnonzero(x.any(axis=0))
-    x, y = x[:, used].astype(float), np.array([float(k) for k, _ in labelled])
+    parts = [url.partition("/") for _, url in labelled]
+    row, bucket = features([h for h, _, _ in parts], [slash + p for _, slash, p in parts])
+    used, column = np.unique(bucket, return_inverse=True)
+    size = np.sqrt(np.maximum(np.bincount(row, minlength=len(labelled)), 1))
+    x = np.zeros((len(labelled), len(used)))
+    x[row, column] = 1 / size[row]
+    y = np.array([float(k) for k, _ in labelled])
     w, bias = np.zeros(len(used)), 0.0
     for _ in range(rounds):
         miss = 1 / (1 + np.exp(-(x @ w + bias))) - y
-        w -= rate * (x.T @ miss / len(y) + ridge * w)
-        bias -= rate * miss.mean()
+        w -= rate * (x.T @ miss / max(1, len(y)) + ridge * w)
+        bias -= rate * miss.mean() if len(y) else 0.0
     weights = np.zeros(DIMS)
     weights[used] = w
     return weights, bias
@@ -110,14 +139,11 @@ def judge(pages: DataFrame, rules=RULES, labelled=LABELLED, id_col: str = "page_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, weights, bias = shared.value
         for b in batches:
-            told = []
-            for host, path in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if rule := rule_for(index, host, path):
-                    told.append((*rule, None))
-                else:
-                    f = features(host, path)
-                    score = float(1 / (1 + np.exp(-(weights[f].sum() / np.sqrt(max(1, len(f))) + bias))))
-                    told.append((None, "block" if score > 0.5 else "allow", score))
+            hosts, paths = b.column(1).to_pylist(), b.column(2).to_pylist()
+            told = [(*rule, None) if (rule := rule_for(index, h, p)) else None for h, p in zip(hosts, paths, strict=True)]
+            open_ = [i for i, t in enumerate(told) if t is None]
+            for i, score in zip(open_, scores([hosts[i] for i in open_], [paths[i] for i in open_], weights, bias).tolist(), strict=True):
+                told[i] = None, "block" if score > 0.5 else "allow", score
             rule, verdict, score = zip(*told, strict=True) if told else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(score, pa.float64())],
