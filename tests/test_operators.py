@@ -2,9 +2,11 @@ import json
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidewire.functions import dom
+from tidewire import scratch
+from tidewire.functions import dom, match
 from tidewire.functions import text as T
 from tidewire.functions.match import has_keyword
 from tidewire.functions.rules import SAMPLE, STOP_WORDS
@@ -116,7 +118,7 @@ def test_sentences(spark):
     text = "Copyright 2024 by all. 第一句话很好很长的一句话啊。Second sentence is here! 3.14 is pi\n\nNext paragraph sentence."
     assert one(spark, T.sentences, text)[0] == ["Copyright 2024 by all.", "第一句话很好很长的一句话啊。", "Second sentence is here!", "14 is pi Next paragraph sentence."]
     assert one(spark, T.useful_sentences, text)[0] == ["Second sentence is here!", "14 is pi Next paragraph sentence."]
-    assert one(spark, lambda v: T.tokens(v, STOP_WORDS), "The Fox and 安全漏洞 x")[0] == ["fox", "安全", "全漏", "漏洞"]
+    assert one(spark, lambda v: T.tokens(v, STOP_WORDS), "The Fox and 安全漏洞 x")[0] == ["fox", "and", "安全", "全漏", "漏洞"]
 
 
 def test_text_rank_prefers_the_hub():
@@ -160,6 +162,54 @@ def test_parsers(spark):
     assert got["A"].authors == ["me"] and got["A"].categories == ["c"] and got["A"].url == "http://a"
 
 
+def test_feed_dates(spark):
+    for value, want in (
+        ("Tue, 02 Jan 2024 03:04 GMT", "2024-01-02T03:04:00"), ("02 Jan 2024 03:04:05 EST", "2024-01-02T08:04:05"), ("Tue, 2 Jan 2024 03:04:05 -0130", "2024-01-02T04:34:05"),
+        ("Tue, 02 Jan 2024 03:04:05 Z", "2024-01-02T03:04:05"), ("2024-01-02T03:04:05+02:00", "2024-01-02T01:04:05"), ("soon", ""), (None, ""),
+    ):
+        assert one(spark, parse.feed_date, value)[0] == want, value
+
+
+def test_rdf_feeds_untyped_rows_and_named_sources(spark):
+    rdf = '<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="r" xmlns:dc="d"><channel><title>c</title></channel><item><title>One</title><link>http://1</link><dc:date>2024-01-02T00:00:00Z</dc:date></item><item><title>Two</title></item></rdf:RDF>'
+    news = '{"code": "10000", "data": [{"id": "7", "title": "N"}]}'
+    rows = [(0, "s", "en", None, None, rdf, None), (1, "mine", "en", "api", None, news, None), (2, "mine", "en", "api", "drafts", news, None), (3, "else", "en", "api", "nobody", news, None)]
+    df = spark.createDataFrame(rows, "ord long, source_name string, language string, type string, api_platform string, xml_text string, error string")
+    parse.register_source("mine", parse.news)
+    try:
+        got = [(r.ord, r.title, r.published_date) for r in parse.parse_all(df).orderBy("ord", "pos").collect()]
+    finally:
+        parse.NAMED.clear()
+    assert got == [(0, "One", "2024-01-02T00:00:00"), (0, "Two", ""), (1, "N", "")]
+
+
+def test_patterns_behind_a_fold(spark):
+    for text in ("the Kelvin \u212aernel", "\u017fcum here", "W\u0130TH", "w\u0131th", "nothing"):
+        for word in ("kernel", "scum", "with"):
+            assert one(spark, lambda v: match.has_keyword(v, word), text) == one(spark, lambda v: match.has_keyword(v, word, match.folded(v)), text), (text, word)  # noqa: B023
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Fake:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+            class _jsc:  # noqa: N801
+                class sc:  # noqa: N801
+                    class getCheckpointDir:  # noqa: N801
+                        isDefined = staticmethod(lambda: False)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        scratch.scratch_dir(Fake)
+    said = spark.conf.get(scratch.BATCH_SETTING)
+    scratch.Scratch(spark, "t").save(spark.range(3))
+    assert spark.conf.get(scratch.BATCH_SETTING) == said
+
+
 def fake_transport(source, headers):
     if source["name"] == "bad":
         raise TimeoutError("slow")

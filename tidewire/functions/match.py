@@ -27,9 +27,21 @@ def keyword_pattern(text: str) -> str | None:
     return f"(?iu){before}{re.sub(r'([^A-Za-z0-9 ])', r'\\\1', text)}{after}"
 
 
-def has_keyword(text: Column, keyword: str) -> Column:
+#: Characters that patterns take for an ASCII letter when case doesn't count, but lower-casing leaves or widens.
+FOLDED = "\u017f\u212a\u0130\u0131", "skii"
+
+
+def folded(text: Column) -> Column:
+    """Lower case, in which every ASCII keyword of ``has_keyword`` is a plain substring."""
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def has_keyword(text: Column, keyword: str, fold: Column | None = None) -> Column:
+    """``fold``: ``folded`` of the text or of more; the pattern is only tried where it holds the keyword."""
     pattern = keyword_pattern(keyword)
-    return text.rlike(pattern) if pattern else F.contains(F.lower(text), F.lit(keyword.lower()))
+    if not pattern:
+        return F.contains(F.lower(text), F.lit(keyword.lower()))
+    return text.rlike(pattern) if fold is None else F.contains(fold, F.lit(keyword.lower())) & text.rlike(pattern)
 
 
 def has_any(text: Column, parts: tuple[str, ...]) -> Column:

@@ -53,10 +53,7 @@ def clean_noise_lines(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n"), strip)
 
     def keep(line: Column) -> Column:
-        noise = F.lit(False)
-        for pattern in NOISE_LINES:
-            noise = noise | line.rlike(pattern)
-        return (line == "") | ~noise
+        return (line == "") | ~line.rlike("|".join(f"(?:{p})" for p in NOISE_LINES))
 
     return strip(F.regexp_replace(F.array_join(F.filter(lines, keep), "\n"), "\n{3,}", "\n\n"))
 
@@ -65,16 +62,13 @@ def sentences(text: Column) -> Column:
     """Sentences of at least three word characters, in order."""
     marked = F.regexp_replace(F.regexp_replace(text, r"\n\s*\n", " ¶ "), "\n", " ")
     parts = F.transform(F.split(marked, r"(?<=[。！？.!?])\s*"), strip)
-    real = F.filter(parts, lambda s: (s != "") & (s != "¶") & (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}_]", "")) >= 3))
+    real = F.filter(parts, lambda s: (s != "") & (s != "¶") & s.rlike(r"(?:[\p{L}\p{N}_][^\p{L}\p{N}_]*+){3}"))
     return F.transform(real, lambda s: F.replace(F.replace(s, F.lit("¶ "), F.lit("")), F.lit("¶"), F.lit("")))
 
 
 def is_meaningful(sentence: Column) -> Column:
     low = strip(F.lower(sentence))
-    out = F.length(low) >= 15
-    for pattern in EMPTY_SENTENCES:
-        out = out & ~low.rlike(pattern)
-    return out
+    return (F.length(low) >= 15) & ~low.rlike("|".join(f"(?:{p})" for p in EMPTY_SENTENCES))
 
 
 def useful_sentences(text: Column) -> Column:

@@ -30,9 +30,12 @@ def category_distribution(scored: DataFrame) -> DataFrame:
 
 
 def ordered_kept(scored: DataFrame) -> DataFrame:
-    """Accepted items, then those to review, each in order; the rest goes."""
+    """Accepted items, then those to review, each in order; the rest goes.
+
+    Sorting samples its input first: the kept rows are exchanged before it, so that they aren't scored once more for the sample.
+    """
     place = F.when(F.col("filter_decision") == "accepted", 0).otherwise(1)
-    return scored.where("filter_decision in ('accepted', 'review')").withColumn("kept_rank", place).orderBy("kept_rank", "ord")
+    return scored.where("filter_decision in ('accepted', 'review')").withColumn("kept_rank", place).repartition("ord").orderBy("kept_rank", "ord")
 
 
 def daily_stats(scored: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.match import has_any, has_keyword
+from tidewire.functions.match import folded, has_any, has_keyword
 from tidewire.functions.rules import BROAD_TYPES, GENERAL, SAMPLE, UNCLASSIFIED, Ambiguity, Rules
 
 SEGMENTS = ("title", "lead", "body", "tail")
@@ -29,6 +29,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def computed(rows: DataFrame, struct: Column) -> DataFrame:
+    """Adds the fields of the struct as columns, computed once: filters on them aren't pushed below a generator."""
+    return rows.select(*rows.columns, F.inline(F.array(struct)))
+
+
 def segment_struct(items: DataFrame, rules: Rules = SAMPLE) -> Column:
     """title, lead, body, tail and all_text of an item."""
     optional = lambda c: F.col(c) if c in items.columns else F.lit(None).cast("string")
@@ -54,8 +59,8 @@ def segment_struct(items: DataFrame, rules: Rules = SAMPLE) -> Column:
 
 def segments(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
     """Adds seg_title, seg_lead, seg_body, seg_tail and all_text. Items: title, summary, optionally full_body, original_summary."""
-    out = items.withColumn("_segments", segment_struct(items, rules))
-    return out.select(*items.columns, *(F.col(f"_segments.{s}").alias(f"seg_{s}") for s in SEGMENTS), "_segments.all_text")
+    named = lambda s: F.struct(*(s[n].alias(f"seg_{n}") for n in SEGMENTS), s["all_text"].alias("all_text"))
+    return computed(items, let(segment_struct(items, rules), named))
 
 
 def unambiguous(text_lower: Column, rule: Ambiguity | None) -> Column:
@@ -72,8 +77,8 @@ def match_array(segment, all_text: Column, rules: Rules = SAMPLE) -> Column:
     by_rule = {k.lower(): r for k, r in rules.ambiguity.items()}
     strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
 
-    def found(low: Column) -> Column:
-        out = []
+    def found(both: Column) -> Column:
+        out, low, fold = [], both["low"], both["fold"]
         for ord_, kw in enumerate(rules.keywords):
             rule = by_rule.get(kw.text.lower())
             where = F.array(*(has_keyword(segment(s), kw.text) for s in SEGMENTS))
@@ -91,10 +96,11 @@ def match_array(segment, all_text: Column, rules: Rules = SAMPLE) -> Column:
                     ),
                 )
 
-            out.append(let(where, entry_of(entry)))
+            hit = let(where, entry_of(entry))
+            out.append(F.when(F.contains(fold, F.lit(kw.text.lower())), hit) if kw.text.isascii() else hit)
         return F.array_sort(F.array_compact(F.array(*out)))
 
-    return let(F.lower(all_text), found)
+    return let(F.struct(F.lower(all_text).alias("low"), folded(all_text).alias("fold")), found)
 
 
 def entry_of(entry):
@@ -104,7 +110,7 @@ def entry_of(entry):
 
 def matches(segmented: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
     """Adds matched to items with segments."""
-    return segmented.withColumn("matched", match_array(lambda s: F.col(f"seg_{s}"), F.col("all_text"), rules))
+    return computed(segmented, F.struct(match_array(lambda s: F.col(f"seg_{s}"), F.col("all_text"), rules).alias("matched")))
 
 
 def total(values: Column) -> Column:
@@ -169,20 +175,22 @@ def category_vote(matched: Column) -> Column:
 
 def content_type_vote(matched: Column, all_text: Column) -> Column:
     """A vote for each content type of a match, and one for each pattern of a broad type in the text."""
-    low = F.lower(all_text)
-    broad = []
-    for name, patterns in BROAD_TYPES.items():
-        n = F.lit(0.0)
-        for p in patterns:
-            n = n + (has_keyword(all_text, p) if p.isascii() else F.contains(low, F.lit(p))).cast("double")
-        broad.append(F.struct(F.lit(name).alias("name"), n.alias("n")))
+    def broad(both: Column) -> Column:
+        out = []
+        for name, patterns in BROAD_TYPES.items():
+            n = F.lit(0.0)
+            for p in patterns:
+                n = n + (has_keyword(all_text, p, both["fold"]) if p.isascii() else F.contains(both["low"], F.lit(p))).cast("double")
+            out.append(F.struct(F.lit(name).alias("name"), n.alias("n")))
+        return F.filter(F.array(*out), lambda b: b["n"] > 0)
 
     def voted(hit: Column) -> Column:
         names = F.array_distinct(F.concat(F.flatten(F.transform(matched, lambda m: m["content_types"])), F.transform(hit, lambda b: b["name"])))
         votes = lambda n: F.size(F.filter(matched, lambda m: F.array_contains(m["content_types"], n))) + total(F.transform(F.filter(hit, lambda b: b["name"] == n), lambda b: b["n"]))
         return argmax_first(names, votes, GENERAL)
 
-    return let(F.filter(F.array(*broad), lambda b: b["n"] > 0), voted)
+    both = F.struct(F.lower(all_text).alias("low"), folded(all_text).alias("fold"))
+    return let(let(both, broad), voted)
 
 
 def negative_hit(text: Column, rules: Rules = SAMPLE) -> Column:
@@ -224,20 +232,22 @@ def score(items: DataFrame, rules: Rules = SAMPLE, pairing: bool = True, site: s
     """
     penalty = F.when(has_any(F.lower(F.coalesce(site, F.lit(""))), rules.demoted_sites), float(rules.site_penalty)).otherwise(0.0) if site else F.lit(0.0)
 
-    def result(s: Column, m: Column, t: Column, r: Column, c: Column) -> Column:
-        return F.struct(
-            *(s[n].alias(f"seg_{n}") for n in SEGMENTS), s["all_text"].alias("all_text"), m.alias("matched"), t.alias("tiers"), r["raw"].alias("raw_score"), r["negative"].alias("negative"),
-            c.alias("confidence_score"), decision(c, rules).alias("filter_decision"), category_vote(m).alias("category"), content_type_vote(m, s["all_text"]).alias("content_type"),
-            F.struct(*(matched_texts(m, k).alias(n) for k, n in enumerate(TIERS))).alias("scoring_matched"), reason(m, t, r["negative"], c).alias("scoring_reason"),
-        )
+    rows = matches(segments(items, rules), rules)
+    m, text = F.col("matched"), F.col("all_text")
 
-    def of_tiers(s: Column, m: Column, t: Column) -> Column:
+    def of_tiers(t: Column) -> Column:
         raw = (paired_score(m, t, rules) if pairing else flat_score(m, rules)) + penalty
-        both = F.struct(raw.alias("raw"), negative_hit(s["all_text"], rules).alias("negative"))
-        return let(both, lambda r: let(final_score(r["raw"], m, r["negative"]), lambda c: result(s, m, t, r, c)))
+        both = F.struct(raw.alias("raw"), negative_hit(text, rules).alias("negative"))
+        told = lambda r: F.struct(t.alias("tiers"), r["raw"].alias("raw_score"), r["negative"].alias("negative"), final_score(r["raw"], m, r["negative"]).alias("confidence_score"))
+        return let(both, told)
 
-    whole = let(segment_struct(items, rules), lambda s: let(match_array(lambda n: s[n], s["all_text"], rules), lambda m: let(tier_scores(m, rules), lambda t: of_tiers(s, m, t))))
-    return items.withColumn("_s", whole).select(*items.columns, "_s.*")
+    rows = computed(rows, let(tier_scores(m, rules), of_tiers))
+    c = F.col("confidence_score")
+    # each a column of its own: those that nobody reads aren't computed
+    return rows.withColumns({
+        "filter_decision": decision(c, rules), "category": category_vote(m), "content_type": content_type_vote(m, text),
+        "scoring_matched": F.struct(*(matched_texts(m, k).alias(n) for k, n in enumerate(TIERS))), "scoring_reason": reason(m, F.col("tiers"), F.col("negative"), c),
+    })
 
 
 def quick_score(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
@@ -247,13 +257,16 @@ def quick_score(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
     """
     summary = F.coalesce("summary", F.lit(""))
     parts = {"title": F.coalesce("title", F.lit("")), "lead": F.left(summary, F.lit(rules.lead_chars))}
+    shaped = F.struct(*(f(part).alias(f"_{kind}_{name}") for name, part in parts.items() for kind, f in (("part", lambda x: x), ("low", F.lower), ("fold", folded))))
+    rows = computed(items, shaped)
     by_rule = {k.lower(): r for k, r in rules.ambiguity.items()}
     raw, strong = F.lit(0.0), F.lit(False)
-    for name, seg in parts.items():
+    for name in parts:
+        seg, low, fold = (F.col(f"_{kind}_{name}") for kind in ("part", "low", "fold"))
         sums = {t: F.lit(0.0) for t in TIERS}
         for kw in rules.keywords:
             rule = by_rule.get(kw.text.lower())
-            hit = has_keyword(seg, kw.text) & unambiguous(F.lower(seg), rule)
+            hit = has_keyword(seg, kw.text, fold) & unambiguous(low, rule)
             counts = hit & F.lit(not rule or rule.standalone)
             if kw.tier == "strong":
                 strong = strong | counts
@@ -261,7 +274,7 @@ def quick_score(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
         medium = F.when(strong, sums["medium"]).otherwise(0.0) if rules.medium_needs_strong else sums["medium"]
         raw = raw + sums["strong"] + medium + sums["weak"]
     negative = negative_hit(F.concat(parts["title"], F.lit(" "), summary), rules)
-    out = items.withColumns({"_raw": raw, "_strong": strong, "_negative": negative})
+    out = computed(rows, F.struct(raw.alias("_raw"), strong.alias("_strong"), negative.alias("_negative")))
     clamped = F.when(F.col("_negative") & ~F.col("_strong"), F.least("_raw", F.lit(29.0))).otherwise(F.col("_raw"))
-    out = out.withColumn("stage1_score", F.bround(F.greatest(F.least(F.round(clamped, 9), F.lit(100.0)), F.lit(0.0))).cast("int"))
-    return out.withColumn("stage1_drop", F.col("stage1_score") < rules.drop_below).drop("_raw", "_strong", "_negative")
+    score_ = F.bround(F.greatest(F.least(F.round(clamped, 9), F.lit(100.0)), F.lit(0.0))).cast("int")
+    return computed(out, F.struct(score_.alias("stage1_score"))).withColumn("stage1_drop", F.col("stage1_score") < rules.drop_below).select(*items.columns, "stage1_score", "stage1_drop")

@@ -486,6 +486,111 @@ def draft_parse(spark, sf_dir):
     return parse.drafts(raw).select("ord", "title", "url", "summary")
 
 
+def body_rows(rows: DataFrame, platform: str, ord_: str, body) -> DataFrame:
+    """Raw rows of a platform, with their bodies as JSON."""
+    return rows.select(
+        F.col(ord_).cast("long").alias("ord"), F.lit(platform).alias("source_name"), F.lit("en").alias("language"), F.lit("api").alias("type"), F.lit(platform).alias("api_platform"),
+        F.to_json(body).alias("xml_text"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query(
+    """SELECT s_nationkey AS ord, trim(s_name) AS title, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'http://s/' || s_suppkey END AS url,
+  CASE WHEN s_suppkey % 4 = 0 THEN s_name ELSE s_name || ' in ' || s_nationkey END AS summary, CASE WHEN s_suppkey % 2 = 0 THEN ['a' || s_suppkey] ELSE ['a' || s_suppkey, 'b'] END AS authors FROM supplier"""
+)
+def scholar_parse(spark, sf_dir):
+    """One body for each nation: its suppliers as papers; empty names of authors go."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    author = lambda x: F.struct(x.alias("name"))
+    own = F.concat(F.lit("a"), k)
+    paper = F.struct(
+        F.concat(F.lit(" "), name, F.lit(" ")).alias("title"), F.when(k % 3 != 0, F.concat(F.lit("http://s/"), k)).alias("url"),
+        F.when(k % 4 != 0, F.concat(name, F.lit(" in "), "s_nationkey")).alias("abstract"),
+        F.when(k % 2 == 0, F.array(author(own), author(F.lit("")))).otherwise(F.array(author(own), author(F.lit("b")))).alias("authors"),
+    )
+    rows = table(spark, sf_dir, "supplier").withColumn("s_name", F.trim("s_name")).groupBy("s_nationkey").agg(F.collect_list(paper).alias("data"))
+    found = parse.parse_all(body_rows(rows, "scholar", "s_nationkey", F.struct("data")))
+    plain = F.when(F.startswith("summary", F.lit(" ")), F.trim("summary")).otherwise(F.col("summary"))
+    return found.select("ord", "title", "url", plain.alias("summary"), "authors")
+
+
+STIX_KIND = "CASE p_partkey % 4 WHEN 0 THEN 'tool' WHEN 1 THEN 'malware' WHEN 2 THEN 'other' ELSE 'campaign' END"
+
+
+@query(
+    f"""WITH o AS (SELECT p_size AS ord, p_partkey, p_brand, {STIX_KIND} AS kind FROM part),
+f AS (SELECT *, row_number() OVER (PARTITION BY ord, p_brand ORDER BY p_partkey) AS r FROM o WHERE kind <> 'other')
+SELECT ord, '[MITRE ' || kind || '] ' || p_brand AS title, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'http://p/' || p_partkey END AS url,
+  CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE substr(repeat('d' || p_partkey || ' ', 200), 1, 500) END AS summary FROM f WHERE r = 1"""
+)
+def stix_parse(spark, sf_dir):
+    """One bundle for each size: its parts as objects; the first of each name counts."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "tool").when(k % 4 == 1, "malware").when(k % 4 == 2, "other").otherwise("campaign")
+    link = lambda source, url: F.struct(F.lit(source).alias("source_name"), url.alias("url"))
+    links = F.array(link("else", F.lit("http://no")), link("mitre-attack", F.when(k % 3 != 0, F.concat(F.lit("http://p/"), k))))
+    thing = F.struct(k.alias("k"), kind.alias("type"), F.concat(F.lit(" "), "p_brand").alias("name"), F.when(k % 5 != 0, F.repeat(F.concat(F.lit("d"), k, F.lit(" ")), F.lit(200))).alias("description"), links.alias("external_references"))
+    rows = table(spark, sf_dir, "part").groupBy("p_size").agg(F.array_sort(F.collect_list(thing)).alias("objects"))
+    return parse.parse_all(body_rows(rows, "stix", "p_size", F.struct("objects"))).select("ord", "title", "url", "summary")
+
+
+TOPICS_SQL = "list_filter([CASE WHEN p_partkey % 2 = 0 THEN 'even' END, CASE WHEN p_partkey % 3 = 0 THEN 'third' END, 'a', 'b', 'c', 'd'], lambda x: x IS NOT NULL)[:5]"
+REPO_SUMMARY_SQL = "CASE WHEN p_partkey % 4 = 0 THEN 'o/' || p_partkey ELSE substr(repeat(p_name || ' ', 40), 1, 500) END"
+
+
+def part_repo():
+    k = F.col("p_partkey")
+    topics = F.array_compact(F.array(F.when(k % 2 == 0, "even"), F.when(k % 3 == 0, "third"), *map(F.lit, "abcd")))
+    return F.struct(
+        F.concat(F.lit("o/"), k).alias("full_name"), F.when(k % 4 != 0, F.repeat(F.concat("p_name", F.lit(" ")), F.lit(40))).alias("description"), topics.alias("topics"),
+        F.when(k % 5 != 0, F.col("p_size")).alias("stargazers_count"), F.when(k % 3 != 0, "Python").alias("language"), F.when(k % 7 != 0, F.concat(F.lit("https://h/"), k)).alias("html_url"),
+        F.when(k % 6 != 0, F.struct(F.col("p_brand").alias("login"))).alias("owner"),
+    )
+
+
+REPO_SQL = "CASE WHEN p_partkey % 7 = 0 THEN 'https://github.com/o/' || p_partkey ELSE 'https://h/' || p_partkey END AS url, CASE WHEN p_partkey % 6 = 0 THEN []::VARCHAR[] ELSE [p_brand] END AS authors"
+
+
+@query(
+    f"""SELECT p_size AS ord, 'o/' || p_partkey AS title, {REPO_SQL}, {TOPICS_SQL} AS categories, {REPO_SUMMARY_SQL} || ' | stars: ' || CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_size END
+  || ' | 语言: ' || CASE WHEN p_partkey % 3 = 0 THEN '未知' ELSE 'Python' END || ' | 标签: ' || array_to_string({TOPICS_SQL}, ', ') AS summary FROM part"""
+)
+def repo_search_parse(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_list(part_repo()).alias("items"))
+    return parse.parse_all(body_rows(rows, "repo_search", "p_size", F.struct("items"))).select("ord", "title", "url", "authors", "categories", "summary")
+
+
+@query(f"SELECT p_partkey AS ord, 'o/' || p_partkey AS title, {REPO_SQL}, {TOPICS_SQL} AS categories, {REPO_SUMMARY_SQL} || ' | 标签: ' || array_to_string({TOPICS_SQL}, ', ') AS summary FROM part")
+def repo_parse(spark, sf_dir):
+    return parse.parse_all(body_rows(table(spark, sf_dir, "part"), "repo", "p_partkey", part_repo())).select("ord", "title", "url", "authors", "categories", "summary")
+
+
+@query(
+    """SELECT o_custkey AS ord, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '[o/r' || o_custkey || '] ' END || CASE WHEN o_orderkey % 2 = 0 THEN 'v' || o_orderkey ELSE o_orderpriority END AS title,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'https://else/x' ELSE 'https://github.com/o/r' || o_custkey || '/releases/' || o_orderkey END AS url,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'Release ' || CASE WHEN o_orderkey % 2 = 0 THEN 'v' || o_orderkey ELSE o_orderpriority END ELSE substr(repeat(o_orderstatus || o_orderkey || '-', 120), 1, 500) END AS summary
+FROM orders"""
+)
+def releases_parse(spark, sf_dir):
+    k = F.col("o_orderkey")
+    url = F.when(k % 3 == 0, "https://else/x").otherwise(F.concat(F.lit("https://github.com/o/r"), "o_custkey", F.lit("/releases/"), k))
+    release = F.struct(
+        F.concat(F.lit("v"), k).alias("tag_name"), F.when(k % 2 != 0, F.col("o_orderpriority")).alias("name"), F.when(k % 5 != 0, F.repeat(F.concat("o_orderstatus", k, F.lit("-")), F.lit(120))).alias("body"), url.alias("html_url")
+    )
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(release).alias("all"))
+    return parse.parse_all(body_rows(rows, "releases", "o_custkey", F.col("all"))).select("ord", "title", "url", "summary")
+
+
+@query("SELECT o_custkey AS ord, o_orderpriority AS title, 'https://aisle.com/blog/s' || o_orderkey AS url, substr(repeat(o_orderstatus || o_orderkey || ' ', 90), 1, 500) AS summary FROM orders WHERE o_orderkey % 4 <> 0")
+def posts_parse(spark, sf_dir):
+    """The list lies under one of three names; posts without a slug go."""
+    k = F.col("o_orderkey")
+    post = F.struct(F.col("o_orderpriority").alias("title"), F.when(k % 4 != 0, F.concat(F.lit("s"), k)).alias("slug"), F.repeat(F.concat("o_orderstatus", k, F.lit(" ")), F.lit(90)).alias("content"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(post).alias("all"))
+    of = lambda r, name: F.when(F.col("o_custkey") % 3 == r, F.col("all")).alias(name)
+    return parse.parse_all(body_rows(rows, "posts", "o_custkey", F.struct(of(0, "items"), of(1, "data"), of(2, "docs")))).select("ord", "title", "url", "summary")
+
+
 def feed_bodies(spark, sf_dir):
     rows = items(spark, sf_dir)
     safe = lambda c: T.escape_html(F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F]", ""))
@@ -497,7 +602,15 @@ def feed_bodies(spark, sf_dir):
     return rows.select("ord", "source_name", "language", F.lit("rss").alias("type"), F.lit(None).cast("string").alias("api_platform"), xml.alias("xml_text"), F.lit(None).cast("string").alias("error"))
 
 
-@query()
+def xml_text_sql(c: str) -> str:
+    return rf"regexp_replace({c}, '[\x00-\x08\x0B-\x1F]', '', 'g')"
+
+
+@query(
+    f"""WITH {ITEMS_SQL} SELECT ord, CAST(0 AS INTEGER) AS pos, trim({xml_text_sql('title')}, {BLANKS}) AS title, url,
+  trim(regexp_replace(regexp_replace({entities_sql(tags_sql(xml_text_sql('summary')))}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {BLANKS}) AS summary,
+  strftime(TIMESTAMP '{NOW}' - to_days(CAST(ord % 15 AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS published_date, 'RSS' AS source_type FROM items"""
+)
 def xml_feed_parse(spark, sf_dir):
     return parse.parse_all(feed_bodies(spark, sf_dir)).select("ord", "pos", "title", "url", "summary", "published_date", "source_type")
 
@@ -514,9 +627,10 @@ useful AS (SELECT ord, list_filter(ss, lambda s: length(trim(lower(s), {BLANKS})
 
 @query(f"WITH {ITEMS_SQL}, {SENTENCES_SQL} SELECT ord, CAST(len(ss) AS INTEGER) AS n_sentences, CAST(len(us) AS INTEGER) AS n_useful, md5(array_to_string(us, '|')) AS useful_md5 FROM sents JOIN useful USING (ord)")
 def sentence_split(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    useful = T.useful_sentences(F.col("summary"))
-    return rows.select("ord", F.size(T.sentences(F.col("summary"))).alias("n_sentences"), F.size(useful).alias("n_useful"), F.md5(F.array_join(useful, "|").cast("binary")).alias("useful_md5"))
+    rows = scoring.computed(items(spark, sf_dir).select("ord", "summary"), F.struct(T.sentences(F.col("summary")).alias("every")))
+    rows = scoring.computed(rows.select("ord", "every"), F.struct(F.filter("every", T.is_meaningful).alias("useful")))
+    useful = F.col("useful")
+    return rows.select("ord", F.size("every").alias("n_sentences"), F.size(useful).alias("n_useful"), F.md5(F.array_join(useful, "|").cast("binary")).alias("useful_md5"))
 
 
 @query(

@@ -17,6 +17,8 @@ from . import schemas
 
 Parser = Callable[[DataFrame], DataFrame]
 PLATFORMS: dict[str, Parser] = {}
+#: Formats of single sources, by their names, for API rows whose platform has none.
+NAMED: dict[str, Parser] = {}
 KEPT = ("ord", "source_name", "language", "type")
 STRINGS = "array<string>"
 
@@ -42,6 +44,10 @@ def register(platform: str) -> Callable[[Parser], Parser]:
     return add
 
 
+def register_source(name: str, parser: Parser) -> None:
+    NAMED[name] = parser
+
+
 def text(c) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -108,10 +114,17 @@ def drafts(raw: DataFrame) -> DataFrame:
 @register("stix")
 def stix(raw: DataFrame) -> DataFrame:
     """Objects of five types, the first of each name in a body."""
-    rows = entries(raw, schemas.STIX, lambda b: b["objects"]).where(F.col("e.type").isin(*STIX_TYPES))
+    name_of = lambda e: strip(text(e["name"]))
+
+    def firsts(b: Column) -> Column:
+        fit = F.filter(F.transform(b["objects"], lambda e, i: F.struct(name_of(e).alias("n"), i.alias("i"), e["type"].isin(*STIX_TYPES).alias("fits"))), lambda x: x["fits"] & (x["n"] != ""))
+        # in the order of names and places, the first of each name
+        first = lambda s: F.array_sort(F.transform(F.filter(s, lambda x, k: (k == 0) | (F.get(s, k - 1)["n"] != x["n"])), lambda x: x["i"]))
+        places = F.get(F.transform(F.array(F.array_sort(fit)), first), 0)
+        return F.transform(places, lambda i: F.get(b["objects"], i))
+
+    rows = entries(raw, schemas.STIX, firsts)
     name = strip(text(F.col("e.name")))
-    first = rows.withColumn("n", name).where("n != ''").groupBy("ord", "n").agg(F.min("pos").alias("pos"))
-    rows = rows.join(first, ["ord", "pos"])
     link = F.get(F.filter("e.external_references", lambda r: (r["source_name"] == "mitre-attack") & (text(r["url"]) != "")), 0)["url"]
     summary = F.when(text(F.col("e.description")) != "", F.left("e.description", F.lit(SUMMARY_CHARS))).otherwise(name)
     title = F.concat(F.lit("[MITRE "), F.col("e.type"), F.lit("] "), name)
@@ -175,34 +188,42 @@ ATOM = (
     "struct<entry:array<struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:string,published:string,updated:string,"
     "author:array<struct<name:string>>,category:array<struct<_term:string>>>>>"
 )
-#: Feed dates as RFC 822 writes them, without the weekday, which Spark's parser doesn't take.
-RFC822 = r"^(?:\w{3},\s*)?(\d{1,2} \w{3} \d{4} \d{2}:\d{2}(?::\d{2})?)\s*(?:GMT|UTC|UT|Z|([+-]\d{4}))?$"
+#: RSS 1.0, whose items stand beside the channel.
+RDF = "struct<item:array<struct<title:string,link:string,description:string,date:string,encoded:string>>>"
+#: Feed dates as RFC 822 writes them, without the weekday, which Spark's parser doesn't take: day and time, seconds if any, zone.
+RFC822 = r"^(?:\w{3},\s*)?(\d{1,2} \w{3} \d{4} \d{2}:\d{2})(:\d{2})?\s*(GMT|UTC|UT|Z|[A-Z]{3}|[+-]\d{4})?$"
+# The named zones of RFC 822
+ZONES = {"EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
 
 
 def feed_date(value: Column) -> Column:
-    """Naive UTC as ISO text; '' if it can't be read."""
-    day = F.regexp_extract(text(value), RFC822, 1)
-    zone = F.regexp_extract(text(value), RFC822, 2)
-    stamp = F.try_to_timestamp(F.concat(day, F.lit(" "), F.when(zone != "", zone).otherwise("+0000")), F.lit("d MMM yyyy HH:mm:ss Z"))
+    """Naive UTC as ISO text; '' if it can't be read. A zone of another name counts as UTC."""
+    part = lambda k: F.regexp_extract(text(value), RFC822, k)
+    day, seconds, zone = part(1), part(2), part(3)
+    named = F.element_at(F.create_map(*(F.lit(x) for kv in ZONES.items() for x in kv)), zone)
+    offset = F.when(zone.rlike(r"^[+-]"), zone).otherwise(F.coalesce(named, F.lit("+0000")))
+    stamp = F.try_to_timestamp(F.concat(day, F.when(seconds != "", seconds).otherwise(":00"), F.lit(" "), offset), F.lit("d MMM yyyy HH:mm:ss Z"))
     iso = F.try_to_timestamp(text(value))
     return text(F.date_format(F.coalesce(F.when(day != "", stamp), iso), "yyyy-MM-dd'T'HH:mm:ss"))
 
 
 def feed(raw: DataFrame, unescape=decode_entities) -> DataFrame:
-    """RSS items and Atom entries. full_body: the content, if there is one and it differs from the summary."""
+    """RSS items (0.9x, 2.0 and 1.0) and Atom entries. full_body: the content, if there is one and it differs from the summary."""
     clean = lambda c: strip_html(text(c), unescape)
     plain = F.regexp_replace(F.regexp_replace("xml_text", r"<(/?)(content|media|dc|atom):", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
     is_rss = F.col("xml_text").rlike(r"(?i)<rss[\s>]")
     rss = raw.where(is_rss).select(*KEPT, F.posexplode(F.from_xml(plain, RSS, {"mode": "PERMISSIVE"})["channel"]["item"]).alias("pos", "e"))
     body = clean(F.col("e.encoded"))
     summary = clean(F.col("e.description"))
+    rdf = raw.where(F.col("xml_text").rlike(r"(?i)<rdf:RDF[\s>]")).select(*KEPT, F.posexplode(F.from_xml(plain, RDF, {"mode": "PERMISSIVE"})["item"]).alias("pos", "e"))
+    zero = items(rdf, strip(text(F.col("e.title"))), strip(text(F.col("e.link"))), clean(F.col("e.description")), feed_date(F.col("e.date")))
     first = items(rss, strip(text(F.col("e.title"))), strip(text(F.col("e.link"))), summary, feed_date(F.col("e.pubDate")), body=F.when((body != "") & (body != summary), body))
     atom = raw.where(F.col("xml_text").rlike(r"(?i)<feed[\s>]")).select(*KEPT, F.posexplode(F.from_xml(plain, ATOM, {"mode": "PERMISSIVE"})["entry"]).alias("pos", "e"))
     link = F.coalesce(F.get(F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"], F.get("e.link", 0)["_href"])
     terms = F.filter(F.transform("e.category", lambda c: c["_term"]), lambda t: t.isNotNull() & (t != ""))
     date = feed_date(nonempty(F.col("e.published"), F.col("e.updated")))
     second = items(atom, strip(text(F.col("e.title"))), strip(text(link)), clean(nonempty(F.col("e.summary"), F.col("e.content"))), date, names(F.col("e.author")), F.coalesce(terms, strings()))
-    return first.unionByName(second)
+    return zero.unionByName(first).unionByName(second)
 
 
 PLATFORMS["papers"] = feed
@@ -211,12 +232,14 @@ PLATFORMS["papers"] = feed
 def parse_all(raw: DataFrame, unescape=decode_entities) -> DataFrame:
     """Items of all raw rows (schema RAW_ITEMS and ord), in (ord, pos).
 
-    Failed and empty rows go, as do API rows of a platform without a parser. Each format is one branch over its own rows.
+    Failed and empty rows go, as do API rows that neither their platform nor their source's name gives a parser. A row without a type is
+    a feed. Each format is one branch over its own rows.
     """
     good = raw.where("(error is null or error = '') and xml_text is not null and xml_text != ''")
-    api = F.col("type") == "api"
-    branches = [feed(good.where(~api & (F.col("type") != "scraper")), unescape)]
-    branches += [parser(good.where(api & (F.col("api_platform") == name))) for name, parser in PLATFORMS.items()]
+    kind, platform = F.coalesce("type", F.lit("rss")), text(F.col("api_platform"))
+    branches = [feed(good.where(~kind.isin("api", "scraper")), unescape)]
+    branches += [parser(good.where((kind == "api") & (platform == name))) for name, parser in PLATFORMS.items()]
+    branches += [parser(good.where((kind == "api") & ~platform.isin(*PLATFORMS) & (F.col("source_name") == name))) for name, parser in NAMED.items()]
     out = branches[0]
     for b in branches[1:]:
         out = out.unionByName(b, allowMissingColumns=True)
