@@ -9,8 +9,12 @@ near        of each group of near duplicates (5-word shingles, similarity 0.8) t
 benchmark   documents that hold a benchmark window of 10 words go
 tokens      texts are encoded to token ids and decoded again
 
-ORACLE_SQL is None: patience alignment and byte-pair merges can't be expressed in SQL. tests/llm tests the
-operators; the whole run has no brute-force test.
+Empty and missing texts pass all stages; an empty table gives an empty result; other columns of any name are carried to
+the stage before the last; rows of one doc_id are judged each by itself, but for near, which keeps or drops them together. A stage's table is dropped when the next one is written, but for the last, which
+the result reads.
+
+ORACLE_SQL is None: Kneser-Ney models, patience alignment and byte-pair merges can't be expressed in SQL. tests/llm holds the stages'
+chain against brute-force versions of them.
 """
 
 from __future__ import annotations
@@ -51,9 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    scratch, used = Scratch(spark, "pipeline"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = scratch.save(docs)
+            docs, path = scratch.save(docs)
+            scratch.drop(*used)
+            used = [path]
     return docs
