@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(told, pa.string()), *numbers], names=["doc_id", "text", "lang_pred", "top", "total"])
 
         frame = frame.mapInArrow(run, f"doc_id long, text string, {STATE}")
-    return frame.select("doc_id", "lang_pred", F.coalesce(F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0)), F.lit(0.0)).alias("score"))
+    return frame.select("doc_id", "lang_pred", F.when(F.col("top").isNull(), 0.0).otherwise(F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0))).alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:

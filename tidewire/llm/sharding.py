@@ -13,7 +13,8 @@ exchange brings the rows to (shard, piece), where they are numbered; a piece hol
 
 Defined cases: null text has size 1 and the key of the empty text; a null doc_id has the key of
 the empty id; rows equal in doc_id and text get different slots, and different shards where they are many;
-an empty table gives an empty result; extra columns are carried whatever their names, and an input column named like an
+how evenly these are divided is exact where the input has its rows in the same places whenever it is read, as files have, and by chance
+otherwise; an empty table gives an empty result; extra columns are carried whatever their names, and an input column named like an
 output is replaced.
 """
 
