@@ -47,8 +47,8 @@ PRIOR = 40
 SLACK = 1e-9
 #: Characters handled at a time.
 PIECE = 1 << 19
-#: Rows (a key and a number) of a model that is sent to every executor, about 100 MB; larger ones are joined.
-MODEL_ROWS = 5_000_000
+#: Rows (a key and a number) of a model that is sent to every executor, about 80 MB; larger ones are joined.
+MODEL_ROWS = 4_000_000
 #: Grams that a task holds before it emits their counts.
 HELD = 1_000_000
 #: Words that a worker keeps the weights of; the table starts afresh beyond it.
@@ -296,15 +296,17 @@ class Model:
 
 
 def models(tables: DataFrame, weights: DataFrame) -> dict[str, Model]:
-    """The models by language, on the driver."""
-    rows = tables.select("lang", "kind", "g", "value").toArrow()
-    lang = rows.column("lang").combine_chunks().dictionary_encode()
-    kinds, keys, values = (rows.column(c).to_numpy() for c in ("kind", "g", "value"))
-    code, marked = lang.indices.to_numpy(), {}
+    """The models by language, on the driver, one language at a time."""
+    marked: dict[str, dict[str, float]] = {}
     for r in weights.collect():
         marked.setdefault(r["lang"], {})[r["mark"]] = r["value"]
-    told = ((str(name), code == k) for k, name in enumerate(lang.dictionary))
-    return {name: Model(kinds[own], keys[own], values[own], marked.get(name)) for name, own in told if (kinds[own] == 0).any()}
+    out = {}
+    for (lang,) in tables.where("kind = 0").select("lang").collect():
+        rows = tables.where(F.col("lang") == lang).select("kind", "g", "value").toArrow()
+        out[lang] = Model(*(rows.column(c).to_numpy() for c in ("kind", "g", "value")), marked.get(lang))
+        del rows
+        release()
+    return out
 
 
 SUMS = "struct<n_chars: bigint, log_sum: double, toxicity: double>"
@@ -314,6 +316,7 @@ ARROW_SUMS = pa.struct([("n_chars", pa.int64()), ("log_sum", pa.float64()), ("to
 def scores_in_place(tables: DataFrame, weights: DataFrame):
     """A function of the columns lang and text: ``SUMS``, null where the language has no model."""
     shared = tables.sparkSession.sparkContext.broadcast(models(tables, weights))
+    release()
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for langs, texts in batches:
@@ -394,14 +397,19 @@ def scores_by_joins(texts: DataFrame, tables: DataFrame, weights: DataFrame, scr
     return out.select("doc_id", "print", "lang", F.struct("n_chars", "log_sum", toxicity.alias("toxicity")).alias("found"))
 
 
-def with_scores(rows: DataFrame, tables: DataFrame, weights: DataFrame, scratch: Scratch, model_rows: int) -> DataFrame:
-    """The rows with found (``SUMS``). rows: row, doc_id, print, lang, text."""
+def scorer(tables: DataFrame, weights: DataFrame, scratch: Scratch, model_rows: int):
+    """A function of rows (row, doc_id, print, lang, text), which get found (``SUMS``). The model is sent out once, whatever it is used for."""
     if tables.count() + weights.count() <= model_rows:
-        return rows.withColumn("found", scores_in_place(tables, weights)("lang", "text"))
-    told = scores_by_joins(rows.where("text != ''").select("doc_id", "print", "lang", "text"), tables, weights, scratch)
-    told, _ = scratch.save(told.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("lang").alias("l"), "found"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("print").eqNullSafe(F.col("p")) & (F.col("lang") == F.col("l"))
-    return rows.join(told, same, "left").drop("d", "p", "l")
+        in_place = scores_in_place(tables, weights)
+        return lambda rows: rows.withColumn("found", in_place("lang", "text"))
+
+    def by_joins(rows: DataFrame) -> DataFrame:
+        told = scores_by_joins(rows.where("text != ''").select("doc_id", "print", "lang", "text"), tables, weights, scratch)
+        told, _ = scratch.save(told.select(F.col("doc_id").alias("d"), F.col("print").alias("p"), F.col("lang").alias("l"), "found"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("print").eqNullSafe(F.col("p")) & (F.col("lang") == F.col("l"))
+        return rows.join(told, same, "left").drop("d", "p", "l")
+
+    return by_joins
 
 
 def judged(
@@ -424,7 +432,8 @@ def judged(
     known, path = scratch.save(known)
     tables = model_tables(known.where("trusted and fold = 0"), scratch)
     weights = mark_weights(known.where("fold = 0").select("lang", "toxic", "text"), scratch)
-    unseen = with_scores(known.where("trusted and fold = 1"), tables, weights, scratch, model_rows).select("lang", "found.*")
+    scored = scorer(tables, weights, scratch, model_rows)
+    unseen = scored(known.where("trusted and fold = 1")).select("lang", "found.*")
     unseen, unseen_path = scratch.save(unseen.where("log_sum is not null"))
     means, _ = scratch.save(unseen.groupBy("lang").agg((F.sum("log_sum") / F.sum("n_chars")).alias("mean")))
     perplexity = lambda s: F.exp(-(s("log_sum") + PRIOR * F.col("mean")) / (s("n_chars") + PRIOR))
@@ -434,7 +443,7 @@ def judged(
     limits, _ = scratch.save(limits)
     scratch.drop(path, unseen_path)
     found = lambda name: F.col(f"found.{name}")
-    told = with_scores(rows, tables, weights, scratch, model_rows).join(sized(limits), "lang", "left")
+    told = scored(rows).join(sized(limits), "lang", "left")
     told = told.select("row", "doc_id", "lang", "print", F.coalesce(found("n_chars"), F.lit(0)).alias("n_chars"), perplexity(found).alias("perplexity"), F.when(found("log_sum").isNotNull(), F.col("threshold")).alias("threshold"), (found("toxicity") > F.col("most")).alias("foul"))
     return told.select(*(c for c in told.columns if c != "foul"), F.coalesce((F.col("perplexity") > (1 + SLACK) * F.col("threshold")) | F.col("foul"), F.lit(False)).alias("rejected"))
 
