@@ -116,8 +116,9 @@ def shard_documents(
     text_col: str = "text",
     tolerance: int = 0,
     piece_bytes: int = 64 << 20,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """The documents with size, text_crc32, law, shard, slot and grown_shard; see the module's text."""
+    """The documents (of their columns ``carry``, or all) with size, text_crc32, law, shard, slot and grown_shard; see the module's text."""
     scratch = Scratch(docs.sparkSession, "shards")
     doc_id, text = docs[id_col], docs[text_col].cast("string")
     narrow = docs.select(sort_key(doc_id, text).alias("key"), tie().alias("tie"), row_size(text).alias("size"))
@@ -138,7 +139,7 @@ def shard_documents(
     in_pieces = keyed.groupBy(shard(F.col("key"), F.col("tie")), piece(F.col("key"))).agg(F.sum("size").alias("bytes"))
     # ties divide pieces that equal rows have made much too large
     parts = max(1, (in_pieces.agg(F.max("bytes")).first()[0] or 0) // (4 * piece_bytes))
-    carried = [docs[c] for c in docs.columns if c not in OUTPUTS]
+    carried = [docs[c] for c in (docs.columns if carry is None else carry) if c not in OUTPUTS]
     rows = docs.select(
         *([F.struct(*carried).alias("row")] if carried else []),
         row_size(text).alias("size"),
@@ -156,8 +157,7 @@ def shard_documents(
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard_documents(docs).select("doc_id", *OUTPUTS)
+    return shard_documents(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 #: CRC-32 of the bytes, by its table (crc 0xEDB88320), as DuckDB has none.
