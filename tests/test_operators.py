@@ -11,6 +11,7 @@ from tidewire.functions import text as T
 from tidewire.functions.match import has_keyword
 from tidewire.functions.rules import SAMPLE, STOP_WORDS
 from tidewire.operators import dashboard, dedup, extract, health, report, scoring, summary
+from tidewire.plans import weekly
 from tidewire.sources import fetch, parse
 from tidewire.streaming import feeds
 
@@ -225,6 +226,66 @@ def test_fetching_source(spark):
     assert {r.source_name: r.error for r in df.collect()} == dict.fromkeys(("a", "bad", "shy"), "ConnectionError: no transport is set")
 
 
+def test_headers_timeouts_and_unknown_platforms(monkeypatch):
+    asked = []
+
+    def transport(source, headers):
+        asked.append((source["timeout"], headers))
+        return "x"
+
+    monkeypatch.setenv("SCHOLAR_API_KEY", "k")
+    monkeypatch.setenv("GITHUB_TOKEN", "t")
+    for platform in ("scholar", "repo", "stix", None):
+        fetch.fetch_one({"name": "s", "type": "api", "api_platform": platform, "url": "http://s"}, transport)
+    assert asked == [(30, {"x-api-key": "k"}), (30, {"Accept": "application/vnd.github.v3+json", "Authorization": "Bearer t"}), (60, {}), (30, {})]
+    odd = {"name": "s", "type": "api", "api_platform": "odd", "url": "http://s"}
+    assert fetch.fetch_one(odd, transport)[7] == "未知 api_platform: odd" and fetch.fetch_one(odd, transport, platforms=("odd",))[5] == "x"
+    assert fetch.fetch_one({"name": "s", "type": "api", "url": "http://<key>"}, transport)[7] == "未知 api_platform: "
+
+
+def rss_of(*entries):
+    return "<rss><channel>" + "".join(f"<item><title>{t}</title><link>{u}</link><description>{d}</description></item>" for t, u, d in entries) + "</channel></rss>"
+
+
+RAW = "ord long, source_name string, language string, type string, api_platform string, xml_text string, error string"
+
+
+def test_bodies_that_cannot_be_read_are_rows(spark):
+    whole = rss_of(("T", "http://t", "d"))
+    bodies = [(None, whole), (None, whole[:-12]), (None, "<html>no feed</html>"), (None, "<rss><channel></channel></rss>"), ("news", "{}"), ("news", "{"), ("papers", "<feed>"), ("papers", "<feed></feed>")]
+    rows = [(i, "s", "en", "api" if p else "rss", p, b, None) for i, (p, b) in enumerate(bodies)] + [(8, "s", "en", "rss", None, "", None), (9, "s", "en", "rss", None, "<", "failed")]
+    got = parse.parse_with_errors(spark.createDataFrame(rows, RAW), F.lit("2024-06-15 12:00:00").cast("timestamp")).collect()
+    assert sorted(r.ord for r in got if r.parse_error) == [1, 2, 5, 6]
+    assert {r.parse_time for r in got} == {"2024-06-15T12:00:00"} and [r.title for r in got if not r.parse_error and r.ord == 0] == ["T"]
+
+
+def test_translation_splits_languages(spark):
+    rows = [(0, "en", "title", "s" * 600, None, "sum"), (1, "zh", "题", "文", None, "english"), (2, "en", "", "page", "orig", "漢字漢字"), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "ord long, language string, title string, summary string, original_summary string, ai_summary string")
+    got = {r.ord: (r.title_zh, r.summary_zh, r.ai_summary_zh) for r in summary.translate_items(df, F.upper).collect()}
+    assert got == {0: ("TITLE", "S" * 500, "SUM"), 1: (None, None, "ENGLISH"), 2: ("", "ORIG", "漢字漢字"), 3: (None, None, "")}
+    assert one(spark, lambda v: summary.translated(v, F.upper), "a" * 1600, "A" * 1600) == ["A" * 1500, "A" * 1600]
+
+
+def test_a_run_from_bodies_to_the_report(spark):
+    now = F.lit("2024-06-15 12:00:00").cast("timestamp")
+    long = "license " * 60
+    body = rss_of(("license idiot", "http://1", long), ("license idiot", "http://1", long), ("license idiot!", "http://2", long), ("quiet", "http://3", "nothing"), ("moron license", "http://4", "short"))
+    raw = spark.createDataFrame([(0, "s", "en", "rss", None, body, None), (1, "s", "en", "rss", None, "<rss>", None)], RAW)
+    pages = spark.createDataFrame([("http://4", "<article>" + "license words of a page " * 20 + "</article>")], "url string, html string")
+    following = weekly.steps(pages, now, translate=F.upper)
+    rows, failed = weekly.run(raw, following, now)
+    got = {r.url: r for r in rows.collect()}
+    assert failed == {} and set(got) == {"http://1", "http://4"}
+    assert got["http://1"].title == "LICENSE IDIOT" and got["http://4"].fulltext_fetched and got["http://1"].filter_decision == "accepted"
+
+    def broken(items):
+        raise RuntimeError("no")
+
+    rows, failed = weekly.run(raw, [(n, broken if n in ("duplicates", "fulltext") else f) for n, f in following], now)
+    assert failed == {"duplicates": "RuntimeError: no", "fulltext": "RuntimeError: no"} and sorted(r.url for r in rows.collect()) == ["http://1", "http://1", "http://2", "http://4"]
+
+
 def test_health_stream_equals_batch(spark, tmp_path):
     rows = [("a", f"2024-01-0{d} 00:00:00", d, f) for d, f in ((1, True), (2, False), (3, True), (4, True))] + [("b", "2024-01-01 00:00:00", 9, True)]
     df = spark.createDataFrame(rows, "name string, ts string, seq long, failed boolean").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -14,6 +14,7 @@ from tidewire.functions.text import ellipsis, is_cjk, jaccard, strip, tokens, us
 
 TOP = 5
 MOST = 500
+TRANSLATED = 1500
 
 
 def sentence_table(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -114,4 +115,26 @@ def choose_summary(items: DataFrame, translate=identity) -> DataFrame:
     return rows.withColumn("ai_summary", chosen).drop("_source", "extract")
 
 
-__all__ = ["jaccard", "sentence_similarity", "sentence_table", "summarize", "choose_summary", "text_rank"]
+def translated(text: Column, translate=identity, most: int = TRANSLATED) -> Column:
+    """A text's translation, made of its first ``most`` characters; the whole text if there is none or it changes nothing."""
+    cut = F.left(text, F.lit(most))
+    made = translate(cut)
+    return F.when(strip(text) == "", text).otherwise(F.when(made.isNotNull() & (made != cut), made).otherwise(text))
+
+
+def translate_items(items: DataFrame, translate=identity) -> DataFrame:
+    """title_zh and summary_zh of English items (null for others), and ai_summary_zh of every item that isn't Chinese by its own text.
+
+    The summary is the original one where a page's text has taken its place, and at most 500 characters of it.
+    """
+    col = lambda c: F.coalesce(F.col(c), F.lit("")) if c in items.columns else F.lit("")
+    english = F.coalesce("language", F.lit("")) == "en"
+    told = F.when(col("original_summary") != "", col("original_summary")).otherwise(col("summary"))
+    best = col("ai_summary")
+    return items.withColumns({
+        "title_zh": F.when(english, translated(col("title"), translate)), "summary_zh": F.when(english, translated(F.left(told, F.lit(MOST)), translate)),
+        "ai_summary_zh": F.when((best == "") | is_cjk(best), best).otherwise(translated(best, translate)),
+    })
+
+
+__all__ = ["translate_items", "translated", "jaccard", "sentence_similarity", "sentence_table", "summarize", "choose_summary", "text_rank"]

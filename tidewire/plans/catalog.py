@@ -615,6 +615,15 @@ def xml_feed_parse(spark, sf_dir):
     return parse.parse_all(feed_bodies(spark, sf_dir)).select("ord", "pos", "title", "url", "summary", "published_date", "source_type")
 
 
+@query(f"SELECT doc_id AS ord, source AS source_name, strftime(TIMESTAMP '{NOW}', '%Y-%m-%dT%H:%M:%S') AS parse_time FROM documents WHERE doc_id % 10 IN (3, 4)")
+def body_errors(spark, sf_dir):
+    """Bodies that break off, and such that are no feed."""
+    body = F.col("xml_text")
+    damaged = F.when(F.col("ord") % 10 == 3, F.left(body, F.length(body) - 10)).when(F.col("ord") % 10 == 4, "plain").otherwise(body)
+    rows = parse.parse_with_errors(feed_bodies(spark, sf_dir).withColumn("xml_text", damaged), F.lit(NOW).cast("timestamp"))
+    return rows.where("parse_error").select("ord", "source_name", "parse_time")
+
+
 # ---- summaries -----------------------------------------------------------------------------------------------------
 
 #: RE2 has no look-behind: a mark is put after each end of a sentence, and the text is split there.
@@ -655,6 +664,21 @@ def ai_summary(spark, sf_dir):
     return summary.choose_summary(items(spark, sf_dir)).select("ord", "ai_summary")
 
 
+@query(
+    f"""WITH {ITEMS_SQL}, t AS (SELECT ord, language, title, substr(CASE WHEN ord % 3 = 0 THEN 'orig ' || title ELSE summary END, 1, 500) AS told,
+  CASE WHEN ord % 5 = 0 THEN '漢字' WHEN ord % 2 = 0 THEN title ELSE '' END AS best FROM items)
+SELECT ord, CASE WHEN language = 'en' THEN CASE WHEN trim(title, {BLANKS}) = '' THEN title ELSE 'zh:' || substr(title, 1, 1500) END END AS title_zh,
+  CASE WHEN language = 'en' THEN CASE WHEN trim(told, {BLANKS}) = '' THEN told ELSE 'zh:' || told END END AS summary_zh,
+  CASE WHEN best = '漢字' OR trim(best, {BLANKS}) = '' THEN best ELSE 'zh:' || substr(best, 1, 1500) END AS ai_summary_zh FROM t"""
+)
+def translated_items(spark, sf_dir):
+    """A mark stands in for the translator."""
+    k = F.col("ord")
+    told = {"original_summary": F.when(k % 3 == 0, F.concat(F.lit("orig "), "title")), "ai_summary": F.when(k % 5 == 0, "漢字").when(k % 2 == 0, F.col("title")).otherwise("")}
+    rows = summary.translate_items(items(spark, sf_dir).withColumns(told), lambda c: F.concat(F.lit("zh:"), c))
+    return rows.select("ord", "title_zh", "summary_zh", "ai_summary_zh")
+
+
 @query("SELECT doc_id AS ord, round(length(regexp_replace(text || repeat('漢', CAST(doc_id % 900 AS INTEGER)), '[^\\x{4e00}-\\x{9fff}]', '', 'g'))::DOUBLE / length(text || repeat('漢', CAST(doc_id % 900 AS INTEGER))), 9) AS ratio FROM documents")
 def cjk_ratio(spark, sf_dir):
     text = F.concat("summary", F.repeat(F.lit("漢"), (F.col("ord") % 900).cast("int")))

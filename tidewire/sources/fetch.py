@@ -16,13 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .parse import PLATFORMS
 from .schemas import RAW_ITEMS, SOURCES
+from .settings import secret
 
 Transport = Callable[[dict, dict], str]
 READER_AGENT = {"User-Agent": "FeedReader/1.0"}
-#: What a platform asks for besides the url.
-HEADERS = {"repo_search": {"Accept": "application/vnd.github+json"}, "releases": {"Accept": "application/vnd.github+json"}, "repo": {"Accept": "application/vnd.github+json"}}
-TIMEOUTS = {"stix": 60}
+# What platforms ask for besides the url, and seconds to wait for them
+CODE_HOST = {"Accept": "application/vnd.github.v3+json"}
+HEADERS = {"repo_search": CODE_HOST, "releases": CODE_HOST, "repo": CODE_HOST}
+TIMEOUT, TIMEOUTS = 30, {"stix": 60}
+UNKNOWN_PLATFORM = "未知 api_platform: "
+#: Header, its form, and the name of the credential, which is sent if the environment holds it.
+BEARER = ("Authorization", "Bearer {}", "GITHUB_TOKEN")
+CREDENTIALS = {"scholar": ("x-api-key", "{}", "SCHOLAR_API_KEY"), "repo_search": BEARER, "releases": BEARER, "repo": BEARER}
 
 
 def raw_row(source: dict, text: str = "", error: str | None = None, at: str | None = None) -> tuple:
@@ -30,9 +37,25 @@ def raw_row(source: dict, text: str = "", error: str | None = None, at: str | No
     return (source.get("name") or "", source.get("language") or "en", source.get("url") or "", source.get("type") or "rss", source.get("api_platform"), text, when, error)
 
 
-def fetch_one(source: dict, transport: Transport, at: str | None = None) -> tuple:
-    """One source. Feeds that fail or come back empty are asked once more as a feed reader; APIs aren't."""
-    headers = {**HEADERS.get(source.get("api_platform") or "", {})}
+def headers_of(platform: str) -> dict:
+    headers = {**HEADERS.get(platform, {})}
+    name, form, key = CREDENTIALS.get(platform, ("", "", ""))
+    if name and (value := secret(key)):
+        headers[name] = form.format(value)
+    return headers
+
+
+def fetch_one(source: dict, transport: Transport, at: str | None = None, platforms=()) -> tuple:
+    """One source. Feeds that fail or come back empty are asked once more as a feed reader; APIs aren't.
+
+    The transport finds the seconds to wait in the source's ``timeout``. An API of a platform that is neither built in nor
+    among ``platforms`` is an error; one without a platform is asked plainly, unless its url has a place to be filled in (<).
+    """
+    platform = source.get("api_platform") or ""
+    if source.get("type") == "api" and platform not in PLATFORMS and platform not in platforms and (platform or "<" in (source.get("url") or "")):
+        return raw_row(source, "", UNKNOWN_PLATFORM + platform, at)
+    headers = headers_of(platform)
+    source = {"timeout": TIMEOUTS.get(platform, TIMEOUT), **source}
     try:
         text = transport(source, headers)
         if text or source.get("type") == "api":
@@ -60,6 +83,7 @@ class FeedReader(DataSourceReader):
         self.sources = json.loads(options.get("catalogue", "[]"))
         self.size = int(options.get("per_task", "8"))
         self.named, self.at = options.get("transport"), options.get("at")
+        self.platforms = tuple(json.loads(options.get("platforms", "[]")))
 
     def partitions(self) -> list[Part]:
         wanted = [s for s in self.sources if s.get("enabled", True)]
@@ -71,7 +95,7 @@ class FeedReader(DataSourceReader):
             module, _, name = self.named.partition(":")
             transport = getattr(importlib.import_module(module), name)
         for source in partition.sources:
-            yield fetch_one(source, transport, self.at)
+            yield fetch_one(source, transport, self.at, self.platforms)
 
 
 class FeedSource(DataSource):

@@ -244,3 +244,25 @@ def parse_all(raw: DataFrame, unescape=decode_entities) -> DataFrame:
     for b in branches[1:]:
         out = out.unionByName(b, allowMissingColumns=True)
     return out
+
+
+def unreadable(raw: DataFrame) -> Column:
+    """Whether a body can't be read: a feed that is no well-formed RSS or Atom, an API's answer that is no JSON. Papers are feeds."""
+    kind, platform, body = F.coalesce("type", F.lit("rss")), text(F.col("api_platform")), F.col("xml_text")
+    damaged = F.from_xml(body, "_damaged string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"})["_damaged"].isNotNull()
+    feed_like = body.rlike(r"(?i)<(rss|feed|rdf:RDF)[\s>]")
+    is_feed = ~kind.isin("api", "scraper") | ((kind == "api") & (platform == "papers"))
+    return F.when(is_feed, ~feed_like | damaged).when(kind == "api", F.try_parse_json(body).isNull()).otherwise(F.lit(False))
+
+
+def parse_with_errors(raw: DataFrame, at: Column, unescape=decode_entities) -> DataFrame:
+    """The items with parse_time and parse_error, and a row without title, at pos -1, for each fetched body that can't be read.
+
+    Bodies are judged row by row: nothing is exchanged. ``at`` is a parameter: results don't depend on when they are computed.
+    """
+    when = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    found = parse_all(raw, unescape).withColumns({"parse_time": when, "parse_error": F.lit(False)})
+    bad = raw.where("(error is null or error = '') and xml_text is not null and xml_text != ''").where(unreadable(raw))
+    empty, none = F.lit(""), F.lit(-1)
+    rows = items(bad.withColumn("pos", none), empty, empty, empty, empty).withColumns({"parse_time": when, "parse_error": F.lit(True)})
+    return found.unionByName(rows, allowMissingColumns=True)
