@@ -147,3 +147,6 @@ SAMPLE = Rules(
     negative=("stupid", "scum", "clown"),
     demoted_sites=("src3", "src7"),
 )
+
+# What user agents of mobile devices hold
+MOBILE_AGENTS = ("mobile", "android", "iphone", "ipad", "phone", "ipod", "opera mini", "blackberry", "webos", "iemobile")

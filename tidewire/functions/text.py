@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import BLOCK_TAGS, EMPTY_SENTENCES, ENTITIES, NOISE_LINES, TITLE_PREFIXES
+from .rules import BLOCK_TAGS, EMPTY_SENTENCES, ENTITIES, MOBILE_AGENTS, NOISE_LINES, TITLE_PREFIXES
 
 BLANK_ENDS = r"(?U)^\s+|\s+$"
 
@@ -133,3 +133,14 @@ def escape_html(text: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(char), F.lit(entity))
     return text
+
+
+def feed_body(content: Column, summary: Column, description: Column, unescape=decode_entities) -> Column:
+    """An entry's text: its full content unless that is blank, else its summary, and its description where it has no summary."""
+    full = strip(F.coalesce(content, F.lit("")))
+    return strip_html(F.when(full != "", full).otherwise(strip(F.coalesce(summary, description, F.lit("")))), unescape)
+
+
+def is_mobile(agent: Column) -> Column:
+    """Whether a user agent names a mobile device; null for null."""
+    return F.lower(agent).rlike("|".join(MOBILE_AGENTS))

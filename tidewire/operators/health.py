@@ -97,3 +97,11 @@ def source_alerts(sources: DataFrame, status: DataFrame, health: DataFrame, item
     for name, r in SEVERITY_ORDER.items():
         rank = F.when(F.col("severity") == name, r).otherwise(rank)
     return told.withColumn("severity_rank", rank).orderBy("severity_rank", "ord")
+
+
+def with_skipped(fetches: DataFrame, skipped: DataFrame, at: Column) -> DataFrame:
+    """The log with a failed fetch at ``at`` for each source that was passed over, after its other fetches.
+
+    With it a disabled source's failures go on growing until its state is reset by hand; without it they stay.
+    """
+    return fetches.unionByName(skipped.select("name", at.cast(fetches.schema["ts"].dataType).alias("ts"), F.lit(2**31 - 1).cast(fetches.schema["seq"].dataType).alias("seq"), F.lit(True).alias("failed")))

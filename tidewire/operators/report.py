@@ -99,9 +99,23 @@ def upsert_keywords(existing: DataFrame, texts: DataFrame) -> DataFrame:
     return out.select("text", F.coalesce("categories", F.array().cast("array<string>")).alias("categories")).orderBy("text")
 
 
-def write_weekly(report: DataFrame, path: str) -> None:
-    """The report by decision and category, a folder each, compressed."""
-    split_decisions(report).write.mode("overwrite").option("compression", "gzip").partitionBy("is_review", "category").json(path)
+def with_category_index(report: DataFrame, order=CATEGORY_ORDER) -> DataFrame:
+    """is_review of every item, and cat_idx: its category's place among the categories of accepted items; null for review."""
+    marked = split_decisions(report)
+    places = group_by_category(marked.where("not is_review"), order).select("cat_idx", F.col("category").alias("_named"))
+    bare = F.when(F.col("category").isin([*order]), F.col("category")).otherwise(UNCLASSIFIED)
+    joined = marked.join(F.broadcast(places), ~F.col("is_review") & (bare == F.col("_named")), "left")  # a row for each category
+    return joined.drop("_named")
+
+
+def write_weekly(report: DataFrame, path: str, order=CATEGORY_ORDER) -> None:
+    """The report by decision and category's index, a folder each, compressed."""
+    with_category_index(report, order).write.mode("overwrite").option("compression", "gzip").partitionBy("is_review", "cat_idx").json(path)
+
+
+def preview(report: DataFrame, n: int = 10) -> DataFrame:
+    """The first ``n`` items by ord."""
+    return report.orderBy("ord").limit(n)
 
 
 def append_history(stats: DataFrame, path: str) -> None:

@@ -349,6 +349,18 @@ def sources_to_fetch(spark, sf_dir):
     return go.select("name", F.lit(False).alias("skipped")).unionByName(skipped.select("name", F.lit(True).alias("skipped")))
 
 
+@query(
+    f"""{HEALTH_SQL}, {SOURCES_SQL} SELECT hl.name, consecutive_failures + CASE WHEN gone THEN 1 ELSE 0 END AS consecutive_failures, total_errors + CASE WHEN gone THEN 1 ELSE 0 END AS total_errors
+FROM (SELECT *, consecutive_failures >= 1 AND name IN (SELECT name FROM src WHERE enabled) AS gone FROM hl) AS hl"""
+)
+def skipped_as_failures(spark, sf_dir):
+    """Sources that were passed over as disabled count as failed once more."""
+    log = fetches(spark, sf_dir)
+    _, skipped = health.split_sources(sources(spark, sf_dir), health.source_health(log), 1)
+    grown = health.with_skipped(log, skipped, F.lit("2100-01-01"))
+    return health.source_health(grown).select("name", "consecutive_failures", "total_errors")
+
+
 def statuses(spark, sf_dir):
     failed = F.col("failed")
     return fetches(spark, sf_dir).select("name", F.when(failed, "error").otherwise("success").alias("status"), F.when(failed, F.concat(F.lit("e"), "seq")).alias("error"), F.struct("ts", "seq").alias("ord"))
@@ -424,6 +436,18 @@ def strip_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html"), T.decode_entities).alias("body"))
 
 
+@query(
+    f"""WITH e AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN '  ' END AS content, CASE WHEN page_id % 2 = 0 THEN url END AS summary FROM pages),
+p AS (SELECT e.page_id, CASE WHEN trim(coalesce(content, ''), {BLANKS}) <> '' THEN content ELSE coalesce(summary, html) END AS one FROM e JOIN pages USING (page_id))
+SELECT page_id, trim(regexp_replace(regexp_replace({entities_sql(tags_sql(f"trim(one, {BLANKS})"))}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {BLANKS}) AS body FROM p"""
+)
+def feed_body(spark, sf_dir):
+    """Of every third page the content counts; blank or missing content leaves the summary, or the description."""
+    at = F.col("page_id") % 3
+    content, summary = F.when(at == 0, F.col("html")).when(at == 1, F.lit("  ")), F.when(F.col("page_id") % 2 == 0, F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", T.feed_body(content, summary, F.col("html")).alias("body"))
+
+
 @query()
 def strip_html_unescaped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html"), extract.unescape).alias("body"))
@@ -753,3 +777,17 @@ def keyword_upsert(spark, sf_dir):
 @query("SELECT date_trunc('week', ts) AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def weekly_windows(spark, sf_dir):
     return feeds.weekly_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) - to_days(CAST(d AS INTEGER)) AS window_start, event_type, count(*) AS n FROM events, range(7) AS r(d) GROUP BY 1, 2")
+def sliding_windows(spark, sf_dir):
+    return feeds.sliding_counts(table(spark, sf_dir, "events"), "event_type")
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER o + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events WHERE ts IS NOT NULL WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def session_windows(spark, sf_dir):
+    return feeds.sessions(table(spark, sf_dir, "events"), "user_id")

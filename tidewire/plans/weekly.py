@@ -41,14 +41,20 @@ def steps(pages: DataFrame, now: Column, rules: Rules = SAMPLE, translate=summar
     ]
 
 
-def run(raw: DataFrame, following: list[Step], at: Column) -> tuple[DataFrame, dict[str, str]]:
+def run(raw: DataFrame, following: list[Step], at: Column, keep: str | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The report's table, and what failed: step and error.
 
     Parsing and the report must succeed. A step that fails is passed over: its input goes on. A step's rows are
-    kept until the next step's are written.
+    kept until the next step's are written; in the folder ``keep``, if one is named, they stay as JSON lines, by step.
     """
     scratch, failed = Scratch(raw.sparkSession, "weekly"), {}
+
+    def stay(rows: DataFrame, name: str) -> None:
+        if keep:
+            rows.write.mode("overwrite").option("compression", "gzip").json(f"{keep.rstrip('/')}/{name}")
+
     rows, path = scratch.save(numbered(parse.parse_with_errors(raw, at)))
+    stay(rows, "parsed")
     for name, step in following:
         try:
             new, written = scratch.save(step(rows))
@@ -57,4 +63,5 @@ def run(raw: DataFrame, following: list[Step], at: Column) -> tuple[DataFrame, d
             continue
         scratch.drop(path)
         rows, path = new, written
+        stay(rows, name)
     return report.report_items(rows), failed

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 
-from tidewire.functions.rules import Ambiguity, Keyword, Rules
+from tidewire.functions.rules import CATEGORY_ORDER, UNCLASSIFIED, Ambiguity, Keyword, Rules
 
 #: Defaults of a rule file's optional keys.
 TIER_RATIOS = {"tier_a": (1, 1), "tier_b": (0.6, 0.3), "tier_c": (0.5, 0.2), "tier_d": (0, 0)}
@@ -17,6 +18,33 @@ def read_json(spark: SparkSession, path: str) -> dict | list:
     return json.loads("\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect()))
 
 
+def read_status(spark: SparkSession, path: str) -> dict:
+    """A status, health or statistics file: empty if it is missing, damaged or no object."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return {}
+    try:
+        told = read_json(spark, path)
+    except ValueError:
+        return {}
+    return told if isinstance(told, dict) else {}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a configuration says beside its rules."""
+
+    similarity: int = 85
+    max_days: int = 7
+    category_order: tuple[str, ...] = (*CATEGORY_ORDER, UNCLASSIFIED)
+
+
+def settings_from(config: dict) -> Settings:
+    """dedup.similarity_threshold, dedup.max_days and category_order; absent ones, or an empty order, take the defaults."""
+    given = config.get("dedup", {})
+    return Settings(given.get("similarity_threshold", Settings.similarity), given.get("max_days", Settings.max_days), tuple(config.get("category_order") or Settings.category_order))
+
+
 def rules_from(config: dict) -> Rules:
     """Rules from a configuration: tiers with weight and keywords, position_multipliers, thresholds, pairing_rules and so on.
 

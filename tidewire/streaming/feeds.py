@@ -47,3 +47,15 @@ def weekly_counts(items: DataFrame, key: str, time: str = "ts", late: str = "1 d
     week = F.window(F.col(time), "7 days", "7 days", "4 days")
     counts = items.withWatermark(time, late) if items.isStreaming else items
     return counts.groupBy(week.alias("week"), key).agg(F.count("*").alias("n")).select(F.col("week.start").alias("week_start"), key, "n")
+
+
+def sliding_counts(items: DataFrame, key: str, time: str = "ts", size: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Counts of each key in windows of ``size`` that begin every ``slide``: a row counts in each window that holds it."""
+    counts = items.withWatermark(time, late) if items.isStreaming else items
+    return counts.groupBy(F.window(time, size, slide).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+
+
+def sessions(items: DataFrame, key: str, time: str = "ts", gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """Runs of a key's rows without a pause of ``gap``; a session ends that long after its last row. Rows without a time have none."""
+    rows = items.withWatermark(time, late) if items.isStreaming else items
+    return rows.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
