@@ -120,24 +120,25 @@ def proofs(nodes: DataFrame, scratch: Scratch, fanout: int = FANOUT, block: int
     done = steps.pop().withColumn("subroot", F.col("top")).withColumn("root", F.col("top"))
     if roots:  # here a group is one bucket, so none is hot in this join
         tops = done.where("idx = 0").select(F.col("g").alias("of"), F.col("top").alias("node")).withColumn("g", F.lit(None).cast("string"))
-        over, _ = scratch.save(proofs(indexed(tops, "g", ["of"], scratch), scratch, fanout, block, roots=False).select("of", *[F.col(c).alias(f"up_{c}") for c in ("before", "after", "root")]))
-        done = done.join(sized(over, SENT), done["g"].eqNullSafe(over["of"]), "left")
-        done = done.select("g", "idx", "n", *carried(done), *longer(), "subroot", F.col("up_root").alias("root"))
+        over = proofs(indexed(tops, "g", ["of"], scratch), scratch, fanout, block, roots=False)
+        over, _ = scratch.save(over.select(F.col("of").alias("up_g"), *upper(), F.col("root").alias("up_root")))
+        done = done.join(sized(over, SENT), done["g"].eqNullSafe(over["up_g"]), "left")
+        done = done.withColumns({**longer(), "root": F.col("up_root")}).drop(*over.columns)
     while steps:
-        over, _ = scratch.save(done.select(F.col("g").alias("of"), F.col("idx").alias("block"), *[F.col(c).alias(f"up_{c}") for c in ("before", "after")], "subroot", "root"))
+        over, _ = scratch.save(done.select(F.col("g").alias("up_g"), F.col("idx").alias("up_block"), *upper(), F.col("subroot").alias("up_subroot"), F.col("root").alias("up_root")))
         done = steps.pop()
-        done = done.join(sized(over, SENT), done["g"].eqNullSafe(over["of"]) & (done["bucket"] == over["block"]), "left")
-        done = done.select("g", "idx", "n", *carried(done), *longer(), "subroot", "root")
-    return done
+        done = done.join(sized(over, SENT), done["g"].eqNullSafe(over["up_g"]) & (done["bucket"] == over["up_block"]), "left")
+        done = done.withColumns({**longer(), "subroot": F.col("up_subroot"), "root": F.col("up_root")}).drop(*over.columns)
+    return done.drop("bucket", "top")
 
 
-def carried(rows: DataFrame) -> list[str]:
-    own = {"g", "idx", "n", "bucket", "before", "after", "top", "subroot", "root", "block"}
-    return [c for c in rows.columns if c not in own and not c.startswith("up_") and not (c == "of" and "up_root" in rows.columns)]
+def upper() -> list[Column]:
+    return [F.col(c).alias(f"up_{c}") for c in ("before", "after")]
 
 
-def longer() -> list[Column]:
-    return [F.concat(c, f"up_{c}").alias(c) for c in ("before", "after")]
+def longer() -> dict[str, Column]:
+    """Lower proofs with the upper ones behind them."""
+    return {c: F.concat(c, f"up_{c}") for c in ("before", "after")}
 
 
 def siblings(rows: DataFrame) -> Column:
