@@ -328,3 +328,32 @@ def test_rules_from_a_configuration():
     assert [(k.text, k.categories) for k in rules.keywords] == [("A", ("y",)), ("a", ("y",)), ("b", ())]
     assert (rules.accept, rules.review, rules.ambiguity["b"].standalone, rules.ratios["B"]) == (60, 45, False, (0.6, 0.3))
     assert strong_texts(config) == ["A", "a"]
+
+
+def test_feeds_with_namespaces_guids_and_cdata(spark):
+    rss = lambda inner: f'<rss version="2.0" xmlns:media="m" xmlns:dc="d"><channel><title>C</title><atom:link href="http://self" rel="self"/><item>{inner}</item></channel></rss>'
+    atom = lambda inner: f'<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry>{inner}</entry></feed>'
+    bodies = [
+        rss("<title>Real</title><media:title>Photo caption</media:title><description>d</description><media:description>m</media:description><link>http://1</link>"),
+        rss("<title>A</title><link>http://2</link><atom:link href='http://other' rel='self'/>"),
+        rss("<title>B</title><atom:link href='http://3'/><dc:date>2024-01-02T03:04:05Z</dc:date>"),
+        rss("<title>C</title><guid>http://4</guid><pubDate>soon</pubDate><dc:date>2024-01-02</dc:date>"),
+        rss("<title>D</title><guid isPermaLink='false'>id-5</guid>"),
+        rss('<title>E</title><description><![CDATA[set xmlns="abc" and &lt;dc:date>x]]></description><content:encoded><![CDATA[<p>Full</p>]]></content:encoded>'),
+        atom("<title type='html'>G &amp; H</title><link rel='self' href='http://s'/><link href='http://7'/><media:title>no</media:title><summary>s</summary><content>long</content><updated>2024-01-02T03:04:05Z</updated>"),
+        '<atom:feed xmlns:atom="a"><atom:entry><atom:title>I</atom:title><atom:link href="http://8"/><atom:content>only</atom:content></atom:entry></atom:feed>',
+        rss("<title>  </title><link> </link>"),
+    ]
+    raw = spark.createDataFrame([(i, "s", "en", "rss", None, b, None) for i, b in enumerate(bodies)], RAW)
+    got = [(r.title, r.url, r.summary, r.published_date, r.full_body) for r in parse.parse_all(raw).orderBy("ord").collect()]
+    assert got == [
+        ("Real", "http://1", "d", "", None),
+        ("A", "http://2", "", "", None),
+        ("B", "http://3", "", "2024-01-02T03:04:05", None),
+        ("C", "http://4", "", "2024-01-02T00:00:00", None),
+        ("D", "", "", "", None),
+        ("E", "", 'set xmlns="abc" and <dc:date>x', "", "Full"),
+        ("G & H", "http://7", "s", "2024-01-02T03:04:05", "long"),
+        ("I", "http://8", "only", "", None),
+        ("", "", "", "", None),
+    ]

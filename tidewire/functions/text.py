@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from .rules import BLOCK_TAGS, EMPTY_SENTENCES, ENTITIES, MOBILE_AGENTS, NOISE_LINES, TITLE_PREFIXES
 
-BLANK_ENDS = r"(?U)^\s+|\s+$"
+#: White space of any script.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, BLANK_ENDS, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize_title(title: Column) -> Column:
@@ -44,7 +45,7 @@ def fallback_text(html: Column) -> Column:
 def strip_html(html: Column, unescape) -> Column:
     """Feed markup as text. ``unescape``: decodes all entities (a pandas UDF), or ``decode_entities``."""
     text = unescape(without_tags(html))
-    text = F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n")
+    text = F.regexp_replace(F.regexp_replace(text, r"[ \t]{2,}|\t", " "), "\n{3,}", "\n\n")
     return strip(text)
 
 

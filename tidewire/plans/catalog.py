@@ -619,9 +619,13 @@ def feed_bodies(spark, sf_dir):
     rows = items(spark, sf_dir)
     safe = lambda c: T.escape_html(F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F]", ""))
     stamp = F.date_format(F.lit(NOW).cast("timestamp") - F.make_dt_interval((F.col("ord") % 15).cast("int")), "dd MMM yyyy HH:mm:ss")
+    form = F.col("ord") % 4
+    media = F.when(form == 1, "<media:title>Photo</media:title><media:description>of it</media:description>").otherwise("")
+    link = F.when(form == 2, F.concat(F.lit("<link/><atom:link rel=\"self\"/><guid>"), F.col("url"), F.lit("</guid>"))).otherwise(F.concat(F.lit("<link>"), F.col("url"), F.lit("</link>")))
+    date = F.when(form == 3, F.concat(F.lit("<dc:date>"), F.date_format(F.to_timestamp(stamp, "dd MMM yyyy HH:mm:ss"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</dc:date>"))).otherwise(F.concat(F.lit("<pubDate>Mon, "), stamp, F.lit(" GMT</pubDate>")))
     xml = F.concat(
-        F.lit('<rss version="2.0"><channel><item><title>'), safe(F.col("title")), F.lit("</title><link>"), F.col("url"), F.lit("</link><description>"), safe(F.col("summary")),
-        F.lit("</description><pubDate>Mon, "), stamp, F.lit(" GMT</pubDate></item></channel></rss>"),
+        F.lit('<rss version="2.0" xmlns:media="m" xmlns:dc="d" xmlns:atom="a"><channel><item><title>'), safe(F.col("title")), F.lit("</title>"), media, link,
+        F.lit("<description>"), safe(F.col("summary")), F.lit("</description>"), date, F.lit("</item></channel></rss>"),
     )
     return rows.select("ord", "source_name", "language", F.lit("rss").alias("type"), F.lit(None).cast("string").alias("api_platform"), xml.alias("xml_text"), F.lit(None).cast("string").alias("error"))
 

@@ -183,13 +183,16 @@ def posts(raw: DataFrame) -> DataFrame:
     return items(rows, F.col("e.title"), F.concat(F.lit(POST_URL), "e.slug"), F.left(text(F.col("e.content")), F.lit(SUMMARY_CHARS)), F.col("e.publishedAt"), source_type="API")
 
 
-RSS = "struct<channel:struct<item:array<struct<title:string,link:string,description:string,pubDate:string,encoded:string>>>>"
-ATOM = (
-    "struct<entry:array<struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:string,published:string,updated:string,"
-    "author:array<struct<name:string>>,category:array<struct<_term:string>>>>>"
+#: An RSS item or an Atom entry. Spark reads tags by their names as they are written, prefix and all: a prefixed tag never stands in for a plain one.
+ENTRY = (
+    "array<struct<title:string,`dc:title`:string,link:array<struct<_VALUE:string,_href:string,_rel:string>>,`atom:link`:array<struct<_href:string,_rel:string>>,"
+    "guid:struct<_VALUE:string,_isPermaLink:string>,description:string,summary:string,content:string,`content:encoded`:string,pubDate:string,published:string,issued:string,"
+    "updated:string,modified:string,`dc:date`:string,`dcterms:issued`:string,`dcterms:modified`:string,author:array<struct<name:string>>,category:array<struct<_term:string>>>>"
 )
-#: RSS 1.0, whose items stand beside the channel.
-RDF = "struct<item:array<struct<title:string,link:string,description:string,date:string,encoded:string>>>"
+#: RSS 0.9x and 2.0 have items in the channel, RSS 1.0 beside it, Atom has entries.
+FEED = f"struct<channel:struct<item:{ENTRY}>,item:{ENTRY},entry:{ENTRY}>"
+DATES = ("pubDate", "published", "issued", "dcterms:issued", "updated", "modified", "dcterms:modified", "dc:date")
+FEED_TAG = r"(?i)<(rss|feed|rdf:RDF|atom:feed)[\s>]"
 #: Feed dates as RFC 822 writes them, without the weekday, which Spark's parser doesn't take: day and time, seconds if any, zone.
 RFC822 = r"^(?:\w{3},\s*)?(\d{1,2} \w{3} \d{4} \d{2}:\d{2})(:\d{2})?\s*(GMT|UTC|UT|Z|[A-Z]{3}|[+-]\d{4})?$"
 # The named zones of RFC 822
@@ -207,23 +210,38 @@ def feed_date(value: Column) -> Column:
     return text(F.date_format(F.coalesce(F.when(day != "", stamp), iso), "yyyy-MM-dd'T'HH:mm:ss"))
 
 
+def linked(*links: Column) -> Column:
+    """The address of the first link to the entry itself, in the text or in href; without one, any first href."""
+    own = lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"
+    href = lambda links, test: F.get(F.filter(F.transform(F.filter(links, test), lambda x: strip(text(x["_href"]))), lambda h: h != ""), 0)
+    written = F.get(F.filter(F.transform(links[0], lambda x: strip(text(x["_VALUE"]))), lambda v: v != ""), 0)
+    return F.coalesce(written, *(href(x, own) for x in links), *(href(x, lambda _: F.lit(True)) for x in links[:1]), F.lit(""))
+
+
 def feed(raw: DataFrame, unescape=decode_entities) -> DataFrame:
-    """RSS items (0.9x, 2.0 and 1.0) and Atom entries. full_body: the content, if there is one and it differs from the summary."""
+    """RSS items (0.9x, 2.0 and 1.0) and Atom entries, in one reading of the body. full_body: the content, if there is one and it differs from the summary.
+
+    An entry without a link has its guid's address, unless that says it is none. Dates are those of publication, else of the last change.
+    """
     clean = lambda c: strip_html(text(c), unescape)
-    plain = F.regexp_replace(F.regexp_replace("xml_text", r"<(/?)(content|media|dc|atom):", "<$1"), r"\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    is_rss = F.col("xml_text").rlike(r"(?i)<rss[\s>]")
-    rss = raw.where(is_rss).select(*KEPT, F.posexplode(F.from_xml(plain, RSS, {"mode": "PERMISSIVE"})["channel"]["item"]).alias("pos", "e"))
-    body = clean(F.col("e.encoded"))
-    summary = clean(F.col("e.description"))
-    rdf = raw.where(F.col("xml_text").rlike(r"(?i)<rdf:RDF[\s>]")).select(*KEPT, F.posexplode(F.from_xml(plain, RDF, {"mode": "PERMISSIVE"})["item"]).alias("pos", "e"))
-    zero = items(rdf, strip(text(F.col("e.title"))), strip(text(F.col("e.link"))), clean(F.col("e.description")), feed_date(F.col("e.date")))
-    first = items(rss, strip(text(F.col("e.title"))), strip(text(F.col("e.link"))), summary, feed_date(F.col("e.pubDate")), body=F.when((body != "") & (body != summary), body))
-    atom = raw.where(F.col("xml_text").rlike(r"(?i)<feed[\s>]")).select(*KEPT, F.posexplode(F.from_xml(plain, ATOM, {"mode": "PERMISSIVE"})["entry"]).alias("pos", "e"))
-    link = F.coalesce(F.get(F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"], F.get("e.link", 0)["_href"])
-    terms = F.filter(F.transform("e.category", lambda c: c["_term"]), lambda t: t.isNotNull() & (t != ""))
-    date = feed_date(nonempty(F.col("e.published"), F.col("e.updated")))
-    second = items(atom, strip(text(F.col("e.title"))), strip(text(link)), clean(nonempty(F.col("e.summary"), F.col("e.content"))), date, names(F.col("e.author")), F.coalesce(terms, strings()))
-    return zero.unionByName(first).unionByName(second)
+    body = F.col("xml_text")
+    # a feed whose tags all have the prefix of Atom is read without prefixes
+    read = F.when(body.rlike(r"(?i)<atom:feed[\s>]"), F.from_xml(body, FEED, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})).otherwise(F.from_xml(body, FEED, {"mode": "PERMISSIVE"}))
+    found = raw.where(body.rlike(FEED_TAG)).withColumn("b", read)
+    rows = found.select(*KEPT, F.posexplode(F.coalesce("b.entry", "b.channel.item", "b.item")).alias("pos", "e"))
+    e = F.col("e")
+    guid = F.when(F.lower(text(e["guid"]["_isPermaLink"])) != "false", strip(text(e["guid"]["_VALUE"])))
+    full, short = clean(nonempty(e["content:encoded"], e["content"])), clean(nonempty(e["description"], e["summary"], e["content:encoded"], e["content"]))
+    dates = F.filter(F.array(*(e[c] for c in DATES)), lambda d: strip(text(d)) != "")
+    date = F.coalesce(F.get(F.filter(F.transform(dates, feed_date), lambda d: d != ""), 0), F.lit(""))
+    terms = F.filter(F.transform(e["category"], lambda c: c["_term"]), lambda t: t.isNotNull() & (t != ""))
+    people = F.filter(names(e["author"]), lambda n: strip(n) != "")
+    url = nonempty(linked(e["link"], e["atom:link"]), guid)
+    # behind a generator each is computed once
+    told = F.struct(strip(nonempty(e["title"], e["dc:title"])).alias("_title"), url.alias("_url"), short.alias("_short"), full.alias("_full"), date.alias("_date"), people.alias("_people"), F.coalesce(terms, strings()).alias("_terms"))
+    rows = rows.select(*KEPT, "pos", F.inline(F.array(told)))
+    t, full = F.col, F.col("_full")
+    return items(rows, t("_title"), t("_url"), t("_short"), t("_date"), t("_people"), t("_terms"), body=F.when((full != "") & (full != t("_short")), full))
 
 
 PLATFORMS["papers"] = feed
@@ -250,7 +268,7 @@ def unreadable(raw: DataFrame) -> Column:
     """Whether a body can't be read: a feed that is no well-formed RSS or Atom, an API's answer that is no JSON. Papers are feeds."""
     kind, platform, body = F.coalesce("type", F.lit("rss")), text(F.col("api_platform")), F.col("xml_text")
     damaged = F.from_xml(body, "_damaged string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damaged"})["_damaged"].isNotNull()
-    feed_like = body.rlike(r"(?i)<(rss|feed|rdf:RDF)[\s>]")
+    feed_like = body.rlike(FEED_TAG)
     is_feed = ~kind.isin("api", "scraper") | ((kind == "api") & (platform == "papers"))
     return F.when(is_feed, ~feed_like | damaged).when(kind == "api", F.try_parse_json(body).isNull()).otherwise(F.lit(False))
 
