@@ -1,5 +1,7 @@
 import json
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -357,3 +359,31 @@ def test_feeds_with_namespaces_guids_and_cdata(spark):
         ("I", "http://8", "only", "", None),
         ("", "", "", "", None),
     ]
+
+
+def test_automaton_finds_what_the_patterns_find(spark):
+    rng = random.Random(2)
+    pieces = ["apt", "APT", "ab", "CVE-", "cve-", "-", ".", " ", "_", "漏洞", "é", "É", "İ", "ı", "ſ", "K", "k", "s", "i", "x", "9", "²", "\n", "ß", "c++", "Σ", "日"]
+    keywords = ("APT", "ab", "CVE-", "漏洞", "k", "s", "is", "-", "c++", "x 9", "été", "É", "i", "ks", "apt ab", "日x", "Ab", "_", "9")
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = df.select("i", *(match.has_keyword(F.col("t"), k).alias(f"k{n}") for n, k in enumerate(keywords))).collect()
+    automaton = match.Automaton(keywords)
+    assert {r.i: {n for n in range(len(keywords)) if r[f"k{n}"]} for r in want} == {i: automaton.found(t) for i, t in enumerate(texts)}
+    assert match.Automaton(("", "a")).found("") == {0} and match.Automaton(()).found("a") == set()
+
+
+def test_time_of_matching_hardly_grows_with_keywords():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(150)]
+    few, many = match.Automaton(["zyxw", *words[:13]]), match.Automaton([*words[:13], *(f"word{i} of rules" for i in range(500)), *(f"{i}号" for i in range(500))])
+
+    def took(automaton):
+        began = time.perf_counter()
+        for t in texts:
+            automaton.found(t)
+        return time.perf_counter() - began
+
+    took(many)
+    assert min(took(many) for _ in range(3)) < 3 * min(took(few) for _ in range(3))

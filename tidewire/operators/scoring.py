@@ -1,16 +1,19 @@
 """Scoring of items by declarative keyword rules.
 
-Rules are small: they are compiled into the expressions of one projection, so scoring reads each item once and
-shuffles nothing. Matches are kept as an array of structs in the order in which they count: tiers strong, medium,
+Rules are data: all their keywords are found by one automaton, built once in each task, which reads an item's texts once
+however many keywords there are; nothing is shuffled. Matches are kept as an array of structs in the order in which they count: tiers strong, medium,
 weak; within a tier by the first segment that has the keyword, then by the rules' order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.functions.match import folded, has_any, has_keyword
+from tidewire.functions.match import Automaton, batches_found, folded, has_any, has_keyword
 from tidewire.functions.rules import BROAD_TYPES, GENERAL, SAMPLE, UNCLASSIFIED, Ambiguity, Rules
 
 SEGMENTS = ("title", "lead", "body", "tail")
@@ -63,54 +66,71 @@ def segments(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
     return computed(items, let(segment_struct(items, rules), named))
 
 
-def unambiguous(text_lower: Column, rule: Ambiguity | None) -> Column:
-    out = F.lit(True)
-    if rule and rule.exclude:
-        out = out & ~has_any(text_lower, rule.exclude)
-    if rule and rule.prefix:
-        out = out & has_any(text_lower, rule.prefix)
-    return out
-
-
-def match_array(segment, all_text: Column, rules: Rules = SAMPLE) -> Column:
-    """Array of (tier, seg, ord, text, mult, scoring, core, categories, content_types). segment: the column of a segment's name."""
-    by_rule = {k.lower(): r for k, r in rules.ambiguity.items()}
-    strings = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-
-    def found(both: Column) -> Column:
-        out, low, fold = [], both["low"], both["fold"]
-        for ord_, kw in enumerate(rules.keywords):
-            rule = by_rule.get(kw.text.lower())
-            where = F.array(*(has_keyword(segment(s), kw.text) for s in SEGMENTS))
-            weights = F.array(*(F.lit(float(rules.multipliers.get(s, 1.0))) for s in SEGMENTS))
-            clear = unambiguous(low, rule)
-
-            def entry(hits: Column, kw=kw, ord_=ord_, rule=rule, weights=weights, clear=clear) -> Column:
-                best = F.array_max(F.zip_with(hits, weights, lambda h, w: F.when(h, w)))
-                return F.when(
-                    F.array_contains(hits, True) & clear,
-                    F.struct(
-                        F.lit(TIERS.index(kw.tier)).alias("tier"), (F.array_position(hits, True) - 1).cast("int").alias("seg"), F.lit(ord_).alias("ord"), F.lit(kw.text).alias("text"),
-                        best.alias("mult"), F.lit(not rule or rule.standalone).alias("scoring"), F.lit(kw.type == "core").alias("core"),
-                        strings(kw.categories).alias("categories"), strings(kw.content_types).alias("content_types"),
-                    ),
-                )
-
-            hit = let(where, entry_of(entry))
-            out.append(F.when(F.contains(fold, F.lit(kw.text.lower())), hit) if kw.text.isascii() else hit)
-        return F.array_sort(F.array_compact(F.array(*out)))
-
-    return let(F.struct(F.lower(all_text).alias("low"), folded(all_text).alias("fold")), found)
+MATCHED = "array<struct<tier:int,seg:int,ord:int,text:string,mult:double,scoring:boolean,core:boolean,categories:array<string>,content_types:array<string>>>"
+ARROW_MATCHED = pa.list_(pa.struct([
+    ("tier", pa.int32()), ("seg", pa.int32()), ("ord", pa.int32()), ("text", pa.string()), ("mult", pa.float64()), ("scoring", pa.bool_()), ("core", pa.bool_()),
+    ("categories", pa.list_(pa.string())), ("content_types", pa.list_(pa.string())),
+]))
+
+
+class Finder:
+    """The keywords of rules in an item's segments."""
+
+    def __init__(self, rules: Rules):
+        by_rule = {k.lower(): r for k, r in rules.ambiguity.items()}
+        self.rules, self.ambiguity = rules, [by_rule.get(k.text.lower()) for k in rules.keywords]
+        self.texts = tuple(k.text for k in rules.keywords)
+        self.weights = [float(rules.multipliers.get(s, 1.0)) for s in SEGMENTS]
+
+    def clear(self, place: int, low: str) -> bool:
+        """Whether the keyword means what it says in a text, given in lower case."""
+        rule = self.ambiguity[place]
+        return not rule or (not any(p.lower() in low for p in rule.exclude) and (not rule.prefix or any(p.lower() in low for p in rule.prefix)))
+
+    def scores(self, place: int) -> bool:
+        return not self.ambiguity[place] or self.ambiguity[place].standalone
+
+    def matched(self, automaton: Automaton, segments: tuple[str | None, ...]) -> list[dict]:
+        first: dict[int, int] = {}
+        best: dict[int, float] = {}
+        for seg, text in enumerate(segments):
+            for place in automaton.found(text or ""):
+                first.setdefault(place, seg)
+                best[place] = max(best.get(place, self.weights[seg]), self.weights[seg])
+        if not first:
+            return []
+        low, keywords = " ".join(s for s in segments if s).lower(), self.rules.keywords
+        kept = sorted((TIERS.index(keywords[p].tier), seg, p) for p, seg in first.items() if self.clear(p, low))
+        return [
+            {"tier": t, "seg": seg, "ord": p, "text": (k := keywords[p]).text, "mult": best[p], "scoring": self.scores(p), "core": k.type == "core", "categories": list(k.categories), "content_types": list(k.content_types)}
+            for t, seg, p in kept
+        ]
+
+    def quick(self, automaton: Automaton, texts: tuple[str | None, ...]) -> list[list[float]]:
+        """Of each text: the weights of its strong, medium and weak keywords, and how many strong ones count."""
+        out = []
+        for name, text in zip(("title", "lead"), texts, strict=True):
+            text = text or ""
+            low, sums = text.lower(), [0.0] * 4
+            for p in sorted(automaton.found(text)):
+                if self.scores(p) and self.clear(p, low):
+                    k = self.rules.keywords[p]
+                    sums[TIERS.index(k.tier)] += float(self.rules.weights[k.tier] * self.rules.multipliers.get(name, 1.0))
+                    sums[3] += k.tier == "strong"
+            out.append(sums)
+        return out
 
 
-def entry_of(entry):
-    """A function of one argument: more would be taken for an index."""
-    return lambda hits: entry(hits)
+def matches(segmented: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
+    """Adds matched to items with segments: an array of (tier, seg, ord, text, mult, scoring, core, categories, content_types)."""
+    finder = Finder(rules)
 
+    @F.arrow_udf(MATCHED)
+    def found(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows in batches_found(finder.texts, columns, finder.matched):
+            yield pa.array(rows, ARROW_MATCHED)
 
-def matches(segmented: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
-    """Adds matched to items with segments."""
-    return computed(segmented, F.struct(match_array(lambda s: F.col(f"seg_{s}"), F.col("all_text"), rules).alias("matched")))
+    return computed(segmented.withColumn("_matched", found(*(f"seg_{s}" for s in SEGMENTS))), F.struct(F.col("_matched").alias("matched"))).drop("_matched")
 
 
 def total(values: Column) -> Column:
@@ -255,24 +275,22 @@ def quick_score(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
 
     Ambiguity is tested within the segment. If the rules ask for it, medium matches need a strong one seen so far.
     """
+    finder = Finder(rules)
+
+    @F.arrow_udf("array<array<double>>")
+    def found(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for rows in batches_found(finder.texts, columns, finder.quick):
+            yield pa.array(rows, pa.list_(pa.list_(pa.float64())))
+
     summary = F.coalesce("summary", F.lit(""))
     parts = {"title": F.coalesce("title", F.lit("")), "lead": F.left(summary, F.lit(rules.lead_chars))}
-    shaped = F.struct(*(f(part).alias(f"_{kind}_{name}") for name, part in parts.items() for kind, f in (("part", lambda x: x), ("low", F.lower), ("fold", folded))))
-    rows = computed(items, shaped)
-    by_rule = {k.lower(): r for k, r in rules.ambiguity.items()}
+    rows = items.withColumn("_sums", found(*parts.values()))
     raw, strong = F.lit(0.0), F.lit(False)
-    for name in parts:
-        seg, low, fold = (F.col(f"_{kind}_{name}") for kind in ("part", "low", "fold"))
-        sums = {t: F.lit(0.0) for t in TIERS}
-        for kw in rules.keywords:
-            rule = by_rule.get(kw.text.lower())
-            hit = has_keyword(seg, kw.text, fold) & unambiguous(low, rule)
-            counts = hit & F.lit(not rule or rule.standalone)
-            if kw.tier == "strong":
-                strong = strong | counts
-            sums[kw.tier] = sums[kw.tier] + F.when(counts, float(rules.weights[kw.tier] * rules.multipliers.get(name, 1.0))).otherwise(0.0)
-        medium = F.when(strong, sums["medium"]).otherwise(0.0) if rules.medium_needs_strong else sums["medium"]
-        raw = raw + sums["strong"] + medium + sums["weak"]
+    for place in range(len(parts)):
+        sums = F.get("_sums", place)
+        strong = strong | (F.get(sums, 3) > 0)
+        medium = F.when(strong, F.get(sums, 1)).otherwise(0.0) if rules.medium_needs_strong else F.get(sums, 1)
+        raw = raw + F.get(sums, 0) + medium + F.get(sums, 2)
     negative = negative_hit(F.concat(parts["title"], F.lit(" "), summary), rules)
     out = computed(rows, F.struct(raw.alias("_raw"), strong.alias("_strong"), negative.alias("_negative")))
     clamped = F.when(F.col("_negative") & ~F.col("_strong"), F.least("_raw", F.lit(29.0))).otherwise(F.col("_raw"))
