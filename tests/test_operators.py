@@ -3,7 +3,7 @@ import random
 import re
 import time
 
-import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,12 +87,22 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_similarity_is_twice_the_subsequence_over_the_lengths():
-    rng = np.random.default_rng(1)
-    for _ in range(200):
-        a, b = ("".join(rng.choice(list("abc "), rng.integers(0, 12))) for _ in range(2))
-        want = 100.0 if not a + b else 200 * lcs(a, b) / len(a + b)
-        assert abs(dedup.lcs_similarity(a, b) - want) < 1e-9
+def similarity(a, b):
+    return 100.0 if not a + b else 200 * lcs(a, b) / len(a + b)
+
+
+@pytest.mark.parametrize("threshold", [60, 75, 90])
+def test_close_pairs_equal_the_plain_subsequence(threshold):
+    rng = random.Random(threshold)
+    keys = ["".join(rng.choice("abcd é日") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 200]))) for _ in range(45)]
+    keys = sorted({*keys, *(k[: len(k) // 2] + "x" + k[len(k) // 2 :] for k in keys[:20])})
+    titles = pd.DataFrame({"key": keys, "first": range(len(keys))})
+    want = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if similarity(keys[i], keys[j]) >= threshold}
+    assert want and set(dedup.close_pairs(titles, titles, threshold, True)) == want
+    half = titles["first"] % 2 == 0
+    across = {(i, j) for i, j in want if (i + j) % 2}
+    got = dedup.close_pairs(titles[half], titles[~half], threshold, False)
+    assert len(got) == len(set(got)) and set(got) == across
 
 
 def test_clusters_are_greedy_and_not_components(spark):
@@ -101,7 +111,7 @@ def test_clusters_are_greedy_and_not_components(spark):
     norm = [" ".join(sorted(re.sub("^news: ", "", t.lower()).split())) for t in titles]
     reps, want = [], {}
     for i, t in enumerate(norm):
-        want[i] = next((r for r in reps if dedup.lcs_similarity(norm[r], t) >= 75), i)
+        want[i] = next((r for r in reps if similarity(norm[r], t) >= 75), i)
         if want[i] == i:
             reps.append(i)
     clusters = dedup.cluster_titles(df)
@@ -387,3 +397,18 @@ def test_time_of_matching_hardly_grows_with_keywords():
 
     took(many)
     assert min(took(many) for _ in range(3)) < 3 * min(took(few) for _ in range(3))
+
+
+def test_running_health_of_a_hot_source_is_a_scan_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 9 + ["a", "b", None]), rng.randrange(300), seq, rng.random() < rng.choice([0.1, 0.97])) for seq in range(3000)]
+    df = spark.createDataFrame(rows, "name string, ts long, seq long, failed boolean").withColumn("ts", F.timestamp_seconds("ts"))
+    want, state = {}, {}
+    for name, ts, seq, failed in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        fails, n, errors, ok, bad = state.get(name, (0, 0, 0, None, None))
+        state[name] = (fails + 1 if failed else 0, n + 1, errors + failed, ok if failed else ts, ts if failed else bad)
+        want[seq] = state[name]
+    seconds = lambda c: F.unix_timestamp(c).alias(c)
+    got = health.running_health(df.repartition(6)).select("seq", "consecutive_failures", "total_fetches", "total_errors", seconds("last_success"), seconds("last_error")).collect()
+    assert {r.seq: tuple(r)[1:] for r in got} == want
+    assert health.running_health(df.limit(0)).count() == 0

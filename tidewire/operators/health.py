@@ -1,7 +1,7 @@
 """Health of sources: run lengths of failures, counters, automatic disabling and alerts.
 
 All state is a fold over a source's fetches in order. As failures since the last success, counts and last times
-are what matters, most of it is an aggregation; only the running form needs a window.
+are what matters, most of it is an aggregation; only the running form needs order, and gets it from a distributed prefix scan.
 """
 
 from __future__ import annotations
@@ -11,26 +11,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.rules import OTHER_GROUP, REASONS, SEVERITY, SEVERITY_ORDER
+from tidewire.scratch import Scratch, sized
 
 DISABLE_AT = 5
 
 
 def running_health(fetches: DataFrame) -> DataFrame:
-    """After each fetch: consecutive failures, totals, last success and error. fetches: name, ts, seq, failed."""
-    order = W.partitionBy("name").orderBy("ts", "seq")
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    island = F.sum(F.when(~F.col("failed"), 1).otherwise(0)).over(so_far)
-    out = fetches.withColumn("_island", island)
-    run = W.partitionBy("name", "_island").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    return out.withColumns(
-        {
-            "consecutive_failures": F.sum(F.when(F.col("failed"), 1).otherwise(0)).over(run),
-            "total_fetches": F.count("*").over(so_far),
-            "total_errors": F.sum(F.when(F.col("failed"), 1).otherwise(0)).over(so_far),
-            "last_success": F.last(F.when(~F.col("failed"), F.col("ts")), ignorenulls=True).over(so_far),
-            "last_error": F.last(F.when(F.col("failed"), F.col("ts")), ignorenulls=True).over(so_far),
-        }
-    ).drop("_island")
+    """After each fetch: consecutive failures, totals, last success and error. fetches: name, ts, seq, failed.
+
+    A prefix scan: the log is cut into ranges of (name, ts, seq), so a source with most of the rows has many of them; each range is scanned by
+    itself, its last row is the range's fold, the folds (a row for each range and source) are scanned, and what came before a range is added to its rows.
+    """
+    scratch = Scratch(fetches.sparkSession, "health")
+    failed, succeeded = F.when(F.col("failed"), 1).otherwise(0), F.when(~F.col("failed"), 1).otherwise(0)
+    cut, first = scratch.save(fetches.repartitionByRange("name", "ts", "seq").withColumn("_range", F.spark_partition_id()))
+    order = W.partitionBy("_range", "name").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    run = W.partitionBy("_range", "name", "_island").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    here = cut.withColumn("_island", F.sum(succeeded).over(order)).select(
+        *fetches.columns, "_range",
+        F.struct(
+            F.count("*").over(order).alias("n"), F.sum(failed).over(order).alias("errors"), F.sum(failed).over(run).alias("fails"),
+            F.last(F.when(~F.col("failed"), F.col("ts")), ignorenulls=True).over(order).alias("ok"), F.last(F.when(F.col("failed"), F.col("ts")), ignorenulls=True).over(order).alias("bad"),
+        ).alias("_here"),
+    )
+    here, _ = scratch.save(here)
+    scratch.drop(first)
+    folds = here.groupBy(F.col("name").alias("_name"), F.col("_range").alias("_of")).agg(F.max_by("_here", F.col("_here.n")).alias("f"))
+    ranges = W.partitionBy("_name").orderBy("_of")
+    before = ranges.rowsBetween(W.unboundedPreceding, -1)
+    folds = folds.withColumn("_island", F.sum(F.when(F.col("f.ok").isNotNull(), 1).otherwise(0)).over(ranges))
+    folds = folds.withColumn("_fails", F.sum("f.fails").over(W.partitionBy("_name", "_island").orderBy("_of")))
+    carried = folds.select(
+        "_name", "_of",
+        F.struct(
+            F.coalesce(F.sum("f.n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("f.errors").over(before), F.lit(0)).alias("errors"), F.coalesce(F.lag("_fails").over(ranges), F.lit(0)).alias("fails"),
+            F.last("f.ok", ignorenulls=True).over(before).alias("ok"), F.last("f.bad", ignorenulls=True).over(before).alias("bad"),
+        ).alias("_before"),
+    )
+    carried, _ = scratch.save(carried)
+    rows = here.join(sized(carried), here["name"].eqNullSafe(carried["_name"]) & (here["_range"] == carried["_of"]))
+    both = lambda c: F.col(f"_here.{c}") + F.col(f"_before.{c}")
+    return rows.select(
+        *fetches.columns,
+        (F.col("_here.fails") + F.when(F.col("_here.ok").isNull(), F.col("_before.fails")).otherwise(0)).alias("consecutive_failures"),
+        both("n").alias("total_fetches"), both("errors").alias("total_errors"),
+        F.coalesce("_here.ok", "_before.ok").alias("last_success"), F.coalesce("_here.bad", "_before.bad").alias("last_error"),
+    )
 
 
 def source_health(fetches: DataFrame) -> DataFrame:
