@@ -298,21 +298,6 @@ def test_a_run_from_bodies_to_the_report(spark):
     assert failed == {"duplicates": "RuntimeError: no", "fulltext": "RuntimeError: no"} and sorted(r.url for r in rows.collect()) == ["http://1", "http://1", "http://2", "http://4"]
 
 
-def test_health_stream_equals_batch(spark, tmp_path):
-    rows = [("a", f"2024-01-0{d} 00:00:00", d, f) for d, f in ((1, True), (2, False), (3, True), (4, True))] + [("b", "2024-01-01 00:00:00", 9, True)]
-    df = spark.createDataFrame(rows, "name string, ts string, seq long, failed boolean").withColumn("ts", F.col("ts").cast("timestamp"))
-    for k, part in enumerate((df.where("seq < 3"), df.where("seq >= 3"))):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = feeds.health_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.outputMode("update").format("memory").queryName("health_states").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = {r.name: r for r in spark.table("health_states").orderBy("total_fetches").collect()}
-    want = {r.name: r for r in health.source_health(df).collect()}
-    for name in ("a", "b"):
-        for c in ("consecutive_failures", "total_fetches", "total_errors", "last_success", "recovered"):
-            assert last[name][c] == want[name][c], (name, c)
-
-
 def test_report_prefers_long_translations_and_details_are_the_last(spark):
     df = spark.createDataFrame([(0, "t", "abcdef", "zz", "Beta", "u", "src1"), (1, "t", "abcdef", "z" * 4, "Beta", "u", "src1")], "ord long, title string, summary string, summary_zh string, category string, url string, source_name string")
     rows = report.report_items(df)
