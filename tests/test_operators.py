@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,30 @@ def test_text_rank_prefers_the_hub():
     assert rank.argmax() == 1 and abs(rank.sum() - 1) < 0.05
 
 
+def dense_rank(sets):
+    n = len(sets)
+    weight = np.array([[len(a & b) / len(a | b) if i != j and a & b else 0.0 for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    sums = weight.sum(axis=0)
+    step = np.divide(weight, sums, out=np.full((n, n), 1 / n), where=sums > 0)
+    rank = np.full(n, 1 / n)
+    for _ in range(200):
+        new = 0.15 / n + 0.85 * (step @ rank)
+        moved, rank = np.abs(new - rank).sum(), new
+        if moved < 1e-4:
+            return rank
+    return rank
+
+
+@pytest.mark.parametrize(("cells", "kept"), [(2_000_000, 4_000_000), (60, 4_000_000), (60, 10)])
+def test_text_rank_on_pairs_equals_the_dense_form(monkeypatch, cells, kept):
+    monkeypatch.setattr(summary, "CELLS", cells)
+    monkeypatch.setattr(summary, "KEPT", kept)
+    rng = random.Random(cells + kept)
+    for _ in range(60):
+        sets = [set(rng.choices("abcdefghijklmnop", k=rng.randint(0, 6))) for _ in range(rng.randint(1, 30))]
+        assert np.allclose(summary.text_rank(sets), dense_rank(sets), atol=1e-12, rtol=0)
+
+
 def test_summary_forms(spark):
     df = spark.createDataFrame([(0, "short"), (1, "word " * 30), (2, "This is a first long sentence. " * 3 + "Another longer sentence stands here. " * 3 + "x" * 600 + "."), (3, None)], "ord long, text string")
     got = {r.ord: r.extract for r in summary.summarize(df).collect()}

@@ -91,7 +91,7 @@ def ellipsis(text: Column, most: int = 500) -> Column:
 
 
 def tokens(text: Column, stop_words: list[str]) -> Column:
-    """Lower-case words of more than one character that aren't stop words; runs of Chinese characters give their bigrams.
+    """The distinct lower-case words of more than one character that aren't stop words; runs of Chinese characters give their bigrams.
 
     No Chinese word segmenter is at hand: bigrams stand in for its words.
     """
@@ -99,8 +99,7 @@ def tokens(text: Column, stop_words: list[str]) -> Column:
     latin = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+)"), F.lit(1))
     runs = F.regexp_extract_all(low, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
-    stop = F.array(*map(F.lit, stop_words))
-    return F.filter(F.concat(latin, pairs), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.array_except(F.filter(F.concat(latin, pairs), lambda w: F.length(w) > 1), F.array(*map(F.lit, stop_words)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

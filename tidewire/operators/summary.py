@@ -10,17 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.rules import STOP_WORDS
-from tidewire.functions.text import ellipsis, is_cjk, jaccard, strip, tokens, useful_sentences
+from tidewire.functions.text import ellipsis, is_cjk, strip, tokens, useful_sentences
+from tidewire.operators.scoring import computed, let
 
 TOP = 5
 MOST = 500
 TRANSLATED = 1500
+#: Numbers of a block of a text's sentence graph, and weights that are kept: some 100 MB.
+CELLS, KEPT = 2_000_000, 4_000_000
 
 
 def sentence_table(docs: DataFrame, text: str = "text") -> DataFrame:
     """ord, pos, sentence, tokens: a row for each useful sentence."""
     rows = docs.select("ord", F.posexplode(useful_sentences(F.coalesce(text, F.lit("")))).alias("pos", "sentence"))
-    return rows.withColumn("tokens", F.array_distinct(tokens(F.col("sentence"), STOP_WORDS)))
+    return rows.withColumn("tokens", tokens(F.col("sentence"), STOP_WORDS))
 
 
 def sentence_similarity(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -36,26 +39,72 @@ def sentence_similarity(docs: DataFrame, text: str = "text") -> DataFrame:
     return both.select("ord", "i", "j", (F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("weight"))
 
 
+class Graph:
+    """The Jaccard weights of a text's sentences: only pairs that share a token have one.
+
+    Rows are made a block at a time, of ``CELLS`` numbers at most. Up to ``KEPT`` weights are kept between the rounds; a text with more makes
+    its rows anew in each, so memory is bounded whatever the text.
+    """
+
+    def __init__(self, sets: list[set]):
+        self.n = len(sets)
+        ids: dict[str, int] = {}
+        words = np.array([ids.setdefault(w, len(ids)) for s in sets for w in s], np.int64)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(self.n), self.size)
+        order = np.argsort(words, kind="stable")
+        # by sentence its words, and by word its sentences
+        self.words, self.of_sentence = words, np.concatenate([[0], np.cumsum(self.size)])
+        self.owner, self.of_word = owner[order], np.concatenate([[0], np.cumsum(np.bincount(words, minlength=len(ids)))])
+        self.step = max(1, CELLS // max(1, self.n))
+        self.kept, pairs = [], 0
+        for block in self.blocks():
+            pairs += len(block[2])
+            if pairs > KEPT:
+                self.kept = None
+                break
+            self.kept.append(block)
+        self.sums = np.zeros(self.n)
+        for start, rows, columns, weights in self.rows():
+            self.sums += np.bincount(columns, weights, self.n)
+
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        return iter(self.kept) if self.kept is not None else self.blocks()
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First row, and rows (from it), columns and weights of a block."""
+        for start in range(0, self.n, self.step):
+            end = min(start + self.step, self.n)
+            common = np.zeros((end - start) * self.n, np.int64)
+            row = np.repeat(np.arange(end - start), self.size[start:end])
+            words = self.words[self.of_sentence[start] : self.of_sentence[end]]
+            counts = self.of_word[words + 1] - self.of_word[words]
+            for part in np.array_split(np.arange(len(words)), -(-int(counts.sum()) // CELLS) or 1):
+                many = counts[part]
+                places = np.repeat(self.of_word[words[part]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                common += np.bincount(np.repeat(row[part], many) * self.n + self.owner[places], minlength=len(common))
+            at = np.flatnonzero(common)
+            i, j = np.divmod(at, self.n)
+            other = i + start != j
+            i, j, c = i[other], j[other], common[at[other]]
+            yield start, i, j, c / (self.size[i + start] + self.size[j] - c)
+
+    def spread(self, rank: np.ndarray) -> np.ndarray:
+        """What each sentence gets: of its neighbours' ranks by weight, and of those without any neighbour an even share."""
+        share = np.divide(rank, self.sums, out=np.zeros(self.n), where=self.sums > 0)
+        out = np.full(self.n, rank[self.sums <= 0].sum() / self.n)
+        for start, i, j, weights in self.rows():
+            some = np.bincount(i, weights * share[j])
+            out[start : start + len(some)] += some
+        return out
+
+
 def text_rank(sets: list[set], damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-4) -> np.ndarray:
     """Ranks of sentences by Jaccard weights. Weights come from shared tokens; a sentence without any spreads evenly."""
-    n = len(sets)
-    shared: dict[str, list[int]] = {}
-    for i, s in enumerate(sets):
-        for w in s:
-            shared.setdefault(w, []).append(i)
-    common = np.zeros((n, n))
-    for members in shared.values():
-        if len(members) > 1:
-            common[np.ix_(members, members)] += 1
-    size = np.array([len(s) for s in sets], float)
-    union = size[:, None] + size[None, :] - common
-    weight = np.divide(common, union, out=np.zeros((n, n)), where=union > 0)
-    np.fill_diagonal(weight, 0)
-    sums = weight.sum(axis=0)
-    step = np.divide(weight, sums, out=np.full((n, n), 1 / n), where=sums > 0)
-    rank = np.full(n, 1 / n)
+    graph, n = Graph(sets), len(sets)
+    rank = np.full(n, 1 / max(n, 1))
     for _ in range(rounds):
-        new = (1 - damping) / n + damping * (step @ rank)
+        new = (1 - damping) / n + damping * graph.spread(rank)
         moved = np.abs(new - rank).sum()
         rank = new
         if moved < tolerance:
@@ -73,8 +122,9 @@ def best_sentences(sentences: list[str], sets: list[set], top: int = TOP) -> str
 def summarize(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds extract: '' under 100 characters, the text's start with up to three useful sentences, else TextRank's best."""
     body = strip(F.coalesce(text, F.lit("")))
-    rows = docs.withColumns({"_body": body, "_sentences": F.when(F.length(body) >= 100, useful_sentences(body)).otherwise(F.array().cast("array<string>"))})
-    rows = rows.withColumn("_tokens", F.transform("_sentences", lambda s: F.array_distinct(tokens(s, STOP_WORDS))))
+    cut = let(body, lambda b: F.struct(b.alias("_body"), F.when(F.length(b) >= 100, useful_sentences(b)).otherwise(F.array().cast("array<string>")).alias("_sentences")))
+    rows = computed(docs, cut)  # once, though what follows reads them several times
+    rows = rows.withColumn("_tokens", F.transform("_sentences", lambda s: tokens(s, STOP_WORDS)))
 
     @F.pandas_udf("string")
     def ranked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -136,5 +186,3 @@ def translate_items(items: DataFrame, translate=identity) -> DataFrame:
         "ai_summary_zh": F.when((best == "") | is_cjk(best), best).otherwise(translated(best, translate)),
     })
 
-
-__all__ = ["translate_items", "translated", "jaccard", "sentence_similarity", "sentence_table", "summarize", "choose_summary", "text_rank"]
