@@ -5,7 +5,7 @@ lines that both hold: equal heads and tails, then lines unique on both sides in
 between them; a gap without such lines is aligned by a longest common subsequence. Lines aligned with any earlier document are put together, and those that form blocks of
 consecutive lines with at least ``MIN_WORDS`` words are deleted from it, the later document.
 
-With ``whole`` the result is that of the alignment with every earlier document; pairs that can't add to it are left out:
+With ``whole`` (the default) the result is that of the alignment with every earlier document; pairs that can't add to it are left out:
 lines of one document play no part; of documents with equal sequences of shared lines only the first is aligned
 with later ones, and its later copies lose all these lines; a document meets the first holders of its lines, and then
 only documents that hold a line of it that is still open, those that hold it most often first, in growing
@@ -288,7 +288,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return aligned(grouped, min_words).where("size(deleted) > 0")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """``row`` (a struct of the document's columns, its text shortened), n_lines, deleted and partners."""
     scratch = Scratch(docs.sparkSession, "deleted")
     found, _ = scratch.save((repeated_passages if whole else repeated_lines)(docs, id_col, text_col, min_words))
