@@ -77,3 +77,17 @@ def test_body_of_an_entry_and_mobile_readers(spark):
     assert [r[0] for r in df.select(T.feed_body(F.col("c"), F.col("s"), F.col("d"))).collect()] == ["full", "s", "d & e", "", ""]
     agents = spark.createDataFrame([("Mozilla (iPhone; x)",), ("Opera Mini/7",), ("Mozilla (X11; Linux)",), ("",), (None,)], "a string")
     assert [r[0] for r in agents.select(T.is_mobile(F.col("a"))).collect()] == [True, True, False, False, None]
+
+
+def test_settings_decide_similarity_and_age(spark):
+    day = lambda d: f"2024-06-{d:02d}T00:00:00"
+    rows = [(0, "alpha beta gamma", "u0", day(14), False), (1, "alpha beta gammas!!", "u1", day(14), False), (2, "other words", "u2", day(9), False)]
+    items = spark.createDataFrame([(*r, "s") for r in rows], "ord long, title string, url string, published_date string, parse_error boolean, source_name string")
+    pages, now = spark.createDataFrame([], "url string, html string"), F.lit("2024-06-15").cast("timestamp")
+
+    def kept(**given):
+        following = dict(weekly.steps(pages, now, settings=settings.settings_from({"dedup": given})))
+        return sorted(r.ord for r in following["duplicates"](following["expiry"](items)).collect())
+
+    assert kept() == [0, 2]
+    assert kept(max_days=3) == [0] and kept(similarity_threshold=99) == [0, 1, 2]

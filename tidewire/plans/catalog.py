@@ -372,11 +372,16 @@ def last_status(spark, sf_dir):
 
 
 @query(
-    f"""WITH {FETCHES_SQL}, ls AS (SELECT failed FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) = 1)
-SELECT count(*) FILTER (NOT failed) AS n_success, count(*) FILTER (failed) AS n_error, CAST(0 AS BIGINT) AS n_disabled FROM ls"""
+    f"""{HEALTH_SQL}, {SOURCES_SQL}, off AS (SELECT name FROM hl JOIN src USING (name) WHERE enabled AND consecutive_failures >= 1),
+ls AS (SELECT name, failed FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) = 1)
+SELECT count(*) FILTER (NOT failed AND name NOT IN (FROM off)) AS n_success, count(*) FILTER (failed AND name NOT IN (FROM off)) AS n_error, (SELECT count(*) FROM off) AS n_disabled FROM ls"""
 )
 def fetch_counts(spark, sf_dir):
-    return dashboard.fetch_counts(health.last_status(statuses(spark, sf_dir)))
+    """The next run's statuses come after the log: sources that failed at its end are passed over as disabled."""
+    _, skipped = health.split_sources(sources(spark, sf_dir), health.source_health(fetches(spark, sf_dir)), 1)
+    later = F.struct(F.lit("2999-01-01").cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("seq"))
+    off = skipped.select("name", F.lit("auto_disabled").alias("status"), F.lit(None).cast("string").alias("error"), later.alias("ord"))
+    return dashboard.fetch_counts(health.last_status(statuses(spark, sf_dir).unionByName(off)))
 
 
 @query(
@@ -763,19 +768,17 @@ def detail_lookup(spark, sf_dir):
     return report.with_details(report.list_rows(rows), report.details(rows)).select("ord", "url", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))
 
 
-KNOWN = [(k.text, list(k.categories), i) for i, k in enumerate(SAMPLE.keywords)]
-SAVED = [("license", 0), (" Moron ", 1), ("   ", 2), ("THIS", 3), ("zeta", 4)]
-
-
 @query(
-    f"""WITH k(t, c, o) AS (VALUES {', '.join(f"({quoted(t)}, {listed(c)}, {i})" for t, c, i in KNOWN)}),
-n(t, o) AS (VALUES {', '.join(f"({quoted(t)}, {i})" for t, i in SAVED)})
-SELECT trim(n.t) AS text, coalesce(array_to_string(c, ','), '') AS categories FROM n LEFT JOIN k ON lower(k.t) = lower(trim(n.t)) WHERE trim(n.t) <> ''"""
+    """WITH k AS (SELECT lower(source) AS k, arg_max(lang, doc_id) AS categories FROM documents GROUP BY 1),
+n AS (SELECT DISTINCT ' ' || upper(source) AS t FROM documents UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT '   ' FROM documents)
+SELECT trim(t) AS text, coalesce(categories, '') AS categories FROM n LEFT JOIN k ON k.k = lower(trim(t)) WHERE trim(t) <> ''"""
 )
 def keyword_upsert(spark, sf_dir):
-    known = spark.createDataFrame(KNOWN, "text string, categories array<string>, ord int")
-    saved = spark.createDataFrame(SAVED, "text string, ord int")
-    return report.upsert_keywords(known, saved).select("text", F.array_join("categories", ",").alias("categories"))
+    """Known: a keyword for each document, its source in either case, the last of which counts. Saved: sources as keywords, unknown ones, and blanks."""
+    docs = table(spark, sf_dir, "documents")
+    known = docs.select(F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")).alias("text"), F.array("lang").alias("categories"), F.col("doc_id").alias("ord"))
+    words = docs.select(F.concat(F.lit(" "), F.upper("source")).alias("text")).unionByName(docs.select(F.lit("   ").alias("text"))).unionByName(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("text")))
+    return report.upsert_keywords(known, words.distinct().withColumn("ord", F.lit(0))).select("text", F.array_join("categories", ",").alias("categories"))
 
 
 @query("SELECT date_trunc('week', ts) AS week_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -11,6 +11,7 @@ from tidewire.functions.rules import SAMPLE, Rules
 from tidewire.operators import dedup, extract, report, scoring, summary
 from tidewire.scratch import Scratch
 from tidewire.sources import parse
+from tidewire.sources.settings import Settings
 
 Step = tuple[str, Callable[[DataFrame], DataFrame]]
 
@@ -20,12 +21,12 @@ def numbered(items: DataFrame) -> DataFrame:
     return items.withColumn("ord", F.col("ord") * (1 << 32) + F.col("pos")).drop("pos")
 
 
-def merged(items: DataFrame) -> DataFrame:
+def merged(items: DataFrame, similarity: float = Settings.similarity) -> DataFrame:
     firsts = dedup.drop_url_duplicates(items)
-    return dedup.merge_clusters(firsts, dedup.cluster_titles(firsts))
+    return dedup.merge_clusters(firsts, dedup.cluster_titles(firsts, similarity))
 
 
-def steps(pages: DataFrame, now: Column, rules: Rules = SAMPLE, translate=summary.identity) -> list[Step]:
+def steps(pages: DataFrame, now: Column, rules: Rules = SAMPLE, translate=summary.identity, settings: Settings = Settings()) -> list[Step]:
     """What follows parsing. pages: url, html. Rows of unreadable bodies go with the first step, after they were written."""
     def stage1(items: DataFrame) -> DataFrame:
         return scoring.quick_score(items, rules).where("not stage1_drop").drop("stage1_score", "stage1_drop")
@@ -35,7 +36,7 @@ def steps(pages: DataFrame, now: Column, rules: Rules = SAMPLE, translate=summar
         return rows.select(*items.columns, "confidence_score", "filter_decision", "category", "content_type", "scoring_matched")
 
     return [
-        ("expiry", lambda items: dedup.filter_by_date(items.where("not parse_error"), now)), ("duplicates", merged), ("prefilter", stage1),
+        ("expiry", lambda items: dedup.filter_by_date(items.where("not parse_error"), now, settings.max_days)), ("duplicates", lambda items: merged(items, settings.similarity)), ("prefilter", stage1),
         ("fulltext", lambda items: extract.add_fulltext(items, pages)), ("score", stage2), ("summaries", lambda items: summary.choose_summary(items, translate)),
         ("translation", lambda items: summary.translate_items(items, translate)),
     ]
