@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from .rules import BOILERPLATE_CLASSES, BOILERPLATE_IDS, BOILERPLATE_TAGS
+from .rules import BOILERPLATE
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY = {"p": frozenset("p div ul ol table section article h1 h2 h3 h4 h5 h6 blockquote pre footer header nav aside main".split()), "li": frozenset(["li"]), "option": frozenset(["option"])}
@@ -163,12 +163,13 @@ def select_one(top: Node, selector: str) -> Node | None:
 
 def prune(top: Node) -> None:
     """Takes boilerplate elements out of the tree."""
-    classes, ids = frozenset(BOILERPLATE_CLASSES), frozenset(BOILERPLATE_IDS)
+    tags = {s for s in BOILERPLATE if s[0] not in ".#"}
+    classes, ids = ({s[1:] for s in BOILERPLATE if s[0] == kind} for kind in ".#")
     todo = [top]
     while todo:
         n = todo.pop()
         n.children = [
-            c for c in n.children if isinstance(c, str) or not (c.name in BOILERPLATE_TAGS or classes.intersection(c.classes()) or c.attrs.get("id") in ids)
+            c for c in n.children if isinstance(c, str) or not (c.name in tags or classes.intersection(c.classes()) or c.attrs.get("id") in ids)
         ]
         todo += [c for c in n.children if isinstance(c, Node)]
 

@@ -60,29 +60,32 @@ EMPTY_SENTENCES = (
     r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}",
 )
 
+# fmt: off
 # Stop words
 STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 他 她 它 们 那 里 为 与 及 等 或 但 而 "
-    "从 被 把 对 以 之 所 其 中 将 并 个 两 多 少 只 已 还 又 再 能 可 该 此 每 某 各 几 哪 何 让 使 用 做 成 如 比 向 同 跟 "
-    "a an the is are was were be been being have has had do does did will would can could may might shall should "
-    "to of in for on with at by from as into through during before after about this that these those it its they them "
-    "their we our you your he she his her"
-).split()
-
-# Elements that aren't an article's text
-BOILERPLATE_TAGS = ("nav", "footer", "header", "aside", "script", "style", "noscript")
-BOILERPLATE_CLASSES = (
-    "nav navbar navigation menu topbar header-bar top-nav footer foot bottom-bar footer-content site-footer "
-    "sidebar side-bar aside sidepanel right-rail left-rail ad ads advertisement advert banner banner-ad sponsored "
-    "social-share share-buttons social-media social-links comments comment comment-section comment-list comment-form "
-    "related-posts related-articles recommendations suggestions popular-posts trending most-read must-read you-may-like "
-    "newsletter subscribe signup mailing-list email-signup cookie cookie-banner cookie-consent gdpr notice-consent "
-    "popup modal overlay lightbox dialog breadcrumb breadcrumbs pagination page-nav page-navigation "
-    "skip-link visually-hidden sr-only screen-reader hidden copyright legal disclaimer terms privacy "
-    "search-box search-form search-bar widget widget-area widget-title author-bio author-info byline "
-    "tag-cloud post-tags category-list post-navigation prev-post next-post"
-).split()
-BOILERPLATE_IDS = ("comments", "sidebar", "nav", "navigation", "footer")
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+    "他", "她", "它", "们", "那", "里", "为", "与", "及", "等", "或", "但", "而", "从", "被", "把", "对", "以", "之", "所", "其", "中", "将", "并", "个", "两", "多", "少", "只",
+    "已", "还", "又", "再", "能", "可", "该", "此", "每", "某", "各", "几", "哪", "何", "让", "使", "用", "做", "成", "如", "比", "向", "同", "跟", "a", "an", "the", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "can", "could", "may", "might", "shall",
+    "should", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "about", "this",
+    "that", "these", "those", "it", "its", "they", "them", "their", "we", "our", "you", "your", "he", "she", "his", "her",
+)
+
+# Selectors of elements that aren't an article's text
+BOILERPLATE = (
+    "nav", "footer", "header", "aside", ".nav", ".navbar", ".navigation", ".menu", ".topbar", ".header-bar", ".top-nav", ".footer", ".foot",
+    ".bottom-bar", ".footer-content", ".site-footer", ".sidebar", ".side-bar", ".aside", ".sidepanel", ".right-rail", ".left-rail", ".ad", ".ads",
+    ".advertisement", ".advert", ".banner", ".banner-ad", ".sponsored", ".social-share", ".share-buttons", ".social-media", ".social-links",
+    ".comments", ".comment", "#comments", ".comment-section", ".comment-list", ".comment-form", ".related-posts", ".related-articles",
+    ".recommendations", ".suggestions", ".popular-posts", ".trending", ".most-read", ".must-read", ".you-may-like", ".newsletter", ".subscribe",
+    ".signup", ".mailing-list", ".email-signup", ".cookie", ".cookie-banner", ".cookie-consent", ".gdpr", ".notice-consent", ".popup", ".modal",
+    ".overlay", ".lightbox", ".dialog", ".breadcrumb", ".breadcrumbs", ".pagination", ".page-nav", ".page-navigation", ".skip-link",
+    ".visually-hidden", ".sr-only", ".screen-reader", ".hidden", ".copyright", ".legal", ".disclaimer", ".terms", ".privacy", ".search-box",
+    ".search-form", ".search-bar", ".widget", ".widget-area", ".widget-title", ".author-bio", ".author-info", ".byline", ".tag-cloud", ".post-tags",
+    ".category-list", ".post-navigation", ".prev-post", ".next-post", "#sidebar", "#nav", "#navigation", "#footer", "#comments", "script", "style",
+    "noscript",
+)
+# fmt: on
 
 
 @dataclass(frozen=True)

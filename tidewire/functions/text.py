@@ -90,7 +90,7 @@ def ellipsis(text: Column, most: int = 500) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
 
 
-def tokens(text: Column, stop_words: list[str]) -> Column:
+def tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
     """The distinct lower-case words of more than one character that aren't stop words; runs of Chinese characters give their bigrams.
 
     No Chinese word segmenter is at hand: bigrams stand in for its words.
