@@ -272,3 +272,12 @@ def test_secrets_equal_brute_force(spark):
 def test_parts_of_a_scope_meet_at_any_distance():
     far = "user_name: alice\n" + "some words\n" * 100 + "Abc9Xyz0Abc9Xyz0Abc9Xyz0"
     assert [s[0] for s in secrets.find_spans(far)] == ["ident", "token"] and secrets.find_spans(far, 400) == []
+
+
+def test_lines_aligned_with_every_earlier_document_take_odd_and_empty_tables(spark):
+    for rows in (docs(spark, ODD), docs(spark, ODD, [None, 1, 1, 2, 2, 3, 4, 4, 5, 6]), docs(spark, [])):
+        got = line_dedup.dedup_lines(rows, whole=True)
+        assert got.count() == rows.count() and got.select("row.*").columns == rows.columns
+    first, later = "one line of five words\nalone here", "one line of five words\nother"
+    kept = {r.row.doc_id: r.row.text for r in line_dedup.dedup_lines(docs(spark, [first, later, None, ""]), whole=True).collect()}
+    assert kept == {0: first, 1: "other", 2: None, 3: ""}
