@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.rules import CATEGORY_ORDER, UNCLASSIFIED
 from tidewire.functions.text import hue
+from tidewire.scratch import Scratch
 
 DETAIL_COLUMNS = ("full_body", "summary", "ai_summary", "scoring_matched")
 
@@ -121,3 +122,14 @@ def preview(report: DataFrame, n: int = 10) -> DataFrame:
 def append_history(stats: DataFrame, path: str) -> None:
     """A day's statistics; a second run of a day replaces the first."""
     stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def numbered_by(rows: DataFrame, key: str) -> DataFrame:
+    """Adds place: the rows' numbers from 1 by ``key`` over the whole table. Ranges of the key are sorted and numbered by
+    themselves, and each begins where those before it end (a number for each range), so no task sees all rows. Equal keys: in any order."""
+    scratch = Scratch(rows.sparkSession, "places")
+    cut, _ = scratch.save(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    here = cut.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy(key)))
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_start"))  # a row for each range
+    return here.join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_at") + F.col("_start")).alias("place"))

@@ -172,17 +172,27 @@ def translated(text: Column, translate=identity, most: int = TRANSLATED) -> Colu
     return F.when(strip(text) == "", text).otherwise(F.when(made.isNotNull() & (made != cut), made).otherwise(text))
 
 
-def translate_items(items: DataFrame, translate=identity) -> DataFrame:
-    """title_zh and summary_zh of English items (null for others), and ai_summary_zh of every item that isn't Chinese by its own text.
+def translatable(items: DataFrame) -> dict[str, tuple[Column, Column, Column]]:
+    """By the column to be added: the text, whether it is to be translated, and what stands there if it isn't.
 
     The summary is the original one where a page's text has taken its place, and at most 500 characters of it.
     """
     col = lambda c: F.coalesce(F.col(c), F.lit("")) if c in items.columns else F.lit("")
-    english = F.coalesce("language", F.lit("")) == "en"
+    english, none = F.coalesce("language", F.lit("")) == "en", F.lit(None).cast("string")
     told = F.when(col("original_summary") != "", col("original_summary")).otherwise(col("summary"))
     best = col("ai_summary")
-    return items.withColumns({
-        "title_zh": F.when(english, translated(col("title"), translate)), "summary_zh": F.when(english, translated(F.left(told, F.lit(MOST)), translate)),
-        "ai_summary_zh": F.when((best == "") | is_cjk(best), best).otherwise(translated(best, translate)),
-    })
+    return {"title_zh": (col("title"), english, none), "summary_zh": (F.left(told, F.lit(MOST)), english, none), "ai_summary_zh": (best, (best != "") & ~is_cjk(best), best)}
 
+
+def translate_items(items: DataFrame, translate=identity) -> DataFrame:
+    """title_zh and summary_zh of English items (null for others), and ai_summary_zh of every item that isn't Chinese by its own text.
+
+    The translator is a function of columns; ``translate.translate_once`` takes one that is called for each text.
+    """
+    return items.withColumns({name: F.when(needed, translated(text, translate)).otherwise(other) for name, (text, needed, other) in translatable(items).items()})
+
+
+def english_first(items: DataFrame) -> DataFrame:
+    """ord as a key that puts English items before the others, each in their former order: no sort, no window. ord must lie below 2^62."""
+    english = F.coalesce("language", F.lit("")) == "en"
+    return items.withColumn("ord", F.col("ord").cast("long") + F.when(english, 0).otherwise(1 << 62))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 from tidewire.functions.rules import BLOCK_TAGS, BROAD_TYPES, CATEGORY_ORDER, EMPTY_SENTENCES, ENTITIES, NOISE_LINES, REASONS, SAMPLE, SEVERITY, STOP_WORDS, TITLE_PREFIXES, UNCLASSIFIED
-from tidewire.operators import dashboard, dedup, extract, health, report, scoring, summary
+from tidewire.operators import dashboard, dedup, extract, health, report, scoring, summary, translate
 from tidewire.sources import parse
 from tidewire.streaming import feeds
 
@@ -697,21 +697,44 @@ def ai_summary(spark, sf_dir):
     return summary.choose_summary(items(spark, sf_dir)).select("ord", "ai_summary")
 
 
-@query(
-    f"""WITH {ITEMS_SQL}, t AS (SELECT ord, language, title, substr(CASE WHEN ord % 3 = 0 THEN 'orig ' || title ELSE summary END, 1, 500) AS told,
+TRANSLATED_SQL = f"""WITH {ITEMS_SQL}, t AS (SELECT ord, language, title, substr(CASE WHEN ord % 3 = 0 THEN 'orig ' || title ELSE summary END, 1, 500) AS told,
   CASE WHEN ord % 5 = 0 THEN '漢字' WHEN ord % 2 = 0 THEN title ELSE '' END AS best FROM items)
 SELECT ord, CASE WHEN language = 'en' THEN CASE WHEN trim(title, {BLANKS}) = '' THEN title ELSE 'zh:' || substr(title, 1, 1500) END END AS title_zh,
   CASE WHEN language = 'en' THEN CASE WHEN trim(told, {BLANKS}) = '' THEN told ELSE 'zh:' || told END END AS summary_zh,
   CASE WHEN best = '漢字' OR trim(best, {BLANKS}) = '' THEN best ELSE 'zh:' || substr(best, 1, 1500) END AS ai_summary_zh FROM t"""
-)
-def translated_items(spark, sf_dir):
-    """A mark stands in for the translator."""
+
+
+def told_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("ord")
     told = {"original_summary": F.when(k % 3 == 0, F.concat(F.lit("orig "), "title")), "ai_summary": F.when(k % 5 == 0, "漢字").when(k % 2 == 0, F.col("title")).otherwise("")}
-    rows = summary.translate_items(items(spark, sf_dir).withColumns(told), lambda c: F.concat(F.lit("zh:"), c))
+    return items(spark, sf_dir).withColumns(told)
+
+
+@query(TRANSLATED_SQL)
+def translated_items(spark, sf_dir):
+    """A mark stands in for the translator."""
+    rows = summary.translate_items(told_items(spark, sf_dir), lambda c: F.concat(F.lit("zh:"), c))
+    return rows.select("ord", "title_zh", "summary_zh", "ai_summary_zh")
+
+
+def marked(text: str) -> str:
+    return f"zh:{text}"
+
+
+@query(TRANSLATED_SQL)
+def translated_once(spark, sf_dir):
+    """The same from a translator that is called once for each distinct text."""
+    rows, _ = translate.translate_once(told_items(spark, sf_dir), marked)
     return rows.select("ord", "title_zh", "summary_zh", "ai_summary_zh")
 
 
+@query(f"""WITH {ITEMS_SQL} SELECT ord, row_number() OVER (ORDER BY language IS NOT DISTINCT FROM 'en' DESC, ord) AS place FROM items""")
+def english_first(spark, sf_dir):
+    """Places in the order that puts English items first, numbered by range and offset."""
+    keyed = summary.english_first(items(spark, sf_dir).withColumn("id", F.col("ord"))).select("id", "ord")
+    return report.numbered_by(keyed, "ord").select(F.col("id").alias("ord"), "place")
+
+
 @query("SELECT doc_id AS ord, round(length(regexp_replace(text || repeat('漢', CAST(doc_id % 900 AS INTEGER)), '[^\\x{4e00}-\\x{9fff}]', '', 'g'))::DOUBLE / length(text || repeat('漢', CAST(doc_id % 900 AS INTEGER))), 9) AS ratio FROM documents")
 def cjk_ratio(spark, sf_dir):
     text = F.concat("summary", F.repeat(F.lit("漢"), (F.col("ord") % 900).cast("int")))
