@@ -13,7 +13,8 @@ by a window over ``shards * k`` rows a query.
 
 Defined cases: a vector that is null, or has a null or non-finite component, takes no part, nor does one without a vec_id;
 vectors of other lengths count as padded with zeros; repeated rows are candidates each by itself (all but the
-query's own id), and repeated query rows are asked once each distinct vector; ties go to the smaller vec_id;
+query's own id; they are dealt as one row and its number, of which no query can want more than k); equal query rows are asked once,
+and rows of one query id with different vectors are queries by themselves, told apart by ``asked``; ties go to the smaller vec_id;
 scores outside a long are clipped to it; an empty table gives an empty result; other columns aren't read.
 """
 
@@ -113,12 +114,14 @@ def search(ids: np.ndarray, lists: Lists, query_ids: np.ndarray, queries: np.nda
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score, list_depth. Both inputs: vec_id, embedding."""
+    """query_id, asked, rank, vec_id, score, list_depth. Both inputs: vec_id, embedding."""
     ready = lambda df: df.select("vec_id", whole_components(F.col("embedding"), scale).alias("v")).where("v is not null and vec_id is not null")
     candidates, asked = ready(vectors), ready(queries).distinct()
     shards = max(1, -(-candidates.count() // SHARD))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
-    left = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    # equal rows are counted before the exchange: however many there are, a query's k best hold k of them at most
+    copies = candidates.groupBy("vec_id", "v").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k)))))
+    left = copies.select(F.pmod(F.xxhash64("vec_id", "v", "copy"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
     right = asked.select(every.alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +165,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = 256)
                 held.append((vec, v))
         yield from finish()
 
-    both = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "asks", "vec_id")
+    both = left.unionByName(right).repartition("shard").sortWithinPartitions("shard", "asks", "vec_id", "v")  # queries have the same places in every shard
     found = both.mapInArrow(run, "query_id long, place long, vec_id long, score long, list_depth int")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "list_depth")
+    place = F.row_number().over(W.partitionBy("query_id", "place").orderBy(F.desc("score"), "vec_id"))
+    ranked = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("place").alias("asked"), "rank", "vec_id", "score", "list_depth")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return top_k(vectors, vectors.where("vec_id % 50 = 0")).drop("list_depth")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0")).drop("asked", "list_depth")
 
 
 ORACLE = """
