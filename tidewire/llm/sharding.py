@@ -9,7 +9,8 @@ interval in which the byte target falls and divides it again, until the interval
 within ``tolerance`` or it holds a single key; if many rows have that key, ties are divided in the same way. Only counts reach the
 driver: at most ``shards - 1`` ranges of ``2**BITS`` intervals. After that every row knows its shard, and one
 exchange brings the rows to (shard, piece), where they are numbered; a piece holds about
-``piece_bytes``, so no task gets a whole shard. The numbered rows are written, counted by piece, and get their slots.
+``piece_bytes``, so no task gets a whole shard. The numbered rows are written, counted by piece, and get their slots
+where they lie: the pieces' starts are written, counted, and sent out.
 
 Defined cases: null text has size 1 and the key of the empty text; a null doc_id has the key of
 the empty id; rows equal in doc_id and text get different slots, and different shards where they are many;
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, sized, table
 
 SHARDS = 16
 BITS = 12
@@ -150,9 +151,10 @@ def shard_documents(
     place = F.row_number().over(W.partitionBy("shard", "piece", "part").orderBy(low(F.col("key")), "key", "size", "text_crc32", "tie")) - 1
     rows, _ = scratch.save(rows.withColumn("place", place.cast("long")).drop("key", "tie"))
     scratch.drop(keyed_path)
-    starts, _ = scratch.save(rows.groupBy("shard", "piece", "part").agg(F.count("*").alias("n")))  # a row for each piece
-    starts = starts.select("shard", "piece", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("piece", "part")) - F.col("n")).alias("start"))
-    out = rows.join(starts, ["shard", "piece", "part"]).withColumn("slot", F.col("place") + F.col("start"))
+    sizes, sizes_path = scratch.save(rows.groupBy("shard", "piece", "part").agg(F.count("*").alias("n")))  # a row for each piece
+    starts, _ = scratch.save(sizes.select("shard", "piece", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("piece", "part")) - F.col("n")).alias("start")))
+    scratch.drop(sizes_path)
+    out = rows.join(sized(starts), ["shard", "piece", "part"]).withColumn("slot", F.col("place") + F.col("start"))
     return out.select(*(["row.*"] if carried else []), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
