@@ -7,10 +7,11 @@ is that of a simple stack.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
-from .rules import BOILERPLATE
+from .rules import BOILERPLATE, SCRAPER_DEFAULTS
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY = {"p": frozenset("p div ul ol table section article h1 h2 h3 h4 h5 h6 blockquote pre footer header nav aside main".split()), "li": frozenset(["li"]), "option": frozenset(["option"])}
@@ -102,6 +103,7 @@ _STEP = re.compile(r"""(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<rest>(?:[.#][\w-]+|\[[\w-]
 _PART = re.compile(r"""([.#])([\w-]+)|\[([\w-]+)(?:=["']?([^"'\]]*)["']?)?\]""")
 
 
+@lru_cache(maxsize=4096)
 def compile_selector(selector: str) -> list[list[tuple]]:
     """Alternatives of chains of steps (child, tag, tests); child: joined by >."""
     out = []
@@ -191,24 +193,44 @@ def main_content(top: Node) -> str | None:
     return best and best[1]
 
 
+def long_paragraph(art: Node) -> str:
+    return next((t for p in select(art, "p") if len(t := p.text(strip=True)) > 20), "")
+
+
+class Scraper:
+    """A source's rules: what its articles are, and for each field the ways to it, of which the first that gives a text counts."""
+
+    def __init__(self, rules: dict):
+        told = {k: d if (v := rules.get(k)) is None else v for k, d in SCRAPER_DEFAULTS.items()}
+        self.articles, self.title = told["article_selector"], told["title_selector"]
+        self.link, self.base = told["link_selector"], told["link_base"].rstrip("/")
+        text = lambda selector: lambda art, title: n.text(strip=True) if (n := select_one(art, selector)) else ""
+        when = told["date_selector"]
+        self.ways: dict[str, tuple[Callable[[Node, Node], str], ...]] = {
+            "url": (self.own_link, lambda art, title: self.href(art), lambda art, title: self.href(art.parent)),
+            "summary": (text(told["summary_selector"]), lambda art, title: long_paragraph(art)),
+            "published_date": (lambda art, title: (n.attrs.get("datetime") or "") if (n := select_one(art, when)) else "", text(when)),
+        }
+
+    def href(self, node: Node | None) -> str:
+        link = (node.attrs.get("href") or "") if node is not None and node.name == "a" else ""
+        return self.base + link if self.base and link.startswith("/") else link
+
+    def own_link(self, art: Node, title: Node) -> str:
+        if self.link:
+            return self.href(select_one(art, self.link))
+        return self.href(title if title.name == "a" else select_one(title, "a"))
+
+    def read(self, html: str) -> Iterator[dict]:
+        """title (4 characters at least), url, summary (2000 characters at most), published_date of each article."""
+        top = parse(html)
+        for art in select(top, self.articles) if self.articles else [top]:
+            node = select_one(art, self.title)
+            title = node.text(strip=True) if node is not None else ""
+            if len(title) >= 4:
+                found = {field: next((t for way in ways if (t := way(art, node))), "") for field, ways in self.ways.items()}
+                yield {"title": title, **found, "summary": found["summary"][:2000]}
+
+
 def scrape(html: str, rules: dict) -> list[dict]:
-    """Articles of a page by CSS selectors: title (4 characters at least), url, summary, published_date."""
-    top, out = parse(html), []
-    get = lambda k, default: rules.get(k) if rules.get(k) is not None else default
-    of_article = get("article_selector", "article")
-    for art in select(top, of_article) if of_article else [top]:
-        title_node = select_one(art, get("title_selector", "h2 a, h3 a, .entry-title a"))
-        if title_node is None or len(title := title_node.text(strip=True)) < 4:
-            continue
-        inner = (select_one(art, rules["link_selector"]) if rules.get("link_selector") else title_node if title_node.name == "a" else select_one(title_node, "a"))
-        href = next((n.attrs["href"] for n in (inner, art, art.parent) if n is not None and n.name == "a" and n.attrs.get("href")), "")
-        if href.startswith("/") and rules.get("link_base"):
-            href = rules["link_base"].rstrip("/") + href
-        node = select_one(art, get("summary_selector", "p, .summary, .excerpt, .description"))
-        summary = node.text(strip=True) if node is not None else ""
-        if not summary:
-            summary = next((t for p in select(art, "p") if len(t := p.text(strip=True)) > 20), "")
-        date = select_one(art, get("date_selector", "time, .date, .published, .post-date"))
-        when = (date.attrs.get("datetime") or date.text(strip=True)) if date is not None else ""
-        out.append({"title": title, "url": href, "summary": summary[:2000], "published_date": when})
-    return out
+    return list(Scraper(rules).read(html))

@@ -153,3 +153,13 @@ SAMPLE = Rules(
 
 # What user agents of mobile devices hold
 MOBILE_AGENTS = ("mobile", "android", "iphone", "ipad", "phone", "ipod", "opera mini", "blackberry", "webos", "iemobile")
+
+# What a scraper's rules are where a source doesn't state them
+SCRAPER_DEFAULTS = {
+    "article_selector": "article",
+    "title_selector": "h2 a, h3 a, .entry-title a",
+    "summary_selector": "p, .summary, .excerpt, .description",
+    "date_selector": "time, .date, .published, .post-date",
+    "link_selector": "",
+    "link_base": "",
+}

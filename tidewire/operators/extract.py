@@ -16,6 +16,8 @@ from tidewire.functions.text import clean_noise_lines, decode_entities, fallback
 ITEM = "struct<title:string,url:string,summary:string,published_date:string>"
 MIN_ARTICLE, MAX_ARTICLE = 200, 20_000
 SHORT_SUMMARY = 300
+#: Rules, of some hundred bytes each, that are sent to every executor.
+MANY_SOURCES = 100_000
 
 
 @F.pandas_udf(StringType())
@@ -59,6 +61,36 @@ def articles(pages: DataFrame, rules: dict, key: str = "page_id", html: str = "h
     return pages.select(key, F.posexplode(scraped(html)).alias("pos", "item")).select(key, "pos", "item.*")
 
 
+@F.udtf(returnType="pos int, title string, url string, summary string, published_date string", useArrow=False)
+class ScrapedArticles:
+    """The articles of a page by the rules of its row. Rules are compiled once in each task, however many sources share it."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+
+    def eval(self, html, rules):  # noqa: A003
+        if html is None or rules is None:
+            return
+        if (scraper := self.known.get(rules)) is None:
+            scraper = self.known[rules] = dom.Scraper(rules.asDict())
+        for pos, a in enumerate(scraper.read(html)):
+            yield pos, a["title"], a["url"], a["summary"], a["published_date"]
+
+
+def articles_by_source(pages: DataFrame, catalogue: DataFrame, *keep: str) -> DataFrame:
+    """source_name, the pages' columns ``keep``, pos and the fields of every article, by the rules of each page's source.
+
+    pages: source_name, html and ``keep``. catalogue: name, scraper_config (a struct of selectors; its null fields take the defaults), once for each name.
+    A page of a source that is null, unknown or without rules, or with no article, gives no row. The rules are a row for each source: they are
+    sent out if they were counted as few, so that pages, of which one source may have most, are scraped where they lie.
+    """
+    rules = catalogue.where("name is not null and scraper_config is not null").select(F.col("name").alias("_of"), F.col("scraper_config").alias("_rules"))
+    if rules.limit(MANY_SOURCES + 1).count() <= MANY_SOURCES:
+        rules = F.broadcast(rules)
+    rows = pages.select("source_name", *keep, F.col("html").alias("_html")).join(rules, F.col("source_name") == F.col("_of"))
+    return rows.lateralJoin(ScrapedArticles(F.col("_html").outer(), F.col("_rules").outer())).drop("_html", "_of", "_rules")
+
+
 def wants_fulltext(items: DataFrame) -> Column:
     body = F.coalesce("full_body", F.lit("")) if "full_body" in items.columns else F.lit("")
     return (F.length(F.coalesce("summary", F.lit(""))) < SHORT_SUMMARY) & F.startswith(F.coalesce("url", F.lit("")), F.lit("http")) & (body == "")

@@ -469,6 +469,22 @@ def scrape_articles(spark, sf_dir):
     return extract.articles(table(spark, sf_dir, "pages"), rules)
 
 
+@query(
+    """WITH p AS (SELECT page_id, html, split_part(url, '/', 4) AS source_name FROM pages),
+li AS (SELECT page_id, source_name, list_filter(list_transform(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>(.*?)</li>', 1, 's'),
+    lambda x: {'title': trim(regexp_extract(x, '>([^<]*)</a>', 1)), 'url': 'https://de.example.com' || regexp_extract(x, 'href="([^"]*)"', 1)}), lambda x: length(x.title) >= 4) AS found FROM p WHERE source_name = 'de'),
+de AS (SELECT page_id, source_name, unnest(found) AS a, generate_subscripts(found, 1) - 1 AS pos FROM li)
+SELECT source_name, page_id, CAST(pos AS INTEGER) AS pos, a.title AS title, a.url AS url, '' AS summary, '' AS published_date FROM de
+UNION ALL SELECT source_name, page_id, 0, trim(t), '', regexp_extract(html, '<style>(.*?)</style>', 1, 's'), '' FROM (SELECT *, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t FROM p) WHERE source_name = 'fr' AND length(trim(t)) >= 4"""
+)
+def scrape_by_source(spark, sf_dir):
+    """Pages by rules of their language's own: links of the navigation, the head, the defaults (which find nothing here), and none at all."""
+    fields = "name string, scraper_config struct<article_selector:string,title_selector:string,summary_selector:string,date_selector:string,link_selector:string,link_base:string>"
+    rules = [("de", ("nav li", "a", None, None, None, "https://de.example.com/")), ("fr", ("head", "title", "style", None, None, None)), ("en", (None,) * 6), ("es", None)]
+    pages = table(spark, sf_dir, "pages").select("page_id", F.get(F.split("url", "/"), 3).alias("source_name"), "html")
+    return extract.articles_by_source(pages, spark.createDataFrame(rules, fields), "page_id")
+
+
 @query()
 def fulltext_join(spark, sf_dir):
     """Items whose summary is short get the text of the page of their number."""
