@@ -90,16 +90,26 @@ def ellipsis(text: Column, most: int = 500) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
 
 
+def plain_words(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+)"), F.lit(1))
+
+
+def han_runs(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1))
+
+
+def kept_words(words: Column, stop_words: tuple[str, ...]) -> Column:
+    return F.array_except(F.filter(words, lambda w: F.length(w) > 1), F.array(*map(F.lit, stop_words)))
+
+
 def tokens(text: Column, stop_words: tuple[str, ...]) -> Column:
     """The distinct lower-case words of more than one character that aren't stop words; runs of Chinese characters give their bigrams.
 
-    No Chinese word segmenter is at hand: bigrams stand in for its words.
+    Bigrams stand in for Chinese words where no dictionary is given; ``segment.tokens_of_all`` takes one.
     """
     low = F.lower(text)
-    latin = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+)"), F.lit(1))
-    runs = F.regexp_extract_all(low, F.lit(r"([\x{4e00}-\x{9fff}]+)"), F.lit(1))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
-    return F.array_except(F.filter(F.concat(latin, pairs), lambda w: F.length(w) > 1), F.array(*map(F.lit, stop_words)))
+    pairs = F.flatten(F.transform(han_runs(low), lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
+    return kept_words(F.concat(plain_words(low), pairs), stop_words)
 
 
 def jaccard(a: Column, b: Column) -> Column:

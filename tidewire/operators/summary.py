@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.rules import STOP_WORDS
+from tidewire.functions.segment import Dictionary, tokens_of_all
 from tidewire.functions.text import ellipsis, is_cjk, strip, tokens, useful_sentences
 from tidewire.operators.scoring import computed, let
 
@@ -20,18 +21,25 @@ TRANSLATED = 1500
 CELLS, KEPT = 2_000_000, 4_000_000
 
 
-def sentence_table(docs: DataFrame, text: str = "text") -> DataFrame:
+def tokens_of(sentences: Column, dictionary: Dictionary | None) -> Column:
+    """The tokens of each sentence of an array; Chinese ones by the dictionary, or bigrams without one."""
+    return F.transform(sentences, lambda s: tokens(s, STOP_WORDS)) if dictionary is None else tokens_of_all(sentences, STOP_WORDS, dictionary)
+
+
+def sentence_table(docs: DataFrame, text: str = "text", dictionary: Dictionary | None = None) -> DataFrame:
     """ord, pos, sentence, tokens: a row for each useful sentence."""
     rows = docs.select("ord", F.posexplode(useful_sentences(F.coalesce(text, F.lit("")))).alias("pos", "sentence"))
-    return rows.withColumn("tokens", tokens(F.col("sentence"), STOP_WORDS))
+    if dictionary is None:
+        return rows.withColumn("tokens", tokens(F.col("sentence"), STOP_WORDS))
+    return rows.withColumn("tokens", F.get(tokens_of(F.array("sentence"), dictionary), 0))
 
 
-def sentence_similarity(docs: DataFrame, text: str = "text") -> DataFrame:
+def sentence_similarity(docs: DataFrame, text: str = "text", dictionary: Dictionary | None = None) -> DataFrame:
     """ord, i, j, weight: Jaccard similarity of each document's pairs of sentences that share a token.
 
     Sentences meet over their tokens, within their document, so pairs without a common token are never made.
     """
-    rows = sentence_table(docs, text).where("size(tokens) > 0")
+    rows = sentence_table(docs, text, dictionary).where("size(tokens) > 0")
     words = rows.select("ord", "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
     a = words.select("ord", "word", F.col("pos").alias("i"), F.col("n").alias("ni"))
     b = words.select("ord", "word", F.col("pos").alias("j"), F.col("n").alias("nj"))
@@ -119,12 +127,12 @@ def best_sentences(sentences: list[str], sets: list[set], top: int = TOP) -> str
     return "".join(sentences[i] for i in chosen)
 
 
-def summarize(docs: DataFrame, text: str = "text") -> DataFrame:
+def summarize(docs: DataFrame, text: str = "text", dictionary: Dictionary | None = None) -> DataFrame:
     """Adds extract: '' under 100 characters, the text's start with up to three useful sentences, else TextRank's best."""
     body = strip(F.coalesce(text, F.lit("")))
     cut = let(body, lambda b: F.struct(b.alias("_body"), F.when(F.length(b) >= 100, useful_sentences(b)).otherwise(F.array().cast("array<string>")).alias("_sentences")))
     rows = computed(docs, cut)  # once, though what follows reads them several times
-    rows = rows.withColumn("_tokens", F.transform("_sentences", lambda s: tokens(s, STOP_WORDS)))
+    rows = rows.withColumn("_tokens", tokens_of(F.col("_sentences"), dictionary))
 
     @F.pandas_udf("string")
     def ranked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -143,7 +151,7 @@ def identity(text: Column) -> Column:
     return text
 
 
-def choose_summary(items: DataFrame, translate=identity) -> DataFrame:
+def choose_summary(items: DataFrame, translate=identity, dictionary: Dictionary | None = None) -> DataFrame:
     """Adds ai_summary by an item's language and what text it has.
 
     With a fetched full text: its extract, translated if the item is English and not Chinese. English: the first 800
@@ -152,7 +160,7 @@ def choose_summary(items: DataFrame, translate=identity) -> DataFrame:
     col = lambda c: F.coalesce(F.col(c), F.lit("")) if c in items.columns else F.lit("")
     summary, original, body = col("summary"), col("original_summary"), col("full_body")
     source = F.when(original != "", summary).when(F.length(body) > 2 * F.length(summary), body).otherwise("")
-    rows = summarize(items.withColumn("_source", source), "_source")
+    rows = summarize(items.withColumn("_source", source), "_source", dictionary)
     english, chinese = col("language") == "en", is_cjk(summary, 200)
     extract = F.col("extract")
     chosen = (

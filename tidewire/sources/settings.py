@@ -7,8 +7,10 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tidewire.functions.rules import CATEGORY_ORDER, UNCLASSIFIED, Ambiguity, Keyword, Rules
+from tidewire.functions.segment import MAX_WORDS, Dictionary
 
 #: Defaults of a rule file's optional keys.
 TIER_RATIOS = {"tier_a": (1, 1), "tier_b": (0.6, 0.3), "tier_c": (0.5, 0.2), "tier_d": (0, 0)}
@@ -95,3 +97,11 @@ def strong_texts(config: list | dict) -> list[str]:
 def secret(name: str) -> str | None:
     """Credentials come from the environment alone and are never stored."""
     return os.environ.get(name)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> Dictionary:
+    """A dictionary of lines of a word and its count; what follows these, and other lines, are passed over. Counts of a word that comes again are added."""
+    parts = F.split(F.trim("value"), r"\s+")
+    listed = spark.read.text(path).select(F.get(parts, 0).alias("word"), F.get(parts, 1).try_cast("long").alias("n"))
+    counted = listed.where("word != '' and n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    return Dictionary({r.word: r.n for r in counted.limit(MAX_WORDS + 1).collect()})  # which refuses one row more than it may have
