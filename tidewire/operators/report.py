@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.rules import CATEGORY_ORDER, UNCLASSIFIED
 from tidewire.functions.text import hue
 from tidewire.scratch import Scratch
+from tidewire.sources.write import write_packed
 
 DETAIL_COLUMNS = ("full_body", "summary", "ai_summary", "scoring_matched")
 
@@ -110,8 +111,8 @@ def with_category_index(report: DataFrame, order=CATEGORY_ORDER) -> DataFrame:
 
 
 def write_weekly(report: DataFrame, path: str, order=CATEGORY_ORDER) -> None:
-    """The report by decision and category's index, a folder each, compressed."""
-    with_category_index(report, order).write.mode("overwrite").option("compression", "gzip").partitionBy("is_review", "cat_idx").json(path)
+    """The report by decision and category's index, a folder each, compressed where that is smaller; the files there before stay until all are written."""
+    write_packed(with_category_index(report, order), path, ("is_review", "cat_idx"))
 
 
 def preview(report: DataFrame, n: int = 10) -> DataFrame:
