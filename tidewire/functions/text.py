@@ -132,7 +132,7 @@ def week_range(day: Column) -> Column:
 
 
 def cve_ids(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b(CVE-\d{4}-\d{4,8})\b"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"(?i)(?<![A-Za-z0-9_])(CVE-\d{4}-\d{4,8})(?![A-Za-z0-9_])"), F.lit(1))
 
 
 def join_url(base: Column, link: Column) -> Column:
@@ -145,6 +145,30 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: White space as readers of reports split on it.
+BLANK = r"[\s\x0B\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+BREAK = "</p><p>"
+
+
+def linked(html: Column) -> Column:
+    """Escaped text with its vulnerability numbers marked and its addresses linked."""
+    marked = F.regexp_replace(html, r"(?i)(?<![A-Za-z0-9_])CVE-\d{4}-\d{4,8}(?![A-Za-z0-9_])", "<code>$0</code>")
+    return F.regexp_replace(marked, f"https?://[^{BLANK[1:-1]}<]+", '<a href="$0" target="_blank" rel="noopener">$0</a>')
+
+
+def summary_html(text: Column) -> Column:
+    """A summary as paragraphs of HTML: '' for none. Its blank lines, and ends of sentences before a line's end, divide it; in a text of one line each
+    Chinese sentence is a paragraph, and each other one that a capital or an opening quote follows."""
+    html = linked(escape_html(text))
+    one_line = F.regexp_replace(F.regexp_replace(html, f"([。！？]){BLANK}*", f"$1{BREAK}"), rf"([.!?]){BLANK}+(?=[A-Z\"'「『])", f"$1{BREAK}")
+    many = F.regexp_replace(html, r"\n{2,}", BREAK)
+    for end in (".!?", "。！？"):
+        many = F.regexp_replace(many, rf"([{end}]){BLANK}*\n{BLANK}*", f"$1{BREAK}")
+    many = F.regexp_replace(many, r"\n+", " ")
+    inner = F.when(F.contains(html, F.lit("\n")), many).otherwise(one_line)
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.concat(F.lit("<p>"), inner, F.lit("</p>")))
+
+
 def feed_body(content: Column, summary: Column, description: Column, unescape=decode_entities) -> Column:
     """An entry's text: its full content unless that is blank, else its summary, and its description where it has no summary."""
     full = strip(F.coalesce(content, F.lit("")))

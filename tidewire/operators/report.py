@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.rules import CATEGORY_ORDER, UNCLASSIFIED
-from tidewire.functions.text import hue
+from tidewire.functions.text import cve_ids, hue, summary_html
 from tidewire.scratch import Scratch
 from tidewire.sources.write import write_packed
 
@@ -80,6 +80,11 @@ def list_rows(report: DataFrame) -> DataFrame:
     return report.drop(*DETAIL_COLUMNS)
 
 
+def readable(report: DataFrame) -> DataFrame:
+    """A report with summary_html, and cves: the distinct vulnerability numbers of its summaries, in capitals and in order of first mention."""
+    return report.withColumns({"summary_html": summary_html(F.col("summary")), "cves": F.array_distinct(F.transform(cve_ids(F.coalesce("summary", F.lit(""))), F.upper))})
+
+
 def details(report: DataFrame) -> DataFrame:
     """category, url and the detail columns: the last item of each url in its category."""
     last = report.where("url != ''").groupBy("category", "url").agg(F.max_by(F.struct(*DETAIL_COLUMNS), "ord").alias("d"))

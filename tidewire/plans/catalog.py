@@ -472,10 +472,10 @@ def scrape_articles(spark, sf_dir):
 @query(
     """WITH p AS (SELECT page_id, html, split_part(url, '/', 4) AS source_name FROM pages),
 li AS (SELECT page_id, source_name, list_filter(list_transform(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<li>(.*?)</li>', 1, 's'),
-    lambda x: {'title': trim(regexp_extract(x, '>([^<]*)</a>', 1)), 'url': 'https://de.example.com' || regexp_extract(x, 'href="([^"]*)"', 1)}), lambda x: length(x.title) >= 4) AS found FROM p WHERE source_name = 'de'),
+    lambda x: {'title': trim(replace(replace(replace(replace(replace(regexp_extract(x, '>([^<]*)</a>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')), 'url': 'https://de.example.com' || replace(replace(replace(replace(replace(regexp_extract(x, 'href="([^"]*)"', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&')}), lambda x: length(x.title) >= 4) AS found FROM p WHERE source_name = 'de'),
 de AS (SELECT page_id, source_name, unnest(found) AS a, generate_subscripts(found, 1) - 1 AS pos FROM li)
 SELECT source_name, page_id, CAST(pos AS INTEGER) AS pos, a.title AS title, a.url AS url, '' AS summary, '' AS published_date FROM de
-UNION ALL SELECT source_name, page_id, 0, trim(t), '', regexp_extract(html, '<style>(.*?)</style>', 1, 's'), '' FROM (SELECT *, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t FROM p) WHERE source_name = 'fr' AND length(trim(t)) >= 4"""
+UNION ALL SELECT source_name, page_id, 0, trim(t), '', regexp_extract(html, '<style>(.*?)</style>', 1, 's'), '' FROM (SELECT *, replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS t FROM p) WHERE source_name = 'fr' AND length(trim(t)) >= 4"""
 )
 def scrape_by_source(spark, sf_dir):
     """Pages by rules of their language's own: links of the navigation, the head, the defaults (which find nothing here), and none at all."""
@@ -485,6 +485,30 @@ def scrape_by_source(spark, sf_dir):
     return extract.articles_by_source(pages, spark.createDataFrame(rules, fields), "page_id")
 
 
+SPACE = T.BLANK
+ESCAPED = """replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')"""
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN replace(coalesce(text, ''), chr(10), ' ') ELSE replace(coalesce(text, ''), ' und ', '。 ') END
+    || ' cve-2024-' || (doc_id + 1000) || ', (CVE-2023-' || doc_id % 100 || '000) aCVE-2024-1234 <https://x.example/?a=' || doc_id || '&b> 1.' AS s FROM documents),
+c AS (SELECT ord, s, regexp_replace(regexp_replace({ESCAPED}, '\b(CVE-\d{{4}}-\d{{4,8}})\b', '<code>\1</code>', 'gi'), '(https?://[^{SPACE[1:-1]}<]+)', '<a href="\1" target="_blank" rel="noopener">\1</a>', 'g') AS h FROM t),
+m AS (SELECT ord, s, h, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '\n{{2,}}', '</p><p>', 'g'), '([.!?]){SPACE}*\n{SPACE}*', '\1</p><p>', 'g'), '([。！？]){SPACE}*\n{SPACE}*', '\1</p><p>', 'g'), '\n+', ' ', 'g') AS many,
+    regexp_replace(regexp_replace(h, '([。！？]){SPACE}*', '\1</p><p>', 'g'), '([.!?]){SPACE}+([A-Z"''「『])', '\1</p><p>\2', 'g') AS one FROM c)
+SELECT ord, md5('<p>' || CASE WHEN contains(h, chr(10)) THEN many ELSE one END || '</p>') AS html_md5,
+    array_to_string(list_transform(list_distinct_in_order, lambda x: x), ',') AS cves FROM (SELECT *, list_filter(f, lambda x, i: list_position(f, x) = i) AS list_distinct_in_order
+    FROM (SELECT *, list_transform(regexp_extract_all(s, '(?i)\bCVE-\d{{4}}-\d{{4,8}}\b'), lambda x: upper(x)) AS f FROM m))"""
+)
+def readable_summaries(spark, sf_dir):
+    """Whole texts as paragraphs, in one line or in many, with numbers and addresses to mark."""
+    n = F.col("doc_id")
+    whole = F.coalesce("text", F.lit(""))
+    text = F.when(n % 3 == 0, whole).when(n % 3 == 1, F.replace(whole, F.lit("\n"), F.lit(" "))).otherwise(F.replace(whole, F.lit(" und "), F.lit("。 ")))
+    more = F.concat(F.lit(" cve-2024-"), n + 1000, F.lit(", (CVE-2023-"), n % 100, F.lit("000) aCVE-2024-1234 <https://x.example/?a="), n, F.lit("&b> 1."))
+    rows = report.readable(table(spark, sf_dir, "documents").select(n.alias("ord"), F.concat(text, more).alias("summary")))
+    return rows.select("ord", F.md5(F.col("summary_html").cast("binary")).alias("html_md5"), F.array_join("cves", ",").alias("cves"))
+
+
 @query()
 def fulltext_join(spark, sf_dir):
     """Items whose summary is short get the text of the page of their number."""
