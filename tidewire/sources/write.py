@@ -2,7 +2,8 @@
 
 A task writes its lines, as they are and compressed, into a folder of the job whose name begins with an underscore, so that no reader takes its files, and keeps the
 smaller of each two. When all tasks have succeeded the kept files are moved to their places, and then, if the job overwrites, the files go that
-were there before. A job that fails leaves these as they were. Files of attempts that were given up or lost go with the job's folder. While files are moved, one after another,
+were there before. A job that fails leaves these as they were. Files of attempts that were given up or lost go with the job's folder;
+a task that is still writing while its job is aborted may leave some there, which no reader takes. While files are moved, one after another,
 a reader may see some of the new beside the old, but never a part of a file.
 
 Paths are those of any store that pyarrow's file systems know, and that the driver and all executors see.
