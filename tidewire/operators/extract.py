@@ -6,11 +6,13 @@ import html as html_lib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidewire.functions import dom
+from tidewire.functions.slices import by_slices
 from tidewire.functions.text import clean_noise_lines, decode_entities, fallback_text, strip
 
 ITEM = "struct<title:string,url:string,summary:string,published_date:string>"
@@ -20,8 +22,8 @@ SHORT_SUMMARY = 300
 MANY_SOURCES = 100_000
 
 
-@F.pandas_udf(StringType())
-def main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(StringType())
+def main_text(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Text of the main content without boilerplate elements; null if none is found or the page can't be parsed."""
 
     def one(html: str | None) -> str | None:
@@ -34,8 +36,7 @@ def main_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except (ValueError, AssertionError, RecursionError):
             return None
 
-    for batch in pages:
-        yield batch.map(one).astype(object)
+    return by_slices(pages, lambda part: [one(html) for html in part.to_pylist()], pa.string())
 
 
 @F.pandas_udf(StringType())
