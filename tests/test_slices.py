@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from tidewire.functions import slices
+from tidewire.functions import match, slices
 from tidewire.operators import extract
 
 
@@ -20,12 +20,14 @@ def test_slices_are_bounded_and_whole(small):
     assert list(slices.slices((texts.slice(0, 0),))) == []
 
 
-def test_values_are_made_a_slice_at_a_time(small):
+def test_keywords_are_found_a_slice_at_a_time(small):
     seen = []
     texts = pa.array([f"alpha {k} " + "x" * 40 if k % 2 else None for k in range(400)])
     counted = lambda part: seen.append(len(part)) or [len(t or "") for t in part.to_pylist()]
     made = list(slices.by_slices(iter([texts, texts.slice(0, 0), texts.slice(3, 5)]), counted, pa.int64()))
     assert [len(m) for m in made] == [400, 0, 5] and max(seen) < 100
+    found = list(match.batches_found(("alpha",), iter([(texts, texts)]), lambda a, row: sorted(a.found(row[0] or "")), pa.list_(pa.int64())))
+    assert [f.to_pylist() for f in found] == [[[0] if k % 2 else [] for k in range(400)]]
 
 
 def test_pages_are_extracted_a_slice_at_a_time(small, monkeypatch):

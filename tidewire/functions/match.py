@@ -11,9 +11,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewire.functions.slices import by_slices
+
 WORD = r"[\p{L}\p{N}_]"
 
 
@@ -107,8 +110,7 @@ class Automaton:
         return out
 
 
-def batches_found(keywords: tuple[str, ...], columns: Iterator, of) -> Iterator:
-    """For Arrow functions: ``of(automaton, values of a row)`` for each row of each batch of columns. The automaton is built once a task."""
+def batches_found(keywords: tuple[str, ...], columns: Iterator, of, kind: pa.DataType) -> Iterator[pa.Array]:
+    """For Arrow functions: ``of(automaton, values of a row)`` for each row, in an array for each batch of columns. The automaton is built once a task."""
     automaton = Automaton(keywords)
-    for batch in columns:
-        yield [of(automaton, row) for row in zip(*(c.to_pylist() for c in batch), strict=True)]
+    return by_slices(columns, lambda *part: [of(automaton, row) for row in zip(*(c.to_pylist() for c in part), strict=True)], kind)

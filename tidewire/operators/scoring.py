@@ -127,8 +127,7 @@ def matches(segmented: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
 
     @F.arrow_udf(MATCHED)
     def found(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for rows in batches_found(finder.texts, columns, finder.matched):
-            yield pa.array(rows, ARROW_MATCHED)
+        return batches_found(finder.texts, columns, finder.matched, ARROW_MATCHED)
 
     return computed(segmented.withColumn("_matched", found(*(f"seg_{s}" for s in SEGMENTS))), F.struct(F.col("_matched").alias("matched"))).drop("_matched")
 
@@ -279,8 +278,7 @@ def quick_score(items: DataFrame, rules: Rules = SAMPLE) -> DataFrame:
 
     @F.arrow_udf("array<array<double>>")
     def found(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for rows in batches_found(finder.texts, columns, finder.quick):
-            yield pa.array(rows, pa.list_(pa.list_(pa.float64())))
+        return batches_found(finder.texts, columns, finder.quick, pa.list_(pa.list_(pa.float64())))
 
     summary = F.coalesce("summary", F.lit(""))
     parts = {"title": F.coalesce("title", F.lit("")), "lead": F.left(summary, F.lit(rules.lead_chars))}
