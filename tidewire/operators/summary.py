@@ -6,11 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from tidewire.functions.rules import STOP_WORDS
 from tidewire.functions.segment import Dictionary, tokens_of_all
+from tidewire.functions.slices import slices
 from tidewire.functions.text import ellipsis, is_cjk, strip, tokens, useful_sentences
 from tidewire.operators.scoring import computed, let
 
@@ -34,17 +38,73 @@ def sentence_table(docs: DataFrame, text: str = "text", dictionary: Dictionary |
     return rows.withColumn("tokens", F.get(tokens_of(F.array("sentence"), dictionary), 0))
 
 
+class Sentences:
+    """The sentences of many texts, numbered through: their ``text``, ``size`` in words, words (by ``owner``) and place in their text."""
+
+    def __init__(self, texts: pa.Array):
+        many = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sentences = texts.flatten()
+        self.n, self.texts = len(sentences), len(texts)
+        self.of_text = np.concatenate([[0], np.cumsum(many)])
+        self.text = np.repeat(np.arange(len(many)), many)
+        self.place = np.arange(self.n) - self.of_text[self.text]
+        self.size = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.owner = np.repeat(np.arange(self.n), self.size)
+        self.words = sentences.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of pairs (i before j) of a text's sentences that share a word, with their Jaccard weights, by i and j.
+
+        Sentences meet over their words, ``CELLS`` times in a block at most, or in one sentence's row.
+        """
+        if not len(self.words):
+            return
+        key = self.text[self.owner] * (self.words.max() + 1) + self.words
+        order = np.argsort(key, kind="stable")
+        holders, key = self.owner[order], key[order]
+        bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        next_, later = np.empty((2, len(key)), np.int64)
+        next_[order] = np.arange(1, len(key) + 1)
+        later[order] = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(1, len(key) + 1)  # sentences behind this one that hold the word
+        of_sentence = np.concatenate([[0], np.cumsum(self.size)])
+        met = np.concatenate([[0], np.cumsum(later)])[of_sentence]
+        start = 0
+        while start < self.n:
+            end = max(start + 1, int(np.searchsorted(met, met[start] + CELLS, "right")) - 1)
+            some = np.arange(of_sentence[start], of_sentence[end])
+            reached = lambda part: holders[np.repeat(next_[part] - np.cumsum(later[part]) + later[part], later[part]) + np.arange(later[part].sum())]
+            if met[end] - met[start] > CELLS:
+                row = np.zeros(self.of_text[self.text[start] + 1] - start, np.int64)
+                for part in np.array_split(some, -(-int(met[end] - met[start]) // CELLS)):
+                    row += np.bincount(reached(part) - start, minlength=len(row))
+                j = np.flatnonzero(row)
+                i, j, common = np.full(len(j), start), j + start, row[j]
+            else:
+                both, common = np.unique(np.repeat(self.owner[some], later[some]) * self.n + reached(some), return_counts=True)
+                i, j = np.divmod(both, self.n)
+            if len(i):
+                yield i, j, common / (self.size[i] + self.size[j] - common)
+            start = end
+
+
 def sentence_similarity(docs: DataFrame, text: str = "text", dictionary: Dictionary | None = None) -> DataFrame:
     """ord, i, j, weight: Jaccard similarity of each document's pairs of sentences that share a token.
 
-    Sentences meet over their tokens, within their document, so pairs without a common token are never made.
+    Sentences meet over their tokens, within their document, so pairs without a common token are never made; documents aren't exchanged for that.
     """
-    rows = sentence_table(docs, text, dictionary).where("size(tokens) > 0")
-    words = rows.select("ord", "pos", F.size("tokens").alias("n"), F.explode("tokens").alias("word"))
-    a = words.select("ord", "word", F.col("pos").alias("i"), F.col("n").alias("ni"))
-    b = words.select("ord", "word", F.col("pos").alias("j"), F.col("n").alias("nj"))
-    both = a.join(b, ["ord", "word"]).where("i < j").groupBy("ord", "i", "j", "ni", "nj").agg(F.count("*").alias("c"))
-    return both.select("ord", "i", "j", (F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("weight"))
+    rows = docs.where("ord is not null").select("ord", useful_sentences(F.coalesce(text, F.lit(""))).alias("_sentences"))
+    rows = computed(rows, F.struct(tokens_of(F.col("_sentences"), dictionary).alias("_tokens"))).select("ord", "_tokens")
+    kind = StructType([docs.schema["ord"]]).add("i", IntegerType()).add("j", IntegerType()).add("weight", DoubleType())
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ords, words in slices((batch.column(0), batch.column(1))):
+                every = Sentences(words)
+                for i, j, weight in every.pairs():
+                    columns = [ords.take(pa.array(every.text[i])), pa.array(every.place[i].astype(np.int32)), pa.array(every.place[j].astype(np.int32)), pa.array(weight)]
+                    yield pa.RecordBatch.from_arrays(columns, ["ord", "i", "j", "weight"])
+
+    return rows.mapInArrow(paired, kind)
 
 
 class Graph:
