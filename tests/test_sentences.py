@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -29,6 +30,22 @@ def test_pairs_are_those_of_each_text(monkeypatch, cells):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_ranks_and_extracts_are_those_of_each_text(monkeypatch):
+    given = texts()
+    sentences = [None if s is None else [f"{k}.{i}; " for i in range(len(s))] for k, s in enumerate(given)]
+    every = summary.Sentences(pa.array(given, KIND))
+    rank = summary.text_ranks(every)
+    for k, s in enumerate(given):
+        if s:
+            assert np.allclose(rank[every.text == k], summary.text_rank([set(w) for w in s]), atol=1e-12, rtol=0)
+    want = [summary.best_sentences(s, [set(x) for x in w]) if s is not None and len(s) > 3 else None for s, w in zip(sentences, given, strict=True)]
+    columns = pa.array(sentences, pa.list_(pa.string())), pa.array(given, KIND)
+    assert summary.extracts(*columns) == want
+    monkeypatch.setattr(summary, "KEPT", 10)
+    assert summary.text_ranks(every) is None and summary.extracts(*columns) == want
+    assert summary.extracts(*(c.slice(0, 1) for c in columns)) == [None]
+
+
 def test_sentences_are_not_exchanged(spark):
     docs = spark.createDataFrame([(1, "The quick fox jumps over the fence. The quick fox sleeps under the tree."), (None, "The quick fox jumps over. The quick fox sleeps under."), (2, None)], "ord long, text string")
     out = summary.sentence_similarity(docs)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from tidewire.functions.rules import STOP_WORDS
 from tidewire.functions.segment import Dictionary, tokens_of_all
-from tidewire.functions.slices import slices
+from tidewire.functions.slices import by_slices, slices
 from tidewire.functions.text import ellipsis, is_cjk, strip, tokens, useful_sentences
 from tidewire.operators.scoring import computed, let
 
@@ -187,6 +186,56 @@ def best_sentences(sentences: list[str], sets: list[set], top: int = TOP) -> str
     return "".join(sentences[i] for i in chosen)
 
 
+def text_ranks(every: Sentences, damping: float = 0.85, rounds: int = 200, tolerance: float = 1e-4) -> np.ndarray | None:
+    """``text_rank`` of many texts at once: a round goes over all that are still moving. None if their weights are more than ``KEPT``."""
+    kept, pairs = [], 0
+    for block in every.pairs():
+        pairs += len(block[0])
+        if 2 * pairs > KEPT:
+            return None
+        kept.append(block)
+    i, j, weights = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+    i, j, weights = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([weights, weights])
+    order = np.lexsort((j, i))
+    i, j, weights = i[order], j[order], weights[order]
+    sums = np.bincount(j, weights, every.n)
+    alone, text, n = sums <= 0, every.text, np.diff(every.of_text)
+    rank, moving = 1 / n[text], n > 0
+    for _ in range(rounds):
+        share = np.divide(rank, sums, out=np.zeros(every.n), where=~alone)
+        even = np.bincount(text, np.where(alone, rank, 0), every.texts) / np.maximum(n, 1)
+        new = (1 - damping) / n[text] + damping * (even[text] + np.bincount(i, weights * share[j], every.n))
+        moved = np.bincount(text, np.abs(new - rank), every.texts)
+        rank = np.where(moving[text], new, rank)
+        still = moving & (moved >= tolerance)
+        if not still.any():
+            break
+        if still.sum() < moving.sum():
+            some = still[text[i]]
+            i, j, weights = i[some], j[some], weights[some]
+        moving = still
+    return rank
+
+
+def extracts(sentences: pa.Array, words: pa.Array, top: int = TOP) -> list[str | None]:
+    """``best_sentences`` of each text with more than three."""
+    many = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)
+    out: list[str | None] = [None] * len(many)
+    long = np.flatnonzero(many > 3)
+    sentences, words = sentences.take(pa.array(long)), words.take(pa.array(long))
+    every = Sentences(words)
+    rank = text_ranks(every)
+    if rank is None:
+        for k, at in enumerate(long):
+            out[at] = best_sentences(sentences[k].as_py(), [set(w) for w in words[k].as_py()], top)
+        return out
+    order = np.lexsort((every.place, -np.round(rank, 9), every.text))
+    chosen = np.sort(order[np.arange(every.n) - every.of_text[every.text] < top])
+    for k, sentence in zip(every.text[chosen].tolist(), sentences.flatten().take(pa.array(chosen)).to_pylist(), strict=True):
+        out[long[k]] = (out[long[k]] or "") + sentence
+    return out
+
+
 def summarize(docs: DataFrame, text: str = "text", dictionary: Dictionary | None = None) -> DataFrame:
     """Adds extract: '' under 100 characters, the text's start with up to three useful sentences, else TextRank's best."""
     body = strip(F.coalesce(text, F.lit("")))
@@ -194,12 +243,9 @@ def summarize(docs: DataFrame, text: str = "text", dictionary: Dictionary | None
     rows = computed(docs, cut)  # once, though what follows reads them several times
     rows = rows.withColumn("_tokens", tokens_of(F.col("_sentences"), dictionary))
 
-    @F.pandas_udf("string")
-    def ranked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sentences, words in batches:
-            yield pd.Series(
-                [best_sentences(list(s), [set(w) for w in t]) if s is not None and len(s) > 3 else None for s, t in zip(sentences, words, strict=True)], dtype=object
-            )
+    @F.arrow_udf("string")
+    def ranked(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return by_slices(columns, extracts, pa.string())
 
     long = F.size("_sentences") > 3
     made = F.when(F.length("_body") < 100, "").when(~long, F.left("_body", F.lit(MOST))).otherwise(ellipsis(ranked("_sentences", "_tokens"), MOST))
