@@ -106,6 +106,29 @@ def test_close_pairs_equal_the_plain_subsequence(threshold):
     assert len(got) == len(set(got)) and set(got) == across
 
 
+def test_few_close_pairs_need_whole_subsequences(monkeypatch):
+    rng = random.Random(4)
+    letters = "etaoinshrdlucmfw .,-é" + "".join(chr(0x4E00 + i) for i in range(30))
+    weights = [1 / (i + 3) for i in range(len(letters))]
+    keys = ["".join(rng.choices(letters, weights, k=rng.choice([62, 63, 64, 126, 127, 150, 250]))) for _ in range(50)]
+    keys = sorted({*keys, *("".join(c for c in k if rng.random() > 0.3) for k in keys), *("".join(c if rng.random() > 0.2 else "x" for c in k) for k in keys)})
+    titles = pd.DataFrame({"key": keys, "first": rng.sample(range(1000), len(keys))})
+    first = titles["first"].tolist()
+    want = {(min(first[i], first[j]), max(first[i], first[j])) for i in range(len(keys)) for j in range(i) if similarity(keys[i], keys[j]) >= 75}
+    whole, lengths = [], dedup.lcs_lengths
+
+    def counted(left, right, of_left, *rest):
+        if left.sizes.max() == max(map(len, keys)):
+            whole.append(len(of_left))
+        return lengths(left, right, of_left, *rest)
+
+    monkeypatch.setattr(dedup, "lcs_lengths", counted)
+    assert set(dedup.close_pairs(titles, titles, 75, True)) == want
+    assert len(want) <= sum(whole) <= 2 * len(want)
+    monkeypatch.setattr(dedup, "FEW", 0)  # the same word by word
+    assert set(dedup.close_pairs(titles, titles, 75, True)) == want
+
+
 def test_clusters_are_greedy_and_not_components(spark):
     titles = ["alpha beta gamma one", "alpha beta gamma two", "alpha beta gmma twoxx yy", "other thing", "News: other thing", "", "", "zz"]
     df = items(spark, *[(t, "s", f"u{i}", f"src{i % 3}", "", "en") for i, t in enumerate(titles)])
