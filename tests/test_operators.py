@@ -129,6 +129,57 @@ def test_few_close_pairs_need_whole_subsequences(monkeypatch):
     assert set(dedup.close_pairs(titles, titles, 75, True)) == want
 
 
+def made_titles(n, sizes, seed):
+    """Titles of one make-up, so that common characters exclude few pairs, and some near copies."""
+    rng = random.Random(seed)
+    letters = " etaoinshrdlu"
+    keys = ["".join(rng.choices(letters, [len(letters) - i for i in range(len(letters))], k=rng.choice(sizes))) for _ in range(n)]
+    return sorted({*keys, *("".join(c for c in k if rng.random() > 0.1) for k in keys[::4])})
+
+
+def test_titles_are_bounded_beside_many_before_they_meet_in_pairs(monkeypatch):
+    keys = made_titles(400, [40, 45, 50, 120, 130, 260, 420], 11)
+    titles = pd.DataFrame({"key": keys, "first": random.Random(12).sample(range(10_000), len(keys))})
+    pairwise, lengths = [], dedup.lcs_lengths
+
+    def counted(left, right, of_left, *rest):
+        pairwise.append(len(of_left))
+        return lengths(left, right, of_left, *rest)
+
+    monkeypatch.setattr(dedup, "lcs_lengths", counted)
+    monkeypatch.setattr(dedup, "BESIDE", 10**9, raising=False)
+    want = set(dedup.close_pairs(titles, titles, 75, True))
+    by_pairs = sum(pairwise)
+    pairwise.clear()
+    monkeypatch.setattr(dedup, "BESIDE", 1, raising=False)
+    got = dedup.close_pairs(titles, titles, 75, True)
+    assert want and len(got) == len(set(got)) and set(got) == want
+    assert sum(pairwise) < by_pairs / 10
+
+
+def test_lengths_beside_equal_those_of_pairs(monkeypatch):
+    keys = ["", *made_titles(60, [3, 16, 17, 32, 33, 63, 64, 126, 127, 200, 600], 5)]
+    (coded,) = dedup.coded(keys)
+    which, some = np.repeat(np.arange(12), len(keys)), np.tile(np.arange(len(keys)), 12)
+    monkeypatch.setattr(dedup, "BESIDE", 1)
+    monkeypatch.setattr(dedup, "TOGETHER", 100)
+    for group in (np.arange(13), np.array([0, 3, 4]), np.array([7])):
+        part, starts = coded.only(group), np.cumsum(coded.sizes) - coded.sizes
+        codes = [coded.flat[starts[j] : starts[j] + coded.sizes[j]] % dedup.BINS for j in range(12)]
+        want = dedup.lcs_lengths(part, part, some, which, np.zeros(len(some), np.int64))
+        assert dedup.Beside(coded, group).lengths(some, which, codes).tolist() == want.tolist()
+
+
+def test_blocks_and_slices_make_each_pair_once(spark, monkeypatch):
+    keys = ["", "a", *made_titles(60, [20, 30, 40, 60, 90, 140], 3)]
+    titles = pd.DataFrame({"key": keys, "first": random.Random(1).sample(range(1000), len(keys))})
+    want = set(dedup.close_pairs(titles, titles, 75, True))
+    for name, value in (("BLOCK", 7), ("SLICE", 4)):
+        monkeypatch.setattr(dedup, name, value)
+    got = [tuple(r) for r in dedup.similar_titles(spark.createDataFrame(titles, "key string, first long"), 75).collect()]
+    assert want and len(got) == len(want) and set(got) == want
+
+
 def test_clusters_are_greedy_and_not_components(spark):
     titles = ["alpha beta gamma one", "alpha beta gamma two", "alpha beta gmma twoxx yy", "other thing", "News: other thing", "", "", "zz"]
     df = items(spark, *[(t, "s", f"u{i}", f"src{i % 3}", "", "en") for i, t in enumerate(titles)])
